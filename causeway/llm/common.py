@@ -37,6 +37,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """The session's bound in bytes for what may be broadcast; below 0: nothing."""
+    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10m").strip().lower().removesuffix("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(said[-1:])
+    return int(said[:-1]) << unit if unit else int(said)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of all texts; one narrow aggregate in the JVM."""
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import packing, warc
+from causeway.llm import ann, lines, packing, warc
 from causeway.llm.common import table
 
 
@@ -20,6 +20,50 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+LINE_RATIO, LINE_PAGES = 0.05, 3
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.line_dedup(table(spark, sf_dir, "documents"), ratio=LINE_RATIO, least_pages=LINE_PAGES)
+    return kept.select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
+def line_dedup_sql(docs: str, columns: str) -> str:
+    """The rows of ``docs`` with boilerplate lines dropped, as the columns doc_id, kept, n_lines, n_removed and ``columns``."""
+    return f"""
+lined as (
+  select doc_id, source, text, string_split(text, chr(10)) as lines from {docs}),
+hosts as (select source, count(*) as pages from {docs} group by source),
+seen as (
+  select source, unnest(list_distinct(list_transform(lines, lambda x: trim(x, ' ')))) as line from lined where text is not null),
+often as (
+  select seen.source as source, line from seen join hosts on seen.source is not distinct from hosts.source
+  where line <> '' group by seen.source, line
+  having count(*) >= {LINE_PAGES} and count(*) > {LINE_RATIO} * max(pages)),
+bad as (select source, list(line) as bad from often group by source),
+deduped as (
+  select lined.doc_id, {columns}
+         case when lined.text is null then null
+              else array_to_string(list_filter(lines, lambda x: not list_contains(coalesce(bad, []), trim(x, ' '))), chr(10)) end as kept,
+         coalesce(len(lines), 0) as n_lines,
+         coalesce(len(lines) - len(list_filter(lines, lambda x: not list_contains(coalesce(bad, []), trim(x, ' ')))), 0) as n_removed
+  from lined left join bad on lined.source is not distinct from bad.source)"""
+
+
+OP1_SQL = f"""
+with {line_dedup_sql("documents", "")}
+select doc_id, cast(n_lines as bigint) as n_lines, cast(n_removed as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from deduped
+"""
+
+
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(ann.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -38,6 +82,8 @@ from f
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
+        "op5_nearest_neighbours": op5_nearest_neighbours,
         "op7_warc": op7_warc,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
@@ -45,5 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_line_dedup": OP1_SQL,
         "op7_warc": OP7_SQL,
     }
