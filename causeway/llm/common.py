@@ -84,6 +84,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[list(SPACES)] = True
+
+
+def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, end byte) of each word; texts meet at ``offsets``, and no word crosses from one to the next."""
+    n = len(raw)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    space = _SPACE[raw]
+    begins = ~space
+    ends = begins.copy()
+    begins[1:] &= space[:-1]
+    ends[:-1] &= space[1:]
+    edges = offsets[(offsets > 0) & (offsets < n)]
+    begins[edges] = ~space[edges]
+    ends[edges - 1] = ~space[edges - 1]
+    return np.flatnonzero(begins), np.flatnonzero(ends) + 1
+
+
 class WordHasher:
     """64-bit hashes of the words of many texts at once; the same on every executor for one seed."""
 
@@ -94,8 +114,6 @@ class WordHasher:
             self.byte[65:91] = self.byte[97:123]
         self.base = int(rng.integers(1 << 60, 1 << 62)) * 2 + 1
         self.inverse = pow(self.base, -1, 1 << 64)
-        self.space = np.zeros(256, bool)
-        self.space[list(SPACES)] = True
         self._powers: dict[int, np.ndarray] = {}
 
     def powers(self, value: int, n: int) -> np.ndarray:
@@ -110,19 +128,7 @@ class WordHasher:
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first byte, end byte) of each word, and the words' offsets by text."""
         n = len(raw)
-        if not n:
-            empty = np.empty(0, np.int64)
-            return np.empty(0, U), empty, empty, np.zeros(len(offsets), np.int64)
-        solid = ~self.space[raw]
-        begins = solid.copy()
-        begins[1:] &= self.space[raw[:-1]]
-        ends = solid.copy()
-        ends[:-1] &= self.space[raw[1:]]
-        edges = offsets[(offsets > 0) & (offsets < n)]
-        begins[edges] = solid[edges]
-        ends[edges - 1] = solid[edges - 1]
-        first = np.flatnonzero(begins)
-        end = np.flatnonzero(ends) + 1
+        first, end = word_bounds(raw, offsets)
         total = np.zeros(n + 1, U)
         np.cumsum(self.byte[raw] * self.powers(self.base, n), out=total[1:])
         h = (total[end] - total[first]) * self.powers(self.inverse, n)[first]

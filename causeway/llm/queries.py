@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, lines, packing, warc
-from causeway.llm.common import table
+from causeway.llm import ann, lines, packing, substring, warc
+from causeway.llm.common import WORD_SPLIT, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -64,6 +64,12 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(ann.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.substring_dedup(table(spark, sf_dir, "documents"), k=20)
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_SPLIT, " "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(words, "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc.archive(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -84,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op5_nearest_neighbours": op5_nearest_neighbours,
+        "op6_substring_dedup": op6_substring_dedup,
         "op7_warc": op7_warc,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
