@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, lines, packing, substring, warc
+from causeway.llm import ann, jaccard, lines, packing, substring, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -16,6 +16,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.Rule(n=4, num=85, den=100))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -92,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_warc": op7_warc,
+        "op8_jaccard_join": op8_jaccard_join,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
