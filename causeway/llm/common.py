@@ -110,8 +110,10 @@ class WordHasher:
     def __init__(self, seed: int = 1, lower: bool = False):
         rng = np.random.default_rng(seed)
         self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + rng.integers(0, 2, 256, dtype=np.uint64)
+        self.fold = np.arange(256, dtype=np.uint8)
         if lower:
-            self.byte[65:91] = self.byte[97:123]
+            self.fold[65:91] = self.fold[97:123]
+            self.byte = self.byte[self.fold]
         self.base = int(rng.integers(1 << 60, 1 << 62)) * 2 + 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self._powers: dict[int, np.ndarray] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, jaccard, lines, packing, substring, warc
+from causeway.llm import ann, jaccard, lines, packing, substring, toxicity, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -20,6 +20,11 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), jaccard.Rule(n=4, num=85, den=100))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -97,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_substring_dedup": op6_substring_dedup,
         "op7_warc": op7_warc,
         "op8_jaccard_join": op8_jaccard_join,
+        "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
     }
 
