@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, jaccard, lines, packing, substring, toxicity, warc
+from causeway.llm import ann, jaccard, licences, lines, packing, pieces, substring, toxicity, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -68,6 +68,47 @@ from deduped
 """
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), n=3)
+
+
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents"), threshold=LICENCE_DICE)
+    best = F.element_at(F.array_sort(F.transform("matches", lambda m: F.struct((-m.dice).alias("loss"), m.template.alias("template")))), 1)
+    return (
+        found.withColumn("best", F.when(F.size("matches") > 0, best))
+        .select("doc_id", F.size("matches").cast("long").alias("n_passages"), F.col("best.template").alias("licence"), (-F.col("best.loss")).alias("dice"))
+    )
+
+
+LICENCE_DICE = 0.8
+
+
+def licence_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    shapes = [(n, licences.template_bigrams(t)) for n, t in sorted(licences.TEMPLATES.items())]
+    known = ", ".join(f"({quoted(n)}, [{', '.join(map(quoted, own))}])" for n, own in shapes)
+    return f"""
+with t(name, grams) as (values {known}),
+p as (
+  select doc_id, unnest(list_distinct(list_concat(
+    string_split(coalesce(text, ''), chr(10)),
+    list_filter(regexp_split_to_array(coalesce(text, ''), '\n[ \t]*\n'), lambda x: contains(trim(x, ' '), chr(10)))))) as passage
+  from documents),
+w as (select doc_id, string_split(trim(regexp_replace(lower(passage), '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'), ' '), ' ') as words, passage from p),
+g as (
+  select doc_id, passage,
+         list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as grams
+  from w where len(words) > 1),
+d as (
+  select doc_id, passage, name, 2.0::double * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice
+  from g join t on len(g.grams) between {LICENCE_DICE} / (2 - {LICENCE_DICE}) * len(t.grams) and (2 - {LICENCE_DICE}) / {LICENCE_DICE} * len(t.grams)),
+b as (select doc_id, passage, max(dice) as dice, arg_min(name, (-dice, name)) as name from d where dice >= {LICENCE_DICE} group by doc_id, passage),
+r as (select doc_id, count(*) as n_passages, arg_min(name, (-dice, name)) as licence, max(dice) as dice from b group by doc_id)
+select documents.doc_id, coalesce(n_passages, 0) as n_passages, licence, dice from documents left join r on documents.doc_id = r.doc_id
+"""
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(ann.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
@@ -98,6 +139,8 @@ from f
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_pieces": op2_pieces,
+        "op3_licence_scan": op3_licence_scan,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_warc": op7_warc,
@@ -110,5 +153,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op3_licence_scan": licence_sql(),
         "op7_warc": OP7_SQL,
     }
