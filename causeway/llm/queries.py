@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, jaccard, licences, lines, packing, pieces, substring, toxicity, warc
+from causeway.llm import ann, images, jaccard, licences, lines, packing, pieces, substring, toxicity, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -109,6 +109,10 @@ select documents.doc_id, coalesce(n_passages, 0) as n_passages, licence, dice fr
 """
 
 
+def op4_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.find_copies(images.rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return ann.nearest(ann.build_index(vectors), vectors.where("vec_id % 50 = 0"), k=5)
@@ -141,6 +145,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_pieces": op2_pieces,
         "op3_licence_scan": op3_licence_scan,
+        "op4_image_copies": op4_image_copies,
         "op5_nearest_neighbours": op5_nearest_neighbours,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_warc": op7_warc,
