@@ -11,7 +11,7 @@ windows have equal anchors at equal places. The work goes in two passes over the
    stays, the others are repeats. No window that repeats is missed, as the sketch only overestimates.
 
 The sketch has some 8 cells for each anchor, up to ``most_cells``; beyond that bound it lets more windows through, which
-costs time in pass 2 and changes no result. It is broadcast: at most ``most_cells`` / 4 bytes. A key in very many
+costs time in pass 2 and changes no result. It is broadcast: at most ``most_cells`` / 8 bytes. A key in very many
 texts sends at most one row from each task.
 
 "Earlier" means smaller id, or the same id and an earlier start. Repeated rows, of one id and text, do not remove each
@@ -22,6 +22,7 @@ very long text is hashed whole; an empty table stays empty; other columns are ke
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,12 +57,22 @@ def anchors(hasher: WordHasher, words: np.ndarray, k: int, gram: int) -> tuple[n
     return least, place + np.arange(n)
 
 
+def spread(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending cells as (bytes, bits to set in each)."""
+    byte = cells >> 3
+    head = np.ones(len(byte), bool)
+    head[1:] = byte[1:] != byte[:-1]
+    bits = np.left_shift(np.uint8(1), (cells & 7).astype(np.uint8))
+    return byte[head], np.bitwise_or.reduceat(bits, np.flatnonzero(head)) if len(cells) else bits
+
+
 class Sketch:
-    """Count-min over 64-bit keys: two rows of cells that count none, one, or more than one."""
+    """Count-min over 64-bit keys: two rows of cells that count none, one, or more, held as two planes of bits."""
 
-    def __init__(self, cells: int, data: np.ndarray | None = None):
+    def __init__(self, cells: int, once: np.ndarray | None = None, more: np.ndarray | None = None):
         self.bits = int(cells).bit_length() - 1
-        self.data = np.zeros(cells, np.uint8) if data is None else data
+        self.once = np.zeros(cells // 8, np.uint8) if once is None else once
+        self.more = np.zeros(cells // 8, np.uint8) if more is None else more
 
     def cells(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Both cells of each key: the first row is the lower half, the second the upper."""
@@ -72,26 +83,16 @@ class Sketch:
     def add(self, keys: np.ndarray) -> None:
         for at in self.cells(keys):
             at, n = np.unique(at, return_counts=True)
-            self.data[at] = np.minimum(self.data[at] + np.minimum(n, 2), 2)
-
-
-def packed(cells: np.ndarray) -> np.ndarray:
-    """Four two-bit cells a byte."""
-    c = cells.reshape(-1, 4)
-    return c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6
-
-
-def unpacked(data: np.ndarray) -> np.ndarray:
-    return np.stack([data & 3, data >> 2 & 3, data >> 4 & 3, data >> 6], 1).ravel()
-
-
-class PackedSketch(Sketch):
-    """A merged sketch read from four cells a byte."""
+            byte, bits = spread(at)
+            self.more[byte] |= self.once[byte] & bits
+            self.once[byte] |= bits
+            byte, bits = spread(at[n > 1])
+            self.more[byte] |= bits
 
     def repeated(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         for at in self.cells(keys):
-            out &= (self.data[at >> 2] >> ((at & 3) << 1).astype(np.uint8) & 3) > 1
+            out &= (self.more[at >> 3] >> (at & 7).astype(np.uint8) & 1) > 0
         return out
 
 
@@ -101,7 +102,7 @@ def sketch_cells(n_bytes: int, most_cells: int) -> int:
 
 
 def count_anchors(docs: DataFrame, k: int, gram: int, cells: int) -> DataFrame:
-    """The merged sketch in blocks: block int, cells binary (two bits a cell)."""
+    """The merged sketch in blocks: block int, cells binary (the compressed plane of cells that count more than one)."""
     block = min(BLOCK_CELLS, cells)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def count_anchors(docs: DataFrame, k: int, gram: int, cells: int) -> DataFrame:
         any_row = False
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, 1 << 20):
                 part = offsets[lo : hi + 1]
                 words, _, _, at = hasher(raw[part[0] : part[-1]], part - part[0])
                 keys = []
@@ -124,21 +125,20 @@ def count_anchors(docs: DataFrame, k: int, gram: int, cells: int) -> DataFrame:
                     sketch.add(np.concatenate(keys))
         if any_row:
             for b in range(cells // block):
-                part = sketch.data[b * block : (b + 1) * block]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([b], pa.int32()), pa.array([packed(part).tobytes()], pa.binary())], names=["block", "cells"]
-                    )
+                once, more = (x[b * block // 8 : (b + 1) * block // 8] for x in (sketch.once, sketch.more))
+                if once.any():
+                    planes = zlib.compress(once.tobytes() + more.tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([planes], pa.binary())], names=["block", "cells"])
 
     def merge(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        once, more = np.zeros(block // 8, np.uint8), np.zeros(block // 8, np.uint8)
         for batch in rows:
             for data in batch.column("cells"):
-                one = unpacked(np.frombuffer(data.as_buffer(), np.uint8))
-                total = one if total is None else np.minimum(total + one, 2)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([key[0].as_py()], pa.int32()), pa.array([packed(total).tobytes()], pa.binary())], names=["block", "cells"]
-        )
+                new_once, new_more = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8).reshape(2, -1)
+                more |= new_more | once & new_once
+                once |= new_once
+        planes = zlib.compress(more.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([planes], pa.binary())], names=["block", "cells"])
 
     schema = "block int, cells binary"
     tasks = docs.sparkSession.sparkContext.defaultParallelism  # a sketch for each core, however many files
@@ -146,13 +146,13 @@ def count_anchors(docs: DataFrame, k: int, gram: int, cells: int) -> DataFrame:
 
 
 def broadcast_sketch(docs: DataFrame, k: int, gram: int, most_cells: int):
-    """The merged sketch as a broadcast of at most ``most_cells`` / 4 bytes."""
+    """The merged sketch's plane of cells that count more than one, broadcast: at most ``most_cells`` / 8 bytes."""
     cells = sketch_cells(text_bytes(docs), most_cells)
-    block = min(BLOCK_CELLS, cells) // 4
-    data = np.zeros(cells // 4, np.uint8)
+    block = min(BLOCK_CELLS, cells) // 8
+    more = np.zeros(cells // 8, np.uint8)
     for row in count_anchors(docs, k, gram, cells).toLocalIterator():
-        data[row.block * block : (row.block + 1) * block] = np.frombuffer(row.cells, np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(data), cells
+        more[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
+    return docs.sparkSession.sparkContext.broadcast(more), cells
 
 
 def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_CELLS) -> DataFrame:
@@ -160,7 +160,7 @@ def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_
     held, cells = broadcast_sketch(docs, k, gram, most_cells)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, hasher, second = PackedSketch(cells, held.value), WordHasher(), WordHasher(seed=2)
+        sketch, hasher, second = Sketch(cells, held.value, held.value), WordHasher(), WordHasher(seed=2)
         h1, h2, ids, starts, waiting = [], [], [], [], 0
         names = ["doc_id", "start", "n", "known", "h1", "h2"]
 
@@ -209,7 +209,7 @@ def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
             doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, 1 << 20):
                 part = offsets[lo : hi + 1]
                 words, first, end, at = hasher(raw[part[0] : part[-1]], part - part[0])
                 other = None
@@ -258,7 +258,7 @@ def substring_dedup(
             raw, offsets = string_buffers(column)
             runs = batch.column(runs_at)
             texts, n_words, n_removed = [], [], []
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, 1 << 20):
                 part = offsets[lo : hi + 1]
                 own = raw[part[0] : part[-1]]
                 data = own.tobytes()
