@@ -1 +1 @@
-
+"""Column functions and window frames that the operators share."""

@@ -1 +1 @@
-
+"""Operators on event-time tables; each takes and returns DataFrames."""
