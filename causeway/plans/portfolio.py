@@ -184,11 +184,11 @@ def named_trades(spark: SparkSession, sf: str) -> DataFrame:
     return asof.regime_of(views.trades(spark, sf), views.regimes(spark, sf))
 
 
-@register("pnl_by_regime", NAMED + f""" select vol_regime, strategy, cast(grouping_id(vol_regime, strategy) as integer) as gid, count(*) as n, {s('sum(pnl_pct)', 4)} as total, {s('avg(pnl_pct)')} as mean,
+@register("pnl_by_regime", NAMED + f""" select vol_regime, strategy, cast(grouping_id(vol_regime, strategy) as integer) as gid, count(*) as n, {s('sum(pnl_pct)')} as total, {s('avg(pnl_pct)')} as mean,
   {s('avg(case when pnl_pct > 0 then 1.0::double else 0.0::double end)')} as win_rate, {s('avg(risk)')} as mean_risk, {s('min(pnl_pct)')} as worst, {s('max(pnl_pct)')} as best from t group by rollup(vol_regime, strategy)""")
 def pnl_by_regime(spark: SparkSession, sf: str) -> DataFrame:
     a = portfolio.attribution(named_trades(spark, sf))
-    return a.select("vol_regime", "strategy", "gid", "n", snap(F.col("total"), 4).alias("total"), *(snap(F.col(c)).alias(c) for c in ("mean", "win_rate", "mean_risk", "worst", "best")))
+    return a.select("vol_regime", "strategy", "gid", "n", snap(F.col("total")).alias("total"), *(snap(F.col(c)).alias(c) for c in ("mean", "win_rate", "mean_risk", "worst", "best")))
 
 
 @register("regime_join_fallback", NAMED + " select vol_regime, exit_reason, count(*) as n from t group by 1, 2")
@@ -249,10 +249,10 @@ def kelly_sizes(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stress", with_views("trades") + f""", z as (select * from (values ('base', 0.0::double, 1.0::double, 1.0::double), ('vol_spike', 0.0, 1.5, 1.5), ('crash', -0.2, 1.0, 2.0), ('slow_bleed', -0.05, 1.2, 1.1)) v(scenario, shock, win, lose)),
 x as (select scenario, strategy, greatest(-1.0::double, least(5.0::double, case when pnl_pct > 0 then pnl_pct / win else pnl_pct * lose end + shock)) as p from trades cross join z)
-select scenario, strategy, {s('sum(p)', 4)} as total, {s('min(p)')} as worst, {s('avg(case when p > 0 then 1.0::double else 0.0::double end)')} as win_rate from x group by 1, 2""")
+select scenario, strategy, {s('sum(p)')} as total, {s('min(p)')} as worst, {s('avg(case when p > 0 then 1.0::double else 0.0::double end)')} as win_rate from x group by 1, 2""")
 def stress(spark: SparkSession, sf: str) -> DataFrame:
     x = portfolio.stress(views.trades(spark, sf))
-    return x.select("scenario", "strategy", snap(F.col("total"), 4).alias("total"), snap(F.col("worst")).alias("worst"), snap(F.col("win_rate")).alias("win_rate"))
+    return x.select("scenario", "strategy", snap(F.col("total")).alias("total"), snap(F.col("worst")).alias("worst"), snap(F.col("win_rate")).alias("win_rate"))
 
 
 @register("alpha_beta", EXT + f""", g as (select symbol, cast(date_trunc('week', day) as date) as week, max_by(close, day) as c, max_by(index_close, day) filter (where index_close is not null) as i from j group by 1, 2),

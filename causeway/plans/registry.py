@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from causeway.plans import learning, market, more, portfolio  # noqa: F401
+    from causeway.plans import extra, learning, market, more, portfolio  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
