@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -27,3 +31,20 @@ def build_session(
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once, so that they need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/causeway.zip"  # the driver serves it from there
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted((root / "causeway").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
