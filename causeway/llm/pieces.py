@@ -17,17 +17,21 @@ from __future__ import annotations
 
 import heapq
 import re
+import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
+#: Odd multipliers that give a substring its 64-bit key.
+BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Chunks that a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 
 
 class PieceModel:
@@ -39,20 +43,25 @@ class PieceModel:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.score: dict[str, float] = {}
-        self.text: list[str] = []
+        self.raw: list[bytes] = []
         self.byte_id = [-1] * 256
-        self.byte_of: dict[int, int] = {}
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            self.text.append(piece)
+            self.raw.append(piece.encode())
             if model.is_byte(i):
                 value = int(piece[1:-1], 16)
                 self.byte_id[value] = i
-                self.byte_of[i] = value
+                self.raw[i] = bytes([value])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
                 self.score[piece] = model.get_score(i)
         self.longest = max(map(len, self.ids))
+        keyed = sorted((self._key(p), w) for p, w in self.score.items())
+        self.keys, self.key_score = np.array([k for k, _ in keyed], np.uint64), np.array([w for _, w in keyed])
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces share a key")
+        self.seen = np.zeros(1 << 20, bool)  # the keys' upper bits: most substrings are no pieces
+        self.seen[self.keys >> np.uint64(44)] = True
         self.penalty = min((s for s in self.score.values() if s > -1e8), default=0.0) - 10
         pairs = {(a, b) for p in self.ids for a, b in zip(p, p[1:])}
         inner = {b for a, b in pairs if re.match(r"\w", a) and not re.match(r"\w", b)}
@@ -65,16 +74,19 @@ class PieceModel:
             self.chunk = re.compile(rf"\n|{MARK}*[^{word}{MARK}\n]*[{word}]+|{MARK}*[^{word}{MARK}\n]+|{MARK}+")
         self.known: dict[str, tuple[bytes, float, float]] = {}
 
+    @staticmethod
+    def _key(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = h * int(BASE) + ord(c) + 1 & 0xFFFFFFFFFFFFFFFF
+        return h * int(SPREAD) & 0xFFFFFFFFFFFFFFFF
+
     def edges(self, chunk: str) -> list[list[tuple[int, float]]]:
         """For each end place, the (start, score) of edges into it, longest first."""
-        score, longest = self.score, self.longest
+        get, longest = self.score.get, self.longest
         out: list[list[tuple[int, float]]] = [[]]
         for e in range(1, len(chunk) + 1):
-            into = []
-            for s in range(max(0, e - longest), e):
-                w = score.get(chunk[s:e])
-                if w is not None:
-                    into.append((s, w))
+            into = [(s, w) for s in range(e - longest if e > longest else 0, e) if (w := get(chunk[s:e])) is not None]
             if not into or into[-1][0] != e - 1:
                 into.append((e - 1, self.penalty))
             out.append(into)
@@ -100,42 +112,101 @@ class PieceModel:
 
     def best(self, chunk: str) -> tuple[bytes, float, float]:
         """(ids as little-endian 32-bit, score, what the second best loses; infinite without one)."""
-        got = self.known.get(chunk)
-        if got is None:
+        whole = self.ids.get(chunk) if len(chunk) == 1 else None
+        if whole is not None:
+            got = (struct.pack("<I", whole), self.score[chunk], np.inf)
+        else:
             edges = self.edges(chunk)
             best, back = self.forward(edges)
-            n = len(chunk)
-            rest = [-np.inf] * n + [0.0]
-            loss, place = np.inf, n
-            on_path = {}
+            place = n = len(chunk)
+            ids: list[int] = []
+            taken = [-1] * (n + 1)
             while place:
-                on_path[place] = back[place]
-                place = back[place]
+                start = taken[place] = back[place]
+                i = self.ids.get(chunk[start:place])
+                ids[:0] = (i,) if i is not None else self.ids_of(chunk, start, place)
+                place = start
+            rest = [-np.inf] * n + [0.0]
+            top = -np.inf  # of ways that leave the best one somewhere
             for e in range(n, 0, -1):
-                tail = rest[e]
-                if tail == -np.inf:
-                    continue
-                taken = on_path.get(e, -1)
+                tail, kept = rest[e], taken[e]
                 for s, w in edges[e]:
                     w += tail
                     if w > rest[s]:
                         rest[s] = w
-                    if s != taken and best[n] - best[s] - w < loss:
-                        loss = best[n] - best[s] - w
-            ids: list[int] = []
-            place = n
-            spans = []
-            while place:
-                spans.append((back[place], place))
-                place = back[place]
-            for s, e in reversed(spans):
-                ids += self.ids_of(chunk, s, e)
-            got = (np.array(ids, "<u4").tobytes(), best[n], loss)
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[chunk] = got
+                    if s != kept and (w := w + best[s]) > top:
+                        top = w
+            got = (struct.pack(f"<{len(ids)}I", *ids), best[n], best[n] - top)
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[chunk] = got
         return got
 
+    def learn(self, chunks: Iterable[str]) -> None:
+        """``best`` of many chunks at once: chunks of one length are the rows of arrays."""
+        new = set(chunks) - self.known.keys()
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+        by_length: dict[int, list[str]] = {}
+        for c in new:
+            by_length.setdefault(len(c), []).append(c)
+        for n, same in by_length.items():
+            if not 1 < n <= 32 or len(same) < 8:
+                for c in same:
+                    self.best(c)
+                continue
+            for lo in range(0, len(same), 1 << 15):
+                self._learn(same[lo : lo + (1 << 15)], n)
+
+    def _learn(self, chunks: list[str], n: int) -> None:
+        rows = len(chunks)
+        codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).astype(np.uint64)
+        weight: dict[tuple[int, int], np.ndarray] = {}
+        for s in range(n):
+            h = np.zeros(rows, np.uint64)
+            for e in range(s + 1, min(n, s + self.longest) + 1):
+                h = h * BASE + codes[:, e - 1] + np.uint64(1)
+                w = np.full(rows, self.penalty if e == s + 1 else -np.inf)
+                key = h * SPREAD
+                maybe = np.flatnonzero(self.seen[key >> np.uint64(44)])
+                at = np.searchsorted(self.keys, key[maybe])
+                hit = self.keys[np.minimum(at, len(self.keys) - 1)] == key[maybe]
+                if hit.any():
+                    w[maybe[hit]] = self.key_score[at[hit]]
+                elif e > s + 1:
+                    continue
+                weight[s, e] = w
+        best, back = np.full((n + 1, rows), -np.inf), np.zeros((n + 1, rows), np.int64)
+        best[0] = 0
+        for s, e in sorted(weight, key=lambda p: (p[1], p[0])):
+            w = best[s] + weight[s, e]
+            more = w > best[e]
+            best[e][more] = w[more]
+            back[e][more] = s
+        place, taken, start = np.full(rows, n), np.full((n + 1, rows), -1), np.zeros((rows, n + 1), bool)
+        for e in range(n, 0, -1):
+            on = place == e
+            taken[e][on] = back[e][on]
+            place = np.where(on, back[e], place)
+            start[on, back[e][on]] = True
+        rest, top = np.full((n + 1, rows), -np.inf), np.full(rows, -np.inf)
+        rest[n] = 0
+        for s, e in sorted(weight, key=lambda p: -p[1]):
+            w = weight[s, e] + rest[e]
+            np.maximum(rest[s], w, out=rest[s])
+            np.maximum(top, np.where(taken[e] == s, -np.inf, w + best[s]), out=top)
+        start[:, n] = True
+        row, cut = np.nonzero(start)
+        spans = np.split(cut, np.flatnonzero(np.diff(row)) + 1)
+        get = self.ids.get
+        for chunk, score, loss, cuts in zip(chunks, best[n].tolist(), (best[n] - top).tolist(), spans):
+            cuts = cuts.tolist()
+            ids: list[int] = []
+            for s, e in zip(cuts, cuts[1:]):
+                i = get(chunk[s:e])
+                ids += (i,) if i is not None else self.ids_of(chunk, s, e)
+            self.known[chunk] = (struct.pack(f"<{len(ids)}I", *ids), score, loss)
+
     def search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one chunk, (score, ids), best first."""
         edges = self.edges(chunk)
@@ -155,44 +226,55 @@ class PieceModel:
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([self.best(c)[0] for c in self.chunks(text)]), "<u4").tolist()
+    def found(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
+        get, best = self.known.get, self.best
+        return [get(c) or best(c) for c in chunks]
 
-    def nbest(self, text: str, n: int) -> list[tuple[float, list[int]]]:
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join([f[0] for f in self.found(self.chunks(text))]), "<u4").tolist()
+
+    def nbest_of(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """``nbest`` of each text; texts are chunked together, some million characters at a time."""
+        lo = 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1_000_000):
+                size += len(texts[hi])
+                hi += 1
+            chunked = [self.chunks(t) for t in texts[lo:hi]]
+            self.learn(chain.from_iterable(chunked))
+            for chunks in chunked:
+                yield self._nbest(chunks, n)
+            lo = hi
+
+    def nbest(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
         """The n best segmentations of a text, (score, ids), best first."""
-        chunks = self.chunks(text)
-        found = [self.best(c) for c in chunks]
-        total = sum(f[1] for f in found)
-        change = heapq.nsmallest(n - 1, ((f[2], i) for i, f in enumerate(found) if f[2] < np.inf))
+        return self._nbest(self.chunks(text), n)
+
+    def _nbest(self, chunks: list[str], n: int) -> list[tuple[float, np.ndarray]]:
+        found = self.found(chunks)
+        ids = [f[0] for f in found]
+        total = sum([f[1] for f in found])
+        loss = np.array([f[2] for f in found])
+        change = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else np.argpartition(loss, n - 2)[: n - 1] if n > 1 else []
         ways: list[tuple[float, tuple]] = [(0.0, ())]  # losses, with what is changed where
-        for _, i in change:
+        for i in sorted(int(i) for i in change if loss[i] < np.inf):
             others = self.search(chunks[i], n)
             ways = heapq.nsmallest(
-                n, ((loss + found[i][1] - s, (*swap, (i, ids)) if k else swap) for loss, swap in ways for k, (s, ids) in enumerate(others)),
+                n, ((lost + found[i][1] - s, (*swap, (i, own)) if k else swap) for lost, swap in ways for k, (s, own) in enumerate(others)),
                 key=lambda w: w[0],
             )
         out = []
-        for loss, swap in ways:
-            ids = [f[0] for f in found]
-            for i, own in swap:
-                ids[i] = np.array(own, "<u4").tobytes()
-            out.append((total - loss, np.frombuffer(b"".join(ids), "<u4").tolist()))
+        for lost, swap in ways:
+            own = list(ids) if swap else ids
+            for i, new in swap:
+                own[i] = struct.pack(f"<{len(new)}I", *new)
+            out.append((total - lost, np.frombuffer(b"".join(own), "<u4")))
         return out
 
     def decode(self, ids: Sequence[int]) -> str:
-        out, waiting = [], bytearray()
-        for i in ids:
-            value = self.byte_of.get(i)
-            if value is not None:
-                waiting.append(value)
-                continue
-            if waiting:
-                out.append(waiting.decode("utf-8", "replace"))
-                waiting.clear()
-            out.append(self.text[i])
-        out.append(waiting.decode("utf-8", "replace"))
-        text = "".join(out)
-        return text.removeprefix(MARK).replace(MARK, " ")
+        raw = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+        return raw.removeprefix(MARK).replace(MARK, " ")
 
 
 @lru_cache(maxsize=2)
@@ -210,7 +292,7 @@ def encode_documents(docs: DataFrame, model: str, n: int = 1) -> DataFrame:
         for batch in batches:
             for lo in range(0, len(batch), 64):
                 part = batch.slice(lo, 64)
-                ways = [own.nbest(t or "", n) for t in part.column(1).to_pylist()]
+                ways = list(own.nbest_of(part.column(1).fill_null("").to_pylist(), n))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([w[0][1] for w in ways], pa.list_(pa.int32())), pa.array([[{"score": s, "ids": i} for s, i in w] for w in ways], kind)],
                     names=["doc_id", "ids", "nbest"],
@@ -240,13 +322,13 @@ def segmentations(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(model)
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, len(batch), 2048):
+                part = batch.slice(lo, 2048)
                 rows = []
-                for text in part.column(1).to_pylist():
-                    ways = own.nbest(text or "", n)
-                    ids = np.array(ways[0][1], "<u4")
-                    rows.append((len(ids), zlib.crc32(ids.tobytes()), [s for s, _ in ways], own.decode(ways[0][1]) == (text or "")))
+                texts = part.column(1).fill_null("").to_pylist()
+                for text, ways in zip(texts, own.nbest_of(texts, n)):
+                    ids = ways[0][1]
+                    rows.append((len(ids), zlib.crc32(ids.tobytes()), [s for s, _ in ways], own.decode(ids.tolist()) == text))
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_pieces", "ids_crc32", "scores", "restored"]
