@@ -13,11 +13,11 @@ from causeway.sources import views
 from causeway.sources.views import KEYS, sql_snap as s, with_views
 
 
-@register("execution_risk", with_views("trades") + f""", x as (select signal_id, min_by(risk, exit_day) as used from trades where signal_id % 5 <> 0 group by 1)
+@register("execution_risk", with_views("trades") + f""", x as (select signal_id, min_by(risk, exit_day) as used from trades where exit_reason <> 'time_stop' group by 1)
 select t.signal_id, {s('coalesce(x.used, 0.01::double)')} as used, coalesce(x.used, 0.01::double) > 0.02 as over_cap from trades t left join x on t.signal_id = x.signal_id""")
 def execution_risk(spark: SparkSession, sf: str) -> DataFrame:
     t = views.trades(spark, sf)
-    used = t.where("signal_id % 5 <> 0").groupBy("signal_id").agg(F.min_by("risk", "exit_day").alias("used"))
+    used = t.where("exit_reason <> 'time_stop'").groupBy("signal_id").agg(F.min_by("risk", "exit_day").alias("used"))
     j = t.select("signal_id").join(used, "signal_id", "left").withColumn("used", F.coalesce("used", F.lit(0.01)))
     return j.select("signal_id", snap(F.col("used")).alias("used"), (F.col("used") > 0.02).alias("over_cap"))
 

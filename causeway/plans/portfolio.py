@@ -14,30 +14,30 @@ from causeway.sources.views import KEYS, sql_snap as s, with_views
 EV = with_views("tape_ev")
 
 
-@register("asof_backward", EV + f""", l as (select symbol, ts, seq from tape_ev where seq % 7 = 0), r as (select symbol, ts, price from tape_ev where side = 'A')
+@register("asof_backward", EV + f""", l as (select symbol, ts, seq from tape_ev where side = 'N'), r as (select symbol, ts, price from tape_ev where side = 'A')
 select l.symbol, l.seq, {s('r.price')} as price, cast((epoch_us(l.ts) - epoch_us(r.ts)) as bigint) as stale_us from l asof left join r on l.symbol = r.symbol and l.ts >= r.ts""")
 def asof_backward(spark: SparkSession, sf: str) -> DataFrame:
     t = views.tape_ev(spark, sf)
-    got = asof.as_of(t.where("seq % 7 = 0").select("symbol", "ts", "seq", "us"), {"hit": (t.where("side = 'A'"), ["price", "us"])}, KEYS, "ts")
+    got = asof.as_of(t.where("side = 'N'").select("symbol", "ts", "seq", "us"), {"hit": (t.where("side = 'A'"), ["price", "us"])}, KEYS, "ts")
     return got.select("symbol", "seq", snap(F.col("hit.price")).alias("price"), (F.col("us") - F.col("hit.us")).alias("stale_us"))
 
 
-@register("asof_multi", EV + f""", l as (select * from tape_ev where seq % 7 = 0),
+@register("asof_multi", EV + f""", l as (select * from tape_ev where side = 'N'),
 a as (select l.symbol, l.ts, l.seq, r.price as buy from l asof left join (select * from tape_ev where side = 'A') r on l.symbol = r.symbol and l.ts >= r.ts),
 b as (select a.*, r.price as sell from a asof left join (select * from tape_ev where side = 'B') r on a.symbol = r.symbol and a.ts >= r.ts)
 select symbol, seq, {s('buy')} as buy, {s('sell')} as sell, buy is not null and sell is not null as valid from b""")
 def asof_multi(spark: SparkSession, sf: str) -> DataFrame:
     t = views.tape_ev(spark, sf)
     sides = {n: (t.where(F.col("side") == k).where(asof.finite("price")), ["price"]) for n, k in (("buy", "A"), ("sell", "B"))}
-    got = asof.as_of(t.where("seq % 7 = 0").select("symbol", "ts", "seq"), sides, KEYS, "ts")
+    got = asof.as_of(t.where("side = 'N'").select("symbol", "ts", "seq"), sides, KEYS, "ts")
     return got.select("symbol", "seq", snap(F.col("buy.price")).alias("buy"), snap(F.col("sell.price")).alias("sell"), (F.col("buy").isNotNull() & F.col("sell").isNotNull()).alias("valid"))
 
 
-@register("asof_forward", EV + f""", l as (select symbol, ts, seq from tape_ev where seq % 7 = 0), r as (select symbol, ts, price from tape_ev where side = 'B')
+@register("asof_forward", EV + f""", l as (select symbol, ts, seq from tape_ev where side = 'N'), r as (select symbol, ts, price from tape_ev where side = 'B')
 select l.symbol, l.seq, {s('r.price')} as price from l asof left join r on l.symbol = r.symbol and l.ts <= r.ts""")
 def asof_forward(spark: SparkSession, sf: str) -> DataFrame:
     t = views.tape_ev(spark, sf)
-    got = asof.as_of(t.where("seq % 7 = 0").select("symbol", "ts", "seq"), {"hit": (t.where("side = 'B'"), ["price"])}, KEYS, "ts", forward=True)
+    got = asof.as_of(t.where("side = 'N'").select("symbol", "ts", "seq"), {"hit": (t.where("side = 'B'"), ["price"])}, KEYS, "ts", forward=True)
     return got.select("symbol", "seq", snap(F.col("hit.price")).alias("price"))
 
 

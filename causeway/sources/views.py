@@ -62,11 +62,11 @@ def ext_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scheduled events: day, type and magnitude."""
+    """Scheduled events, on first and fifteenth days: day, type by priority, and magnitude."""
     p = F.col("o_orderpriority")
     pick = lambda *v: F.when(p.startswith("1"), v[0]).when(p.startswith("2"), v[1]).when(p.startswith("3"), v[2]).otherwise(v[3])
     return (
-        load(spark, sf_dir, "orders").where("o_orderkey % 97 = 0")
+        load(spark, sf_dir, "orders").where(F.dayofmonth("o_orderdate").isin(1, 15))
         .select(F.to_date("o_orderdate").alias("event_day"), pick("FOMC", "CPI", "NFP", "OpEx").alias("event_type"), pick(1.0, 0.8, 0.7, 0.6).alias("magnitude"))
         .distinct()
     )
@@ -111,9 +111,9 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The volatility regime of each signal that has one: two thirds of them."""
+    """The volatility regime of each signal that has one: those of settled orders."""
     k = F.col("o_orderkey")
-    return load(spark, sf_dir, "orders").where(k % 3 != 0).select(
+    return load(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(
         k.alias("signal_id"), F.to_date("o_orderdate").alias("as_of_day"),
         F.when(k % 7 < 2, "low").when(k % 7 < 5, "normal").otherwise("high").alias("vol_regime"),
         F.when(k % 2 == 0, "realised").otherwise("implied").alias("regime_method"),
@@ -140,7 +140,7 @@ SQL = {
     "calendar": """select distinct cast(o_orderdate as date) as event_day,
       case left(o_orderpriority, 1) when '1' then 'FOMC' when '2' then 'CPI' when '3' then 'NFP' else 'OpEx' end as event_type,
       cast(case left(o_orderpriority, 1) when '1' then 1.0 when '2' then 0.8 when '3' then 0.7 else 0.6 end as double) as magnitude
-      from orders where o_orderkey % 97 = 0""",
+      from orders where day(o_orderdate) in (1, 15)""",
     "chain": """select 'S' || cast(l_suppkey % 8 as varchar) as symbol, cast(l_shipdate as date) as day, l_partkey as strike,
       case l_linestatus when 'O' then ' Call' else 'PUT ' end as type, l_discount as gamma, l_tax as vanna,
       l_discount - l_tax as charm, l_quantity as open_interest,
@@ -159,7 +159,7 @@ SQL = {
         from lineitem group by 1) on o_orderkey = l_orderkey""",
     "regimes": """select o_orderkey as signal_id, cast(o_orderdate as date) as as_of_day,
       case when o_orderkey % 7 < 2 then 'low' when o_orderkey % 7 < 5 then 'normal' else 'high' end as vol_regime,
-      case when o_orderkey % 2 = 0 then 'realised' else 'implied' end as regime_method from orders where o_orderkey % 3 <> 0""",
+      case when o_orderkey % 2 = 0 then 'realised' else 'implied' end as regime_method from orders where o_orderstatus <> 'P'""",
 }
 NEEDS = {"daily": ["tape"]}
 
