@@ -25,6 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows instead of Spark's default of 10,000, as texts are long rows; a session's own choice stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, "1000")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -65,7 +72,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 21):
+def slices(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges of at most ``most`` bytes each; a longer row stands alone."""
     start, n = 0, len(offsets) - 1
     while start < n:

@@ -29,9 +29,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from causeway.llm.common import U, WordHasher, mix, slices, string_buffers, text_bytes, written
+from causeway.llm.common import U, WordHasher, lean_batches, mix, slices, string_buffers, text_bytes, written
 
 #: Shingles with a lower estimate are rare: they sign alone, and so few sets share them.
 RARE = 32
@@ -383,26 +383,53 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Rule, lower: bool) -> Dat
     return both.mapInArrow(links, "a long, b long")
 
 
+def forest(edges: DataFrame) -> DataFrame:
+    """As many edges (u, v), u > v, as each task needs to hold together what its own rows link."""
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        def out() -> pa.RecordBatch:
+            pairs = [(x, r) for x in list(up) if (r := find(x)) != x]
+            u, v = zip(*pairs) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                x, y = find(x), find(y)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+            if len(up) > REMEMBERED:
+                yield out()
+                up.clear()
+        yield out()
+
+    return edges.mapInArrow(join, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (its component's least node) for all nodes with links (a, b).
 
     Alternates two steps until nothing changes: every node hands its larger neighbours, then its smaller ones, to the
-    least among them; both are a minimum by node and a join. Each round is written to the shared folder.
+    least among them. Each is one shuffle by node, and each round is written to the shared folder.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    least = F.min("v").over(Window.partitionBy("u"))
+    edges, before = written(forest(links.select("a", "b")), "edges"), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(
-            F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")
-        )
-        after = written(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        sums = [x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first() for x in (edges, after)]
-        if sums[0] == sums[1]:
-            return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = after
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = now
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.repartition("u").distinct().withColumn("m", least)
+        ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
+        edges = written(low.select(ends).select("e.u", "e.v").where("u <> v").repartition("u").distinct(), "edges")
 
 
 def bound_pairs(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
@@ -488,6 +515,7 @@ def crossing(members: DataFrame, roots: DataFrame, info: DataFrame, rule: Rule)
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule(), lower: bool = True) -> DataFrame:
     """doc_id, n_shingles and component_id of every document; ``lower`` folds A-Z."""
+    lean_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cells = cells_for(text_bytes(docs))
     rows = written(described(docs, rule, lower, cells), "described")
@@ -504,14 +532,8 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), lower: bool = True)
     closest = bounded.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a"))
     links = written(verified(closest, texts, rule, lower), "links")
     roots = components(links)
-    left = written(crossing(members, roots, info, rule), "pairs")
-    more = verified(closest_first(left), texts, rule, lower)
-    links = written(links.unionByName(more), "links")
-    roots = components(links)
-    rest = left.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left")
-    rest = rest.join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    rest = rest.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    roots = components(links.unionByName(verified(rest, texts, rule, lower)))
+    more = verified(crossing(members, roots, info, rule), texts, rule, lower)
+    roots = components(links.unionByName(more))
 
     named = owners.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("first_id"))
@@ -519,7 +541,3 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), lower: bool = True)
         "doc_id", "n_shingles", F.coalesce("first_id", "doc_id").alias("component_id")
     )
 
-
-def closest_first(pairs: DataFrame) -> DataFrame:
-    """One pair for each b: most links of a component are there already, and the rest need not be looked at."""
-    return pairs.groupBy("b").agg(F.min("a").alias("a"))

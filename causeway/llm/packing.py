@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causeway.llm.common import arrow_texts, text_bytes
+from causeway.llm.common import arrow_texts, lean_batches, text_bytes
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
@@ -158,5 +158,6 @@ def pack(
 
 def best_fit(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, most_open: int = 4096) -> DataFrame:
     """Tokenises, cuts and packs all documents. The number of packing tasks follows the bytes of text."""
+    lean_batches(docs.sparkSession)
     shards = max(1, -(-text_bytes(docs) // SHARD_BYTES))
     return pack(pieces(docs, tokenizer, capacity, end_id), capacity, most_open, shards)

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from causeway.llm.common import U, WordHasher, mix, slices, string_buffers, text_bytes, word_bounds
+from causeway.llm.common import U, WordHasher, lean_batches, mix, slices, string_buffers, text_bytes, word_bounds
 
 #: Cells of one merged block: a task of the merge holds a few blocks at a time.
 BLOCK_CELLS = 1 << 22
@@ -244,6 +244,7 @@ def substring_dedup(
     docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_CELLS
 ) -> DataFrame:
     """``docs`` without repeated passages: ``text`` less the words dropped; adds n_words and n_removed."""
+    lean_batches(docs.sparkSession)
     rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "sd_id", "sd_runs")]
     runs = repeats(docs, k, gram, most_cells).groupBy(F.col("doc_id").alias("sd_id")).agg(
         F.collect_list(F.struct("start", "n")).alias("sd_runs")

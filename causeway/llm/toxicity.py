@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causeway.llm.common import U, WordHasher, mix, slices, string_buffers
+from causeway.llm.common import U, WordHasher, lean_batches, mix, slices, string_buffers
 
 #: Punctuation that words shed at their ends.
 EDGES = b".,;:!?\"'()[]{}|*#%&<>-_/\\"
@@ -219,6 +219,7 @@ def score_documents(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 6000, cut: float = 0.3, net: ConvNet | None = None
 ) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= cut) and flagged (score >= the language's threshold)."""
+    lean_batches(docs.sparkSession)
     net = net or fit(fit_rows(docs, labels, label, most_rows), cut)
     if net.p:
         net.tables()
