@@ -2,7 +2,7 @@
 
 Words, folded to lower case and stripped of punctuation, are hashed to rows of an embedding table. Filters of several
 widths slide over a text's embeddings; each keeps its largest response in the whole text, and a logistic layer turns
-those into a score. Training is by Adam on the fit rows, at most ``most_rows`` of them, chosen by a hash of the id; a
+those into a score. Training is by Adam on the fit rows, at most ``most_rows`` of them and 64 MB, chosen by a hash of the id; a
 fifth of these is held back to calibrate: scores are stretched so that the best cut lies at ``cut``, and for each
 language with enough rows a threshold of its own is kept.
 
@@ -207,12 +207,28 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")), F.lit(4))
 
 
-def fit_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int) -> list:
-    """Labelled rows outside of the held-out fold, the ``most_rows`` with the least hash of the id."""
+def fit_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, most_bytes: int = 64 << 20) -> list:
+    """Labelled rows outside of the held-out fold: those with the least hash of the id, ``most_rows`` and ``most_bytes`` at most.
+
+    Sizes come to the driver first, then the texts chosen; an id that occurs more than once is taken once.
+    """
     known = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("y")).where("y is not null")
-    known = known.where(fold(F.col("label_id")) != 2).orderBy(F.xxhash64("label_id"), "label_id", "y").limit(most_rows)
+    known = known.where(fold(F.col("label_id")) != 2).groupBy("label_id").agg(F.max("y").alias("y"))
+    known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most_rows)
     joined = docs.select("doc_id", "text", "lang").join(F.broadcast(known), F.col("doc_id") == F.col("label_id"))
-    return sorted((tuple(r) for r in joined.select("doc_id", "text", "lang", "y").collect()), key=lambda r: (r[0], r[3], r[1] or ""))
+    sized = joined.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
+    total, chosen = 0, []
+    for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        total += r.n
+        if total > most_bytes and chosen:
+            break
+        chosen.append((r.doc_id,))
+    if not chosen:
+        return []
+    wanted = docs.sparkSession.createDataFrame(chosen, "chosen_id long")
+    rows = joined.join(F.broadcast(wanted), F.col("doc_id") == F.col("chosen_id"))
+    rows = rows.groupBy("doc_id", "y").agg(F.max(F.struct(F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("d"))
+    return sorted((r.doc_id, r.d.text, r.d.lang, r.y) for r in rows.collect())
 
 
 def score_documents(

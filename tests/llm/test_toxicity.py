@@ -71,6 +71,7 @@ def test_fit_rows_leave_the_held_out_fold(spark, sf_dir):
     rows = toxicity.fit_rows(docs, labels, "toxic", 10_000)
     assert rows and all(zlib.crc32(str(r[0]).encode()) % 4 != 2 for r in rows)
     assert len(toxicity.fit_rows(docs, labels, "toxic", 7)) == 7
+    assert 1 <= len(toxicity.fit_rows(docs, labels, "toxic", 10_000, most_bytes=20_000)) < len(rows)
 
 
 def test_held_out_accuracy(spark):
