@@ -45,7 +45,7 @@ BLOCK_CELLS = 1 << 20
 MOST_CELLS = 1 << 27
 BLOOM_BITS = 1 << 27
 #: Names of sets that a counting task remembers, so that equal sets count once in it.
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -325,17 +325,29 @@ def neighbours(rows: DataFrame, rule: Rule) -> DataFrame:
 def texts_of(docs: DataFrame, nodes: DataFrame, rule: Rule, lower: bool) -> DataFrame:
     """node and text of the nodes asked for. A bounded Bloom filter keeps most other texts from being shuffled."""
     bits = min(BLOOM_BITS, max(1 << 16, 1 << (nodes.count() * 16).bit_length()))
-    filled = np.zeros(bits // 8, np.uint8)
+    block = min(bits, 1 << 20)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.zeros(bits, bool)
         for batch in batches:
             own[(mix(batch.column(0).to_numpy().view(U)) % U(bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(own).tobytes()], pa.binary())], names=["bits"])
+        for b in range(bits // block):
+            part = own[b * block : (b + 1) * block]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], names=["block", "bits"])
+
+    def merge(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(block // 8, np.uint8)
+        for batch in rows:
+            for data in batch.column("bits"):
+                total |= np.frombuffer(data.as_buffer(), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["block", "bits"])
 
     tasks = docs.sparkSession.sparkContext.defaultParallelism
-    for row in nodes.select("node").coalesce(tasks).mapInArrow(mark, "bits binary").toLocalIterator():
-        filled |= np.frombuffer(row.bits, np.uint8)
+    schema, filled = "block int, bits binary", np.zeros(bits // 8, np.uint8)
+    marked = nodes.select("node").coalesce(tasks).mapInArrow(mark, schema).groupBy("block").applyInArrow(merge, schema)
+    for row in marked.toLocalIterator():
+        filled[row.block * block // 8 : (row.block + 1) * block // 8] = np.frombuffer(row.bits, np.uint8)
     held = docs.sparkSession.sparkContext.broadcast(filled)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
