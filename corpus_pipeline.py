@@ -1,6 +1,7 @@
 """From raw documents to packed training sequences: five stages, each on all that its predecessor kept.
 
-toxicity: documents that the classifier rejects go. lines: boilerplate lines of a site go. near_copies: of documents
+toxicity: documents that the classifier rejects go. lines: boilerplate lines of a site go, copies of
+a page counting as one. near_copies: of documents
 linked by 5-word shingles at a Jaccard similarity of 0.8, the one with the smallest id stays. passages: words covered by
 a passage of 50 words that starts earlier go. packing: what is left is cut and packed into sequences of 1,024 tokens.
 
@@ -31,7 +32,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return documents(lines.line_dedup(docs, ratio=0.05, least_pages=3))
+    return documents(lines.line_dedup(docs, ratio=0.05, least_pages=3, copies=0.8))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,18 @@ def test_odd_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         none = stage(spark, none, sf_dir)
         assert none.collect() == []
+
+
+def test_a_large_group_of_copies_keeps_one_whole_text(spark, sf_dir):
+    page = lambda k: "\n".join(" ".join(f"w{k}x{j}y{i}" for i in range(20)) for j in range(10))
+    base, other = page("copy"), page("other")
+    for n in (9, 300):
+        texts = [base] * (n // 6) + [base.replace(f"wcopyx{i % 10}y7", f"edit{i}", 1) for i in range(n // 6)]
+        texts += [other + f"\nlast {i}" for i in range(n // 20)]
+        texts += [f"menu of the site\n{page(i)}" for i in range(n - len(texts))]
+        docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+        docs = corpus_pipeline.drop_boilerplate(spark, docs, sf_dir)
+        left = corpus_pipeline.keep_one_of_near_copies(spark, written(docs, "left"), sf_dir).collect()
+        assert [r.text for r in left if "wcopy" in r.text] == [base]
+        assert all(r.text for r in left) and not any("menu" in r.text for r in left)
+        assert sum(other in r.text for r in left) == (n >= 20)
