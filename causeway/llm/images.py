@@ -9,7 +9,8 @@
 
 Equal images are one node from the start. Within a value of a table, images meet their neighbours first; what those link
 is merged, and where several components are left, members of different ones meet in blocks. So no link that could join
-two components is left out, while a popular descriptor costs a number of pairs linear in its images.
+two components is left out, while a popular descriptor costs a number of pairs linear in its images. The number of an
+image's links comes from a last pass in which all members of a class meet.
 
 Images are binary columns in a netpbm format (P5 grey, P6 colour). Cases: null, empty or unreadable images, and images
 without corners, are copies of nothing but images with equal bytes (null ones: of nothing); repeated rows are equal
@@ -221,16 +222,27 @@ def popular(found: DataFrame) -> DataFrame:
 PAIRS = "a long, ca int, b long, cb int"
 
 
-def matches(tables: DataFrame, lags: tuple[int, ...] | None, reach: int) -> DataFrame:
+def blocked(rooted: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rooted`` with i, j, own: each group of ``keys`` (of ``rows`` rows in ``groups``) dealt so that all its pairs meet in blocks."""
+    blocks = groups.select(*keys, F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node", "corner"), F.col("blocks")).cast("int")
+    dealt = rooted.join(blocks, keys).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
+def matches(tables: DataFrame, lags: tuple[int, ...] | None, reach: int, within: bool = False) -> DataFrame:
     """Pairs of corners (a, ca, b, cb) of images with a < b that share a table value and differ in at most ``reach`` bits.
 
-    ``tables`` has part, value, i, j, own, node, root, corner, bits. With ``lags`` only rows so far apart meet.
+    ``tables`` has part, value, i, j, own, node, root, corner, bits. With ``lags`` only rows so far apart meet. Images of
+    different roots meet; ``within``: different images of one root instead.
     """
-    keys = ["part", "value", "i", "j"]
+    keys = ["part", "value", *(["root"] if within else []), "i", "j"]
+    apart = "node" if within else "root"
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, keys):
-            column = {c: t.column(c).to_numpy() for c in (*keys, "own", "node", "root", "corner")}
+            column = {c: t.column(c).to_numpy() for c in {*keys, "own", "node", "root", "corner"}}
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
             new = np.ones(len(t), bool)
             new[1:] = np.any([column[c][1:] != column[c][:-1] for c in keys], axis=0)
@@ -241,7 +253,7 @@ def matches(tables: DataFrame, lags: tuple[int, ...] | None, reach: int) -> Data
                     break
                 x = np.flatnonzero(group[lag:] == group[:-lag])
                 y = x + lag
-                ok = (column["root"][x] != column["root"][y]) & ((column["i"][x] == column["j"][x]) | (column["own"][x] != column["own"][y]))
+                ok = (column[apart][x] != column[apart][y]) & ((column["i"][x] == column["j"][x]) | (column["own"][x] != column["own"][y]))
                 x, y = x[ok], y[ok]
                 near = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= reach
                 x, y = x[near], y[near]
@@ -282,8 +294,8 @@ def consensus(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
 def find_copies(images: DataFrame, most_corners: int = 40, reach: int = 7, least: int = 5) -> DataFrame:
     """image_id, n_links (images of other bytes found to be copies of it directly) and copy_id (the least id of its class).
 
-    ``images``: image_id long, image binary. Links are found until classes are whole, so n_links counts those that were
-    looked at: between neighbours, and between what these left apart.
+    ``images``: image_id long, image binary. Links are found until classes are whole. As every link is within a class, a last
+    pass over the pairs of each class finds all of them for n_links, at a cost quadratic in the class.
     """
     owners = images.select(F.col("image_id").cast("long").alias("image_id"), "image", F.xxhash64(F.sha2("image", 256)).alias("node"))
     owners = owners.withColumn("node", F.when(F.col("image").isNotNull(), F.col("node")))
@@ -295,13 +307,13 @@ def find_copies(images: DataFrame, most_corners: int = 40, reach: int = 7, least
     roots = components(links)
     rooted = tables.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("part", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    blocks = mixed.select("part", "value", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node", "corner"), F.col("blocks")).cast("int")
-    dealt = rooted.join(blocks, ["part", "value"]).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    dealt = blocked(rooted, mixed, ["part", "value"])
     links = written(links.unionByName(consensus(matches(dealt, None, reach), found, least)).distinct(), "links")
     roots = components(links)
+    inner = tables.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = inner.groupBy("part", "value", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    dealt = blocked(inner, shared, ["part", "value", "root"])
+    links = written(consensus(matches(dealt, None, reach, within=True), found, least), "links")
     degree = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     named = owners.select("image_id", "node").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = named.where("root is not null").groupBy("root").agg(F.min("image_id").alias("copy_id"))

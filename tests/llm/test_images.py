@@ -66,6 +66,16 @@ def test_many_edits_of_one_image(spark):
     assert {r.copy_id for r in got} == {0}
 
 
+def test_number_of_links_as_by_brute_force(spark):
+    g = mosaic(3)
+    pictures = {i: images.encode(g[i % 4 :, i // 4 :] * (0.7 + i / 100)) for i in range(16)} | {50: images.encode(mosaic(4))}
+    links = brute(pictures)
+    df = spark.createDataFrame([(i, bytearray(b), "") for i, b in pictures.items()], SCHEMA)
+    got = {r.image_id: r.n_links for r in images.find_copies(df).collect()}
+    assert got == {i: sum(i in link for link in links) for i in pictures}
+    assert got[0] > 10 and got[50] == 0
+
+
 def test_odd_images(spark):
     same = bytearray(images.encode(mosaic(2)))
     rows = [(1, None, ""), (2, None, ""), (3, bytearray(b""), ""), (4, bytearray(b"junk"), ""), (5, same, ""), (6, same, ""), (6, same, ""), (7, bytearray(images.encode(np.full((5, 5), 9))), "")]
