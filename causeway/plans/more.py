@@ -209,7 +209,21 @@ def warm_up_trim(spark: SparkSession, sf: str) -> DataFrame:
 @register("trailing_embedding", f"""with p as (select label, vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings)
 select label, vec_id, cast(i as integer) as dim, {s('avg(cast(v as double)) over (partition by label, i order by vec_id rows between 4 preceding and current row)')} as mean from p where i <= 4""")
 def trailing_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """Trailing means of the first slice of an embedding, dimension by dimension."""
+    """Trailing means of the first slice of an embedding, dimension by dimension; trailing_embedding_windows has all of them."""
     e = views.load(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 4)).alias("at", "v"))
     e = e.withColumn("dim", F.col("at") + 1)
     return e.select("label", "vec_id", "dim", snap(F.avg("v").over(frame(["label", "dim"], ["vec_id"], -4, 0))).alias("mean"))
+
+
+WINDOWS = (1, 5, 20)
+MEANS = ", ".join(s(f"avg(cast(v as double)) over (partition by label, i order by vec_id rows between {n - 1} preceding and current row)") + f" as mean_{n}" for n in WINDOWS)
+
+
+@register("trailing_embedding_windows", f"""with p as (select label, vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings)
+select label, vec_id, cast(i as integer) as dim, {MEANS} from p""")
+def trailing_embedding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Trailing means of all dimensions of an embedding over 1, 5 and 20 vectors."""
+    e = views.load(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("at", "v"))
+    e = e.withColumn("dim", F.col("at") + 1)
+    over = {f"mean_{n}": F.avg("v").over(frame(["label", "dim"], ["vec_id"], 1 - n, 0)) for n in WINDOWS}
+    return snapped(e.select("label", "vec_id", "dim", *(m.alias(k) for k, m in over.items())), "label", "vec_id", "dim", **{k: k for k in over})

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions.columns import epoch_seconds, normal_cdf
 from causeway.operators import asof, bars, learning, portfolio, rolling, signals, validation
+from causeway.plans import registry
 from causeway.sources import store
 
 KEYS, ORDER = ["symbol"], ["t"]
@@ -175,3 +176,15 @@ def test_hysteresis_and_kalman_carry_state():
 def test_deflated_sharpe_falls_with_trials():
     got = [portfolio.deflated_sharpe(0.1, 500, 0.0, 0.0, k, 0.05) for k in (2, 10, 100)]
     assert got == sorted(got, reverse=True) and all(0 <= g <= 1 for g in got)
+
+
+def test_trailing_embedding_windows_average_every_dimension(spark, tmp_path):
+    vectors = np.random.default_rng(0).normal(size=(30, 64))
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = registry.queries()["trailing_embedding_windows"](spark, str(tmp_path)).collect()
+    assert len(got) == 30 * 64
+    for r in got:
+        for n in (1, 5, 20):
+            want = vectors[max(0, r.vec_id + 1 - n) : r.vec_id + 1, r.dim - 1].mean()
+            assert abs(r[f"mean_{n}"] - want) < 2e-6
