@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -13,13 +14,19 @@ U = np.uint64
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
-_MASK = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a temporary folder; a cluster, whose machines have no such folder in common,
+    gets an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,11 +40,20 @@ def lean_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
+    """``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``dropped`` deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing will read again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.table_path)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +72,11 @@ def text_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0])
 
 
+def sketch_tasks(spark: SparkSession, n_bytes: int) -> int:
+    """Tasks that each fill a sketch of their own: one for each core, and more beyond 4 GB of text a task."""
+    return max(spark.sparkContext.defaultParallelism, -(-n_bytes // (4 << 30)))
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column, nulls as empty texts; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -111,16 +132,26 @@ def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(begins), np.flatnonzero(ends) + 1
 
 
+#: Masks that keep the first 0 .. 8 bytes of a little-endian 64-bit load.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], U)
+#: Longer words are hashed by BLAKE2b, whatever their letters repeat.
+LONG_WORD = 64
+
+
 class WordHasher:
-    """64-bit hashes of the words of many texts at once; the same on every executor for one seed."""
+    """Keyed 64-bit hashes of the words of many texts at once; the same on every executor for one seed.
+
+    A word is taken eight bytes at a time, each mixed into what came before: up to eight bytes, words of one length never
+    share a hash. Words over LONG_WORD bytes are hashed by keyed BLAKE2b.
+    """
 
     def __init__(self, seed: int = 1, lower: bool = False):
         rng = np.random.default_rng(seed)
-        self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U(2) + rng.integers(0, 2, 256, dtype=np.uint64)
+        self.key = rng.integers(0, 1 << 63, 2, dtype=np.uint64) * U(2) + U(1)
         self.fold = np.arange(256, dtype=np.uint8)
+        self.lower = lower
         if lower:
             self.fold[65:91] = self.fold[97:123]
-            self.byte = self.byte[self.fold]
         self.base = int(rng.integers(1 << 60, 1 << 62)) * 2 + 1
         self.inverse = pow(self.base, -1, 1 << 64)
         self._powers: dict[int, np.ndarray] = {}
@@ -134,15 +165,30 @@ class WordHasher:
             self._powers[value] = got
         return got[:n]
 
+    def words(self, raw: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each word raw[first:end]."""
+        if not len(first):
+            return np.empty(0, U)
+        data = np.zeros(len(raw) + 8, np.uint8)
+        data[:-8] = self.fold[raw] if self.lower else raw
+        eight = np.ndarray(len(raw) + 1, "<u8", data, strides=(1,))  # the eight bytes from each place on
+        size = end - first
+        h = mix(size.astype(U) * self.key[0] + self.key[1])
+        h = mix(h ^ (eight[first] & _FIRST[np.minimum(size, 8)]))
+        for at in range(8, LONG_WORD, 8):
+            rest = np.flatnonzero(size > at)
+            if not len(rest):
+                break
+            h[rest] = mix(h[rest] * self.key[0] ^ (eight[first[rest] + at] & _FIRST[np.minimum(size[rest] - at, 8)]))
+        for i in np.flatnonzero(size > LONG_WORD):
+            digest = hashlib.blake2b(data[first[i] : end[i]], digest_size=8, key=self.key.tobytes()).digest()
+            h[i] = np.frombuffer(digest, "<u8")[0]
+        return h
+
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, first byte, end byte) of each word, and the words' offsets by text."""
-        n = len(raw)
         first, end = word_bounds(raw, offsets)
-        total = np.zeros(n + 1, U)
-        np.cumsum(self.byte[raw] * self.powers(self.base, n), out=total[1:])
-        h = (total[end] - total[first]) * self.powers(self.inverse, n)[first]
-        h = mix(h + (end - first).astype(U) * U(0x9E3779B97F4A7C15))
-        return h, first, end, np.searchsorted(first, offsets)
+        return self.words(raw, first, end), first, end, np.searchsorted(first, offsets)
 
     def windows(self, words: np.ndarray, k: int) -> np.ndarray:
         """The hash of each k consecutive words of one sequence."""

@@ -16,8 +16,8 @@ texts sends at most one row from each task.
 
 "Earlier" means smaller id, or the same id and an earlier start. Repeated rows, of one id and text, do not remove each
 other's words, since neither starts earlier; an id is taken to name one text, and what is found at a place of it is
-dropped from each of its rows. Cases: null texts stay null and have no words; texts of fewer than k words lose none; a
-very long text is hashed whole; an empty table stays empty; other columns are kept, but for n_words and n_removed.
+dropped from each of its rows. Cases: null texts stay null and have no words; a document without an id comes neither before
+nor after another: it loses no words and takes none; texts of fewer than k words lose none; a very long text is hashed whole; an empty table stays empty; other columns are kept, but for n_words and n_removed.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from causeway.llm.common import U, WordHasher, lean_batches, mix, slices, string_buffers, text_bytes, word_bounds
+from causeway.llm.common import U, WordHasher, lean_batches, mix, sketch_tasks, slices, string_buffers, text_bytes, word_bounds
 
 #: Cells of one merged block: a task of the merge holds a few blocks at a time.
 BLOCK_CELLS = 1 << 22
@@ -101,7 +101,7 @@ def sketch_cells(n_bytes: int, most_cells: int) -> int:
     return min(most_cells, max(1 << 16, 1 << int(n_bytes * 8 / 36).bit_length()))
 
 
-def count_anchors(docs: DataFrame, k: int, gram: int, cells: int) -> DataFrame:
+def count_anchors(docs: DataFrame, k: int, gram: int, cells: int, tasks: int) -> DataFrame:
     """The merged sketch in blocks: block int, cells binary (the compressed plane of cells that count more than one)."""
     block = min(BLOCK_CELLS, cells)
 
@@ -141,16 +141,16 @@ def count_anchors(docs: DataFrame, k: int, gram: int, cells: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([planes], pa.binary())], names=["block", "cells"])
 
     schema = "block int, cells binary"
-    tasks = docs.sparkSession.sparkContext.defaultParallelism  # a sketch for each core, however many files
     return docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInArrow(merge, schema)
 
 
 def broadcast_sketch(docs: DataFrame, k: int, gram: int, most_cells: int):
     """The merged sketch's plane of cells that count more than one, broadcast: at most ``most_cells`` / 8 bytes."""
-    cells = sketch_cells(text_bytes(docs), most_cells)
+    n_bytes = text_bytes(docs)
+    cells, tasks = sketch_cells(n_bytes, most_cells), sketch_tasks(docs.sparkSession, n_bytes)
     block = min(BLOCK_CELLS, cells) // 8
     more = np.zeros(cells // 8, np.uint8)
-    for row in count_anchors(docs, k, gram, cells).toLocalIterator():
+    for row in count_anchors(docs, k, gram, cells, tasks).toLocalIterator():
         more[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
     return docs.sparkSession.sparkContext.broadcast(more), cells
 
@@ -208,12 +208,15 @@ def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_
 
         for batch in batches:
             raw, offsets = string_buffers(batch.column(1))
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            known = np.asarray(batch.column(0).is_valid())
+            doc = batch.column(0).fill_null(0).to_numpy()
             for lo, hi in slices(offsets, 1 << 20):
                 part = offsets[lo : hi + 1]
                 words, first, end, at = hasher(raw[part[0] : part[-1]], part - part[0])
                 other = None
                 for i in range(hi - lo):
+                    if not known[lo + i]:
+                        continue
                     own = words[at[i] : at[i + 1]]
                     least, _ = anchors(hasher, own, k, gram)
                     if not len(least):

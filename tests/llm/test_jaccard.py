@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from causeway.llm import jaccard, queries
@@ -85,7 +86,7 @@ def test_prefixes_of_linked_sets_share_a_signature():
             continue
         often = lambda s: ((s * np.uint64(2654435761)) % np.uint64(97)).astype(np.uint8)
         a, b = sorted((x, y), key=len)
-        (sa, small), (sb, _) = jaccard.signatures(a, often(a), rule), jaccard.signatures(b, often(b), rule)
+        (sa, small, _), (sb, _, _) = jaccard.signatures(a, often(a), rule), jaccard.signatures(b, often(b), rule)
         assert np.intersect1d(sa[small], sb).size, (len(a), len(b), both)
 
 
@@ -95,8 +96,9 @@ def test_bitmaps_never_part_linked_sets():
         size = int(rng.integers(20, 3000))
         x = rng.integers(0, 1 << 62, size).astype(np.uint64)
         y = x[int(size * 0.15 * rng.random()) :]
-        bits = [np.frombuffer(jaccard.bitmap(s), np.uint8).reshape(1, -1) for s in (x, y)]
-        assert jaccard.may_link(rule, *bits, np.array([len(x)]), np.array([len(y)])) or not rule.links(len(y), len(x), len(y))
+        apart = jaccard.Bitmaps(pa.array([jaccard.bitmap(s) for s in (x, y)])).apart(np.array([0]), np.array([1]))
+        assert apart[0] <= len(x) - len(y)
+        assert jaccard.may_link(rule, apart, np.array([len(x)]), np.array([len(y)])) or not rule.links(len(y), len(x), len(y))
 
 
 def test_components(spark):
@@ -120,3 +122,67 @@ def test_query_against_brute_force(spark, sf_dir):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op8_jaccard_join(spark, sf_dir).collect()}
     assert got == brute(rows, Rule(4, 85, 100))
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_of_one_pattern_are_told_apart(spark):
+    for n in (16, 32, 64, 128, 2048):
+        a, b = thue_morse(n)
+        df = spark.createDataFrame([(1, f"{a} {b} {a} {a}"), (2, f"{b} {a} {b} {b}")], "doc_id long, text string")
+        assert sorted(tuple(r) for r in jaccard.jaccard_components(df, Rule(4, 85, 100)).collect()) == [(1, 1, 1), (2, 1, 2)]
+
+
+def test_a_large_family_of_near_copies(spark, monkeypatch):
+    """Every member is near its neighbours in a chain of edits; blocks and pieces are small, so that groups are split."""
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 64)
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(i % 4):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(50)}"
+        texts.append(" ".join(w))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, Rule(5, 80, 100)).collect()}
+    assert got == brute(docs, Rule(5, 80, 100))
+
+
+def test_blocks_pass_on_forests(spark):
+    """Pairs of a group whose members all may link grow linearly with it; failed ones make way for others."""
+    n = 300
+    bits = bytes(64)
+    rows = [(1, i, 50, True, 0, 0, 0) for i in range(n)]
+    members = spark.createDataFrame(rows, "sig long, node long, size int, small boolean, own int, i int, j int")
+    info = spark.createDataFrame([(i, bytearray(bits)) for i in range(n)], "node long, bits binary")
+    roots = spark.createDataFrame([], "node long, root long")
+    met = jaccard.crossing(members, roots, info, None, Rule(), 1).collect()
+    assert len(met) == n - 1 and all(r.a < r.b for r in met)
+    failed = spark.createDataFrame(met[:100])
+    more = jaccard.crossing(members, roots, info, failed, Rule(), 2).collect()
+    assert n - 1 <= len(more) <= 2 * (n - 1) and not {(r.a, r.b) for r in more} & {(r.a, r.b) for r in met[:100]}
+
+
+def test_odd_ids(spark):
+    rows = [(None, "a b c d e"), (7, "a b c d e"), (9, None), (None, None), (8, "A b c D e")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, [(None, 1, 7), (7, 1, 7), (9, 0, 9), (None, 0, None), (8, 1, 7)]))
+
+
+def test_classes_hold_when_texts_outgrow_the_sketch():
+    rng = np.random.default_rng(3)
+    cells = jaccard.Cells(np.zeros(1 << 10, np.uint32))
+    once, often = rng.integers(1, 1 << 62, 200_000).astype(np.uint64), rng.integers(1, 1 << 62, 20).astype(np.uint64)
+    cells.add(once)
+    for _ in range(2000):
+        cells.add(often)
+    cells.level = int(np.median(cells.data))
+    assert (cells.estimate(often) >= cells.rare_below()).all()
+    assert (cells.estimate(once) < cells.rare_below()).mean() > 0.9

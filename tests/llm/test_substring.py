@@ -85,3 +85,21 @@ def test_query_against_brute_force(spark, sf_dir):
         n, kept = want[r.doc_id]
         assert (r.n_words, r.n_removed) == (n, n - len(kept))
         assert r.kept_sha256 == hashlib.sha256(" ".join(kept).encode()).hexdigest()
+
+
+def test_null_and_large_ids(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(None, text), ((1 << 53) + 3, text), ((1 << 53) + 1, text), (5, text + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.substring_dedup(df).collect()}
+    assert got == {None: (30, 0), 5: (31, 0), (1 << 53) + 1: (30, 30), (1 << 53) + 3: (30, 30)}
+
+
+def test_long_words_of_one_pattern_are_told_apart(spark):
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{head} {word}"), (2, f"{head} {word.translate(str.maketrans('ab', 'ba'))}")]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
