@@ -8,6 +8,12 @@ No piece crosses certain places (between a word's last character and what follow
 lattice of a text falls into chunks there. Chunks repeat much, and each task keeps what it found for them. The n best
 of a text are its best one changed at chunks with the least loss: n - 1 of these are searched, the rest cannot matter.
 
+The search keeps no more open ways than segmentations are still wanted: as heuristics are exact, each open way ends in a
+segmentation of just its estimate, so any beyond these is worse than n others. Memory is linear in a chunk, however long.
+
+Pieces and scores are those of the model file. For a BPE file the best sum of scores need not be the segmentation that
+merging in order gives, which is what that model's own encoder returns.
+
 Ties: of equal ways to a place the one with the longest last piece wins; equal scores of a text come in search order.
 Cases: a null or empty text has no pieces, one segmentation of score 0 (null decodes to null); repeated rows are encoded
 alike; a text of any length is encoded whole; an empty table gives no rows; other columns are ignored.
@@ -17,11 +23,11 @@ from __future__ import annotations
 
 import heapq
 import re
-import struct
 import zlib
-from collections.abc import Iterable, Iterator, Sequence
+from array import array
+from bisect import insort
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,9 @@ MARK = "▁"
 BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: Chunks that a task remembers.
 REMEMBERED = 600_000
+#: Chunks of more characters do not keep their edges.
+LONG_CHUNK = 4096
+NONE = np.uint32(0xFFFFFFFF)
 
 
 class PieceModel:
@@ -58,6 +67,8 @@ class PieceModel:
         self.longest = max(map(len, self.ids))
         keyed = sorted((self._key(p), w) for p, w in self.score.items())
         self.keys, self.key_score = np.array([k for k, _ in keyed], np.uint64), np.array([w for _, w in keyed])
+        number = {self._key(p): i for p, i in self.ids.items()}
+        self.key_id = np.array([number[k] for k, _ in keyed], np.uint32)
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a key")
         self.seen = np.zeros(1 << 20, bool)  # the keys' upper bits: most substrings are no pieces
@@ -72,7 +83,30 @@ class PieceModel:
         else:
             word = r"\w" + "".join(map(re.escape, sorted(inner)))
             self.chunk = re.compile(rf"\n|{MARK}*[^{word}{MARK}\n]*[{word}]+|{MARK}*[^{word}{MARK}\n]+|{MARK}+")
-        self.known: dict[str, tuple[bytes, float, float]] = {}
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_sizes = np.array([len(r) for r in self.raw], np.int64)
+        self.raw_ends = np.cumsum(self.raw_sizes)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties what is remembered of chunks: their numbers, and by number score, loss and place of the ids."""
+        self.number: dict[str, int] = {}
+        self.score_of, self.loss_of = np.empty(1024), np.empty(1024)
+        self.begin, self.count = np.empty(1024, np.int64), np.empty(1024, np.int64)
+        self.flat, self.used = np.empty(4096, np.uint32), 0
+
+    def remember(self, chunks: Sequence[str], ids: np.ndarray, counts: np.ndarray, score: np.ndarray, loss: np.ndarray) -> None:
+        have, more = len(self.number), len(chunks)
+        while have + more > len(self.score_of):
+            self.score_of, self.loss_of, self.begin, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.score_of, self.loss_of, self.begin, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        at = slice(have, have + more)
+        self.score_of[at], self.loss_of[at], self.count[at] = score, loss, counts
+        self.begin[at] = self.used + np.cumsum(counts) - counts
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(chunks, range(have, have + more)))
 
     @staticmethod
     def _key(piece: str) -> int:
@@ -81,24 +115,27 @@ class PieceModel:
             h = h * int(BASE) + ord(c) + 1 & 0xFFFFFFFFFFFFFFFF
         return h * int(SPREAD) & 0xFFFFFFFFFFFFFFFF
 
-    def edges(self, chunk: str) -> list[list[tuple[int, float]]]:
-        """For each end place, the (start, score) of edges into it, longest first."""
+    def into(self, chunk: str, e: int) -> list[tuple[int, float]]:
+        """The (start, score) of edges that end at place e, longest first."""
         get, longest = self.score.get, self.longest
-        out: list[list[tuple[int, float]]] = [[]]
-        for e in range(1, len(chunk) + 1):
-            into = [(s, w) for s in range(e - longest if e > longest else 0, e) if (w := get(chunk[s:e])) is not None]
-            if not into or into[-1][0] != e - 1:
-                into.append((e - 1, self.penalty))
-            out.append(into)
-        return out
+        found = [(s, w) for s in range(e - longest if e > longest else 0, e) if (w := get(chunk[s:e])) is not None]
+        if not found or found[-1][0] != e - 1:
+            found.append((e - 1, self.penalty))
+        return found
+
+    def edges(self, chunk: str) -> Sequence[list[tuple[int, float]]]:
+        """``into`` for each end place; of long chunks, taken anew each time."""
+        if len(chunk) > LONG_CHUNK:
+            return LateEdges(self, chunk)
+        return [[], *(self.into(chunk, e) for e in range(1, len(chunk) + 1))]
 
     @staticmethod
-    def forward(edges: list[list[tuple[int, float]]]) -> tuple[list[float], list[int]]:
+    def forward(edges: Sequence[list[tuple[int, float]]]) -> tuple[array, array]:
         """(best score to each place, the start of its last piece)."""
-        best, back = [0.0], [0]
-        for into in edges[1:]:
+        best, back = array("d", [0.0]), array("q", [0])
+        for e in range(1, len(edges)):
             top, at = -np.inf, 0
-            for s, w in into:
+            for s, w in edges[e]:
                 w += best[s]
                 if w > top:
                     top, at = w, s
@@ -110,58 +147,77 @@ class PieceModel:
         i = self.ids.get(chunk[start:end])
         return (i,) if i is not None else [self.byte_id[b] for b in chunk[start:end].encode()]
 
-    def best(self, chunk: str) -> tuple[bytes, float, float]:
-        """(ids as little-endian 32-bit, score, what the second best loses; infinite without one)."""
+    def best(self, chunk: str) -> tuple[list[int], float, float]:
+        """(ids, score, what the second best loses; infinite without one)."""
         whole = self.ids.get(chunk) if len(chunk) == 1 else None
         if whole is not None:
-            got = (struct.pack("<I", whole), self.score[chunk], np.inf)
-        else:
-            edges = self.edges(chunk)
-            best, back = self.forward(edges)
-            place = n = len(chunk)
-            ids: list[int] = []
-            taken = [-1] * (n + 1)
-            while place:
-                start = taken[place] = back[place]
-                i = self.ids.get(chunk[start:place])
-                ids[:0] = (i,) if i is not None else self.ids_of(chunk, start, place)
-                place = start
-            rest = [-np.inf] * n + [0.0]
-            top = -np.inf  # of ways that leave the best one somewhere
-            for e in range(n, 0, -1):
-                tail, kept = rest[e], taken[e]
-                for s, w in edges[e]:
-                    w += tail
-                    if w > rest[s]:
-                        rest[s] = w
-                    if s != kept and (w := w + best[s]) > top:
-                        top = w
-            got = (struct.pack(f"<{len(ids)}I", *ids), best[n], best[n] - top)
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[chunk] = got
-        return got
-
-    def learn(self, chunks: Iterable[str]) -> None:
-        """``best`` of many chunks at once: chunks of one length are the rows of arrays."""
-        new = set(chunks) - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
+            return [whole], self.score[chunk], np.inf
+        edges = self.edges(chunk)
+        best, back = self.forward(edges)
+        place = n = len(chunk)
+        cuts = array("q", [n])
+        while place:
+            place = back[place]
+            cuts.append(place)
+        cuts.reverse()
+        ids: list[int] = []
+        for s, e in zip(cuts, cuts[1:]):
+            ids += self.ids_of(chunk, s, e)
+        taken = dict(zip(cuts[1:], cuts))
+        rest = array("d", [-np.inf]) * n + array("d", [0.0])
+        top = -np.inf  # of ways that leave the best one somewhere
+        for e in range(n, 0, -1):
+            tail, kept = rest[e], taken.get(e, -1)
+            for s, w in edges[e]:
+                w += tail
+                if w > rest[s]:
+                    rest[s] = w
+                if s != kept and (w := w + best[s]) > top:
+                    top = w
+        return ids, best[n], best[n] - top
+
+    def learn(self, chunks: list[str]) -> np.ndarray:
+        """The numbers of chunks; ``best`` of new ones is found for many at once, chunks of one length as rows of arrays."""
+        get = self.number.get
+        at = np.array([get(c, -1) for c in chunks], np.int64)
+        if (at >= 0).all():
+            return at
+        new = dict.fromkeys(chunks[i] for i in np.flatnonzero(at < 0).tolist())
+        if len(self.number) + len(new) > REMEMBERED and self.number:
+            self.forget()
+            return self.learn(chunks)
         by_length: dict[int, list[str]] = {}
         for c in new:
             by_length.setdefault(len(c), []).append(c)
         for n, same in by_length.items():
             if not 1 < n <= 32 or len(same) < 8:
-                for c in same:
-                    self.best(c)
+                found = [self.best(c) for c in same]
+                counts = np.array([len(f[0]) for f in found])
+                ids = np.fromiter((i for f in found for i in f[0]), np.uint32, int(counts.sum()))
+                self.remember(same, ids, counts, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
                 continue
             for lo in range(0, len(same), 1 << 15):
                 self._learn(same[lo : lo + (1 << 15)], n)
+        get = self.number.get
+        for i in np.flatnonzero(at < 0).tolist():
+            at[i] = get(chunks[i])
+        return at
+
+    def entry(self, chunk: str) -> tuple[list[int], float, float]:
+        """``best`` of a chunk that is remembered."""
+        i = self.number[chunk]
+        return self.ids_at(np.array([i])).tolist(), float(self.score_of[i]), float(self.loss_of[i])
+
+    def ids_at(self, at: np.ndarray) -> np.ndarray:
+        """The ids of remembered chunks, one after another."""
+        n = self.count[at]
+        return self.flat[np.repeat(self.begin[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
 
     def _learn(self, chunks: list[str], n: int) -> None:
         rows = len(chunks)
         codes = np.frombuffer("".join(chunks).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(rows, n).astype(np.uint64)
         weight: dict[tuple[int, int], np.ndarray] = {}
+        piece: dict[tuple[int, int], np.ndarray] = {}  # ids; NONE where no piece is
         for s in range(n):
             h = np.zeros(rows, np.uint64)
             for e in range(s + 1, min(n, s + self.longest) + 1):
@@ -171,11 +227,12 @@ class PieceModel:
                 maybe = np.flatnonzero(self.seen[key >> np.uint64(44)])
                 at = np.searchsorted(self.keys, key[maybe])
                 hit = self.keys[np.minimum(at, len(self.keys) - 1)] == key[maybe]
-                if hit.any():
-                    w[maybe[hit]] = self.key_score[at[hit]]
-                elif e > s + 1:
+                if not hit.any() and e > s + 1:
                     continue
+                w[maybe[hit]] = self.key_score[at[hit]]
                 weight[s, e] = w
+                piece[s, e] = own = np.full(rows, NONE)
+                own[maybe[hit]] = self.key_id[at[hit]]
         best, back = np.full((n + 1, rows), -np.inf), np.zeros((n + 1, rows), np.int64)
         best[0] = 0
         for s, e in sorted(weight, key=lambda p: (p[1], p[0])):
@@ -183,58 +240,99 @@ class PieceModel:
             more = w > best[e]
             best[e][more] = w[more]
             back[e][more] = s
-        place, taken, start = np.full(rows, n), np.full((n + 1, rows), -1), np.zeros((rows, n + 1), bool)
+        place, taken = np.full(rows, n), np.full((n + 1, rows), -1)
         for e in range(n, 0, -1):
             on = place == e
             taken[e][on] = back[e][on]
             place = np.where(on, back[e], place)
-            start[on, back[e][on]] = True
         rest, top = np.full((n + 1, rows), -np.inf), np.full(rows, -np.inf)
         rest[n] = 0
         for s, e in sorted(weight, key=lambda p: -p[1]):
             w = weight[s, e] + rest[e]
             np.maximum(rest[s], w, out=rest[s])
             np.maximum(top, np.where(taken[e] == s, -np.inf, w + best[s]), out=top)
-        start[:, n] = True
-        row, cut = np.nonzero(start)
-        spans = np.split(cut, np.flatnonzero(np.diff(row)) + 1)
-        get = self.ids.get
-        for chunk, score, loss, cuts in zip(chunks, best[n].tolist(), (best[n] - top).tolist(), spans):
-            cuts = cuts.tolist()
-            ids: list[int] = []
-            for s, e in zip(cuts, cuts[1:]):
-                i = get(chunk[s:e])
-                ids += (i,) if i is not None else self.ids_of(chunk, s, e)
-            self.known[chunk] = (struct.pack(f"<{len(ids)}I", *ids), score, loss)
+        row, start, ids = [], [], []
+        for s, e in weight:
+            own = np.flatnonzero(taken[e] == s)
+            row.append(own)
+            start.append(np.full(len(own), s))
+            ids.append(piece[s, e][own])
+        row, start, ids = map(np.concatenate, (row, start, ids))
+        odd = np.unique(row[ids == NONE])  # with characters that are no piece: their bytes are
+        plain = np.ones(rows, bool)
+        plain[odd] = False
+        keep = plain[row]
+        order = np.lexsort((start[keep], row[keep]))
+        counts = np.bincount(row[keep], minlength=rows)
+        whole = np.flatnonzero(plain)
+        self.remember([chunks[i] for i in whole.tolist()], ids[keep][order], counts[whole], best[n][whole], (best[n] - top)[whole])
+        if len(odd):
+            found = [self.best(chunks[i]) for i in odd.tolist()]
+            counts = np.array([len(f[0]) for f in found])
+            self.remember(
+                [chunks[i] for i in odd.tolist()], np.fromiter((i for f in found for i in f[0]), np.uint32, int(counts.sum())), counts,
+                np.array([f[1] for f in found]), np.array([f[2] for f in found]),
+            )
 
     def search(self, chunk: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one chunk, (score, ids), best first."""
         edges = self.edges(chunk)
         best, _ = self.forward(edges)
-        queue = [(-best[len(chunk)], 0, len(chunk), 0.0, ())]
+        place_of, came = array("q", [len(chunk)]), array("q", [-1])  # of each way that was open: its place, and the way before
+        queue = [(-best[len(chunk)], 0, 0, 0.0)]  # sorted: (estimate, order of entry, way, score so far)
         count, found = 0, []
         while queue and len(found) < n:
-            _, _, place, tail, path = heapq.heappop(queue)
+            _, _, way, tail = queue.pop(0)
+            place = place_of[way]
             if place == 0:
-                found.append((tail, tuple(i for s, e in path for i in self.ids_of(chunk, s, e))))
+                ids: list[int] = []
+                while came[way] >= 0:
+                    ids += self.ids_of(chunk, place_of[way], place_of[came[way]])
+                    way = came[way]
+                found.append((tail, tuple(ids)))
                 continue
+            most = n - len(found)
             for s, w in edges[place]:
                 count += 1
-                heapq.heappush(queue, (-(best[s] + w + tail), count, s, tail + w, ((s, place), *path)))
+                estimate = -(best[s] + w + tail)
+                if len(queue) < most or estimate < queue[-1][0]:
+                    place_of.append(s)
+                    came.append(way)
+                    insort(queue, (estimate, count, len(came) - 1, tail + w))
+                    del queue[most:]
         return found
 
     def chunks(self, text: str) -> list[str]:
         return self.chunk.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def found(self, chunks: list[str]) -> list[tuple[bytes, float, float]]:
-        get, best = self.known.get, self.best
-        return [get(c) or best(c) for c in chunks]
-
     def encode(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([f[0] for f in self.found(self.chunks(text))]), "<u4").tolist()
+        return self.ids_at(self.learn(self.chunks(text))).tolist()
 
-    def nbest_of(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
-        """``nbest`` of each text; texts are chunked together, some million characters at a time."""
+    def ranked(self, chunks: list[str], at: np.ndarray, n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+        """The n best segmentations as (score, ids of the chunks that are changed against the best one), best first."""
+        loss = self.loss_of[at]
+        change = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else np.argpartition(loss, n - 2)[: n - 1] if n > 1 else []
+        ways: list[tuple[float, dict]] = [(0.0, {})]  # losses, with what is changed where
+        for i in sorted(int(i) for i in change if loss[i] < np.inf):
+            others = self.search(chunks[i], n)
+            top = float(self.score_of[at[i]])
+            ways = heapq.nsmallest(
+                n, ((lost + top - s, {**swap, i: own} if k else swap) for lost, swap in ways for k, (s, own) in enumerate(others)),
+                key=lambda w: w[0],
+            )
+        total = float(self.score_of[at].sum())
+        return [(total - lost, swap) for lost, swap in ways]
+
+    def ids_with(self, at: np.ndarray, swap: dict[int, tuple[int, ...]]) -> np.ndarray:
+        """The ids of the chunks numbered ``at``, those of ``swap`` in place of the best ones."""
+        parts, last = [], 0
+        for i in sorted(swap):
+            parts += [self.ids_at(at[last:i]), np.array(swap[i], np.uint32)]
+            last = i + 1
+        return np.concatenate([*parts, self.ids_at(at[last:])]).astype("<u4")
+
+    def together(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """(chunks, their numbers) of each text; texts are chunked together, some million characters at a time."""
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
@@ -242,39 +340,40 @@ class PieceModel:
                 size += len(texts[hi])
                 hi += 1
             chunked = [self.chunks(t) for t in texts[lo:hi]]
-            self.learn(chain.from_iterable(chunked))
+            every = [c for chunks in chunked for c in chunks]
+            at, done = self.learn(every), 0
             for chunks in chunked:
-                yield self._nbest(chunks, n)
+                yield chunks, at[done : done + len(chunks)]
+                done += len(chunks)
             lo = hi
 
+    def nbest_of(self, texts: list[str], n: int) -> Iterator[list[tuple[float, np.ndarray]]]:
+        """``nbest`` of each text."""
+        for chunks, at in self.together(texts):
+            yield [(score, self.ids_with(at, swap)) for score, swap in self.ranked(chunks, at, n)]
+
     def nbest(self, text: str, n: int) -> list[tuple[float, np.ndarray]]:
         """The n best segmentations of a text, (score, ids), best first."""
-        return self._nbest(self.chunks(text), n)
-
-    def _nbest(self, chunks: list[str], n: int) -> list[tuple[float, np.ndarray]]:
-        found = self.found(chunks)
-        ids = [f[0] for f in found]
-        total = sum([f[1] for f in found])
-        loss = np.array([f[2] for f in found])
-        change = np.argsort(loss, kind="stable")[: n - 1] if len(loss) < 4 * n else np.argpartition(loss, n - 2)[: n - 1] if n > 1 else []
-        ways: list[tuple[float, tuple]] = [(0.0, ())]  # losses, with what is changed where
-        for i in sorted(int(i) for i in change if loss[i] < np.inf):
-            others = self.search(chunks[i], n)
-            ways = heapq.nsmallest(
-                n, ((lost + found[i][1] - s, (*swap, (i, own)) if k else swap) for lost, swap in ways for k, (s, own) in enumerate(others)),
-                key=lambda w: w[0],
-            )
-        out = []
-        for lost, swap in ways:
-            own = list(ids) if swap else ids
-            for i, new in swap:
-                own[i] = struct.pack(f"<{len(new)}I", *new)
-            out.append((total - lost, np.frombuffer(b"".join(own), "<u4")))
-        return out
+        return next(self.nbest_of([text], n))
 
     def decode(self, ids: Sequence[int]) -> str:
-        raw = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return raw.removeprefix(MARK).replace(MARK, " ")
+        ids = np.asarray(ids, np.int64)
+        n = self.raw_sizes[ids]
+        at = np.repeat(self.raw_ends[ids] - np.cumsum(n), n) + np.arange(int(n.sum()))
+        return self.raw_bytes[at].tobytes().decode("utf-8", "replace").removeprefix(MARK).replace(MARK, " ")
+
+
+class LateEdges:
+    """``PieceModel.edges`` of a long chunk, each list made when it is asked for."""
+
+    def __init__(self, model: PieceModel, chunk: str):
+        self.model, self.chunk = model, chunk
+
+    def __len__(self) -> int:
+        return len(self.chunk) + 1
+
+    def __getitem__(self, e: int) -> list[tuple[int, float]]:
+        return self.model.into(self.chunk, e)
 
 
 @lru_cache(maxsize=2)
@@ -326,9 +425,10 @@ def segmentations(docs: DataFrame, model: str, n: int = 3) -> DataFrame:
                 part = batch.slice(lo, 2048)
                 rows = []
                 texts = part.column(1).fill_null("").to_pylist()
-                for text, ways in zip(texts, own.nbest_of(texts, n)):
-                    ids = ways[0][1]
-                    rows.append((len(ids), zlib.crc32(ids.tobytes()), [s for s, _ in ways], own.decode(ids.tolist()) == text))
+                for text, (chunks, at) in zip(texts, own.together(texts)):
+                    ids = own.ids_at(at).astype("<u4")
+                    scores = [s for s, _ in own.ranked(chunks, at, n)]
+                    rows.append((len(ids), zlib.crc32(ids.tobytes()), scores, own.decode(ids) == text))
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows), kinds))], names=["doc_id", "n_pieces", "ids_crc32", "scores", "restored"]

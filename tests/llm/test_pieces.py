@@ -63,8 +63,8 @@ def test_learning_together_equals_one_by_one(model):
     rnd = random.Random(4)
     chunks = {pieces.MARK + "".join(rnd.choice("etaoinshré日𓀀") for _ in range(rnd.randint(1, 20))) for _ in range(2000)}
     together, single = pieces.PieceModel(PATH), pieces.PieceModel(PATH)
-    together.learn(chunks)
-    assert all(together.known[c] == single.best(c) for c in chunks)
+    together.learn(list(chunks))
+    assert all(together.entry(c) == single.best(c) for c in chunks)
 
 
 def test_documents_round_trip(spark, sf_dir):
@@ -82,3 +82,33 @@ def test_query_restores_all(spark, sf_dir):
     assert got.where("not restored or size(scores) < 1").count() == 0
     assert got.count() == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert got.limit(0).collect() == []
+
+
+def test_a_long_unbroken_word_takes_linear_memory(model):
+    import tracemalloc
+
+    rnd = random.Random(6)
+    word = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60_000))
+    tracemalloc.start()
+    got = model.nbest(word, 3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 1000 * len(word)
+    assert len(got) == 3 and got[0][0] >= got[1][0] >= got[2][0]
+    assert len({tuple(i) for _, i in got}) == 3 and all(model.decode(i) == word for _, i in got)
+
+
+def test_numbers_start_anew_when_many_are_remembered(model, monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 50)
+    small = pieces.PieceModel(PATH)
+    for i in range(40):
+        text = " ".join(f"word{i * 7 + j}" for j in range(9))
+        assert small.encode(text) == model.encode(text)
+
+
+def test_odd_tables(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (None, "c", "y"), (2, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    got = sorted(map(str, (tuple(r) for r in pieces.segmentations(df, PATH).collect())))
+    assert len(got) == 4 and got[0] == got[1]
+    assert pieces.segmentations(df.limit(0), PATH).collect() == []
