@@ -2,15 +2,16 @@
 
 1. Corners are found on several scales, the strongest ``most_corners`` of each. A patch gets an orientation from its
    intensity centroid and 256 binary tests turned by it: 256 bits that light and contrast do not change.
-2. Descriptors are cut into 8 parts of 32 bits. Two that differ in at most 7 bits have a part in common, so a join on
-   (part, value) meets every such pair; the bits are then counted. Values that a sketch knows to occur once stay out.
+2. Descriptors are cut into 8 parts of 32 bits. Two that differ in at most 7 bits have a part in common, so tables keyed by
+   (part, value) meet every such pair. Values that a count-min sketch knows to occur once stay out. A table row carries its
+   descriptor folded to 64 bits, halves upon halves by exclusive or: folded, two differ in no more bits than in full, so
+   pairs that differ too much go at once; those left are counted in full.
 3. Each matched pair of corners proposes a rotation, scale and shift. Two images are copies when ``least`` matches or more
    agree on one, in bins that overlap.
 
-Equal images are one node from the start. Within a value of a table, images meet their neighbours first; what those link
-is merged, and where several components are left, members of different ones meet in blocks. So no link that could join
-two components is left out, while a popular descriptor costs a number of pairs linear in its images. The number of an
-image's links comes from a last pass in which all members of a class meet.
+Equal images are one node from the start. A value that very many corners share is dealt to blocks, by a second sketch's
+estimate of its count, and blocks meet two by two, so no task holds a whole popular value. All links are found, for
+n_links counts them: what is passed on grows with the links, quadratic in a class of edits of one picture.
 
 Images are binary columns in a netpbm format (P5 grey, P6 colour). Cases: null, empty or unreadable images, and images
 without corners, are copies of nothing but images with equal bytes (null ones: of nothing); repeated rows are equal
@@ -27,16 +28,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from causeway.llm.common import mix, written
-from causeway.llm.jaccard import components
+from causeway.llm.common import U, dropped, mix, sketch_tasks, written
+from causeway.llm.jaccard import Cells, capped, components
 from causeway.llm.substring import BLOCK_CELLS, MOST_CELLS, Sketch
 
 RADIUS = 9
 TURNS = 32
 LEVELS = (1.0, 0.7)
-LAGS = (1, 2, 4, 8)
+#: Rows of one table value that meet in one place.
 BLOCK_ROWS = 2048
-FEATURES = "node long, corner int, x float, y float, scale float, angle float, bits binary"
+#: Counters of the sketch that tells popular values apart.
+COUNTERS = 1 << 20
+#: Images of one Arrow batch.
+BATCH_IMAGES = 64
+BITS = ["b0", "b1", "b2", "b3"]
+FEATURES = "node long, corner int, x float, y float, scale float, angle float, b0 long, b1 long, b2 long, b3 long"
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
@@ -140,8 +146,9 @@ def features(images: DataFrame, most: int) -> DataFrame:
                 x, y, scale, angle, bits = describe(grey, most)
                 if len(x):
                     columns = [pa.array(np.full(len(x), node)), pa.array(np.arange(len(x), dtype=np.int32))]
-                    columns += [pa.array(v.astype(np.float32)) for v in (x, y, scale, angle)] + [pa.array([b.tobytes() for b in bits], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, names=["node", "corner", "x", "y", "scale", "angle", "bits"])
+                    columns += [pa.array(v.astype(np.float32)) for v in (x, y, scale, angle)]
+                    columns += [pa.array(v) for v in np.ascontiguousarray(bits).view(np.int64).T.copy()]
+                    yield pa.RecordBatch.from_arrays(columns, names=["node", "corner", "x", "y", "scale", "angle", *BITS])
 
     return images.mapInArrow(find, FEATURES)
 
@@ -161,118 +168,126 @@ def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield held
 
 
-def popular(found: DataFrame) -> DataFrame:
-    """(part, value, node, corner, bits) of descriptor parts whose value is estimated to occur twice.
+def part_keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, the 64-bit keys of its eight (part, value), and its folded bits."""
+    bits = np.stack([batch.column(c).to_numpy() for c in BITS], 1).view(U)
+    parts = np.ascontiguousarray(bits).view(np.uint32).astype(U)  # eight of each row
+    return mix(parts + (np.arange(8, dtype=U) << U(32))), np.bitwise_xor.reduce(bits, 1)
+
+
+def table_rows(found: DataFrame, n: int) -> DataFrame:
+    """key, blocks, node, corner, fold of descriptor parts whose value is estimated to occur twice among ``n`` corners.
 
     Most values occur once and meet nothing. A count-min sketch over all of them, which only overestimates, keeps these
-    out of the shuffle; it grows with the corners up to ``MOST_CELLS`` and is broadcast as bits.
+    out of the shuffle; it grows with the corners up to ``MOST_CELLS`` and is broadcast as bits. A second one, of few
+    counters, tells how many blocks a popular value needs: what it says above the level that all counters share.
     """
     spark = found.sparkSession
-    cells = min(MOST_CELLS, max(1 << 16, 1 << (found.count() * 64).bit_length()))
+    cells = min(MOST_CELLS, max(1 << 16, 1 << (n * 32).bit_length()))
     block = min(BLOCK_CELLS, cells)
 
-    def keys(batch: pa.RecordBatch) -> np.ndarray:
-        """The 64-bit keys of the eight parts of each row, one row each."""
-        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, 8)
-        return mix(bits.astype(np.uint64) + (np.arange(8, dtype=np.uint64) << np.uint64(32)))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(cells)
+        sketch, counts = Sketch(cells), Cells(np.zeros(COUNTERS, np.uint32))
         for batch in batches:
             if len(batch):
-                sketch.add(keys(batch).ravel())
+                keys = part_keys(batch)[0].ravel()
+                sketch.add(keys)
+                counts.add(keys)
+        out = [(-1, zlib.compress(counts.data.tobytes(), 1))] if counts.data.any() else []
         for b in range(cells // block):
             once, more = (x[b * block // 8 : (b + 1) * block // 8] for x in (sketch.once, sketch.more))
             if once.any():
-                planes = zlib.compress(once.tobytes() + more.tobytes(), 1)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([planes], pa.binary())], names=["block", "cells"])
+                out.append((b, zlib.compress(once.tobytes() + more.tobytes(), 1)))
+        for b, data in out:
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([data], pa.binary())], names=["block", "cells"])
 
     def merge(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, more = np.zeros(block // 8, np.uint8), np.zeros(block // 8, np.uint8)
+        once, more, total = np.zeros(block // 8, np.uint8), np.zeros(block // 8, np.uint8), np.zeros(COUNTERS, np.int64)
+        counters = key[0].as_py() < 0
         for batch in rows:
             for data in batch.column("cells"):
-                new_once, new_more = np.frombuffer(zlib.decompress(data.as_buffer()), np.uint8).reshape(2, -1)
+                data = zlib.decompress(data.as_buffer())
+                if counters:
+                    total += np.frombuffer(data, np.uint32)
+                    continue
+                new_once, new_more = np.frombuffer(data, np.uint8).reshape(2, -1)
                 more |= new_more | once & new_once
                 once |= new_once
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(more.tobytes(), 1)], pa.binary())], names=["block", "cells"])
+        out = zlib.compress((capped(total) if counters else more).tobytes(), 1)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.binary())], names=["block", "cells"])
 
-    schema, more = "block int, cells binary", np.zeros(cells // 8, np.uint8)
-    merged = found.select("bits").coalesce(spark.sparkContext.defaultParallelism).mapInArrow(count, schema).groupBy("block").applyInArrow(merge, schema)
+    schema, more, counters = "block int, cells binary", np.zeros(cells // 8, np.uint8), np.zeros(COUNTERS, np.uint32)
+    merged = found.select(*BITS).coalesce(sketch_tasks(spark, n * 64)).mapInArrow(count, schema).groupBy("block").applyInArrow(merge, schema)
     for row in merged.toLocalIterator():
-        more[row.block * block // 8 : (row.block + 1) * block // 8] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
-    held = spark.sparkContext.broadcast(more)
+        data = zlib.decompress(row.cells)
+        if row.block < 0:
+            counters[:] = np.frombuffer(data, np.uint32)
+        else:
+            more[row.block * block // 8 : (row.block + 1) * block // 8] = np.frombuffer(data, np.uint8)
+    held = spark.sparkContext.broadcast((more, counters, int(np.median(counters))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = Sketch(cells, held.value, held.value)
+        more, counters, level = held.value
+        sketch, counts = Sketch(cells, more, more), Cells(counters, level)
         for batch in batches:
             if not len(batch):
                 continue
-            k = keys(batch)
-            row, part = np.nonzero(sketch.repeated(k.ravel()).reshape(k.shape))
-            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint32).reshape(-1, 8)
-            take = pa.array(row)
+            keys, fold = part_keys(batch)
+            row, part = np.nonzero(sketch.repeated(keys.ravel()).reshape(keys.shape))
+            keys, take = keys[row, part], pa.array(row)
+            blocks = 1 + counts.estimate(keys) // BLOCK_ROWS
             yield pa.RecordBatch.from_arrays(
-                [pa.array(part.astype(np.int32)), pa.array(bits[row, part].astype(np.int64)), *(batch.column(c).take(take) for c in ("node", "corner", "bits"))],
-                names=["part", "value", "node", "corner", "bits"],
+                [pa.array(keys.view(np.int64)), pa.array(blocks.astype(np.int32)), batch.column("node").take(take), batch.column("corner").take(take), pa.array(fold[row].view(np.int64))],
+                names=["key", "blocks", "node", "corner", "fold"],
             )
 
-    return found.select("node", "corner", "bits").mapInArrow(keep, "part int, value long, node long, corner int, bits binary")
+    return found.select("node", "corner", *BITS).mapInArrow(keep, "key long, blocks int, node long, corner int, fold long")
 
 
 PAIRS = "a long, ca int, b long, cb int"
 
 
-def blocked(rooted: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
-    """``rooted`` with i, j, own: each group of ``keys`` (of ``rows`` rows in ``groups``) dealt so that all its pairs meet in blocks."""
-    blocks = groups.select(*keys, F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("blocks"))
+def matches(rows: DataFrame, reach: int) -> DataFrame:
+    """Pairs of corners (a, ca, b, cb) of images a < b that share a table value and, folded, differ in at most ``reach`` bits."""
     own = F.pmod(F.xxhash64("node", "corner"), F.col("blocks")).cast("int")
-    dealt = rooted.join(blocks, keys).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-
-
-def matches(tables: DataFrame, lags: tuple[int, ...] | None, reach: int, within: bool = False) -> DataFrame:
-    """Pairs of corners (a, ca, b, cb) of images with a < b that share a table value and differ in at most ``reach`` bits.
-
-    ``tables`` has part, value, i, j, own, node, root, corner, bits. With ``lags`` only rows so far apart meet. Images of
-    different roots meet; ``within``: different images of one root instead.
-    """
-    keys = ["part", "value", *(["root"] if within else []), "i", "j"]
-    apart = "node" if within else "root"
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "corner", "fold")
+    keys = ["key", "i", "j"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, keys):
-            column = {c: t.column(c).to_numpy() for c in {*keys, "own", "node", "root", "corner"}}
-            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
+            column = {c: t.column(c).to_numpy() for c in (*keys, "own", "node", "corner", "fold")}
             new = np.ones(len(t), bool)
             new[1:] = np.any([column[c][1:] != column[c][:-1] for c in keys], axis=0)
-            group, begin = np.cumsum(new), np.flatnonzero(new)
-            most = int(np.diff(np.append(begin, len(t))).max())
-            for lag in lags or range(1, most):
-                if lag >= most:
+            group, lag, x = np.cumsum(new), 0, np.arange(len(t))
+            while True:
+                lag += 1
+                x = x[x + lag < len(t)]
+                x = x[group[x + lag] == group[x]]
+                if not len(x):
                     break
-                x = np.flatnonzero(group[lag:] == group[:-lag])
                 y = x + lag
-                ok = (column[apart][x] != column[apart][y]) & ((column["i"][x] == column["j"][x]) | (column["own"][x] != column["own"][y]))
-                x, y = x[ok], y[ok]
-                near = np.bitwise_count(bits[x] ^ bits[y]).sum(1) <= reach
-                x, y = x[near], y[near]
-                swap = column["node"][x] > column["node"][y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-                if len(x):
+                ok = (column["node"][x] != column["node"][y]) & (np.bitwise_count(column["fold"][x] ^ column["fold"][y]) <= reach)
+                ok &= (column["i"][x] == column["j"][x]) | (column["own"][x] != column["own"][y])
+                p, q = x[ok], y[ok]  # rows are sorted by node
+                if len(p):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(column["node"][x]), pa.array(column["corner"][x]), pa.array(column["node"][y]), pa.array(column["corner"][y])], names=["a", "ca", "b", "cb"]
+                        [pa.array(column["node"][p]), pa.array(column["corner"][p]), pa.array(column["node"][q]), pa.array(column["corner"][q])], names=["a", "ca", "b", "cb"]
                     )
 
-    return tables.repartition(*keys).sortWithinPartitions(*keys, "node", "corner").mapInArrow(meet, PAIRS).distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "node", "corner").mapInArrow(meet, PAIRS).distinct()
 
 
-def consensus(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """The image pairs (a, b) of which ``least`` matched corners agree on rotation, scale and shift."""
+def consensus(pairs: DataFrame, found: DataFrame, reach: int, least: int) -> DataFrame:
+    """The image pairs (a, b) of which ``least`` corners match in full and agree on rotation, scale and shift."""
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    found = found.join(met, "node", "left_semi")
     side = lambda k: found.select(
-        F.col("node").alias(k), F.col("corner").alias(f"c{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("x", "y", "scale", "angle"))
+        F.col("node").alias(k), F.col("corner").alias(f"c{k}"), *(F.col(c).alias(f"{c}_{k}") for c in ("x", "y", "scale", "angle", *BITS))
     )
     m = pairs.join(side("a"), ["a", "ca"]).join(side("b"), ["b", "cb"])
+    apart = [F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in BITS]
+    m = m.where(sum(apart[1:], apart[0]) <= reach)
     zoom = F.col("scale_b") / F.col("scale_a")
     turn = F.col("angle_b") - F.col("angle_a")
     cos, sin = F.cos(turn) * zoom, F.sin(turn) * zoom
@@ -294,31 +309,31 @@ def consensus(pairs: DataFrame, found: DataFrame, least: int) -> DataFrame:
 def find_copies(images: DataFrame, most_corners: int = 40, reach: int = 7, least: int = 5) -> DataFrame:
     """image_id, n_links (images of other bytes found to be copies of it directly) and copy_id (the least id of its class).
 
-    ``images``: image_id long, image binary. Links are found until classes are whole. As every link is within a class, a last
-    pass over the pairs of each class finds all of them for n_links, at a cost quadratic in the class.
+    ``images``: image_id long, image binary.
     """
-    owners = images.select(F.col("image_id").cast("long").alias("image_id"), "image", F.xxhash64(F.sha2("image", 256)).alias("node"))
-    owners = owners.withColumn("node", F.when(F.col("image").isNotNull(), F.col("node")))
-    distinct = owners.where("image is not null").groupBy("node").agg(F.first("image").alias("image"))
-    found = written(features(distinct.select("node", "image"), most_corners), "features")
-    tables = written(popular(found), "tables")
-    first = tables.select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("own"), F.col("node").alias("root"))
-    links = written(consensus(matches(first, LAGS, reach), found, least), "links")
-    roots = components(links)
-    rooted = tables.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rooted.groupBy("part", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    dealt = blocked(rooted, mixed, ["part", "value"])
-    links = written(links.unionByName(consensus(matches(dealt, None, reach), found, least)).distinct(), "links")
+    spark = images.sparkSession
+    node = F.when(F.col("image").isNotNull(), F.xxhash64(F.sha2("image", 256)))
+    images = images.select(F.col("image_id").cast("long").alias("image_id"), "image").withColumn("node", node)
+    owners = written(images.select("image_id", "node"), "owners")
+    first = owners.where("node is not null").groupBy("node").agg(F.min("image_id").alias("first_id"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    spark.conf.set(key, str(BATCH_IMAGES))  # pictures are long rows
+    chosen = images.join(first, (images["node"] == first["node"]) & images["image_id"].eqNullSafe(first["first_id"]), "left_semi")
+    found = written(features(chosen.select("node", "image"), most_corners), "features")
+    spark.conf.set(key, before)
+    pairs = written(matches(table_rows(found, found.count()), reach), "pairs")
+    links = written(consensus(pairs, found, reach, least), "links")
+    dropped(pairs, found)
     roots = components(links)
-    inner = tables.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    shared = inner.groupBy("part", "value", "root").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    dealt = blocked(inner, shared, ["part", "value", "root"])
-    links = written(consensus(matches(dealt, None, reach, within=True), found, least), "links")
-    degree = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    named = owners.select("image_id", "node").join(roots, "node", "left").join(degree, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least_id = named.where("root is not null").groupBy("root").agg(F.min("image_id").alias("copy_id"))
-    return named.join(least_id, "root", "left").select(
-        "image_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy_id", "image_id").alias("copy_id")
+    degree = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("n_links"))
+    # the least id of each node, then of each class; both are summed within tasks first
+    linked = first.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
+    named = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("node", "least_id")
+    known = first.join(named, "node", "left").join(degree, "node", "left")
+    known = known.select("node", F.coalesce("least_id", "first_id").alias("copy"), "n_links")
+    return owners.join(known, "node", "left").select(
+        "image_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("copy", "image_id").alias("copy_id")
     )
 
 
