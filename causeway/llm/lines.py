@@ -15,8 +15,8 @@ characters, are lines that many pages hold count once for the most common of the
 that lowers a host's number of pages, more lines may exceed the ratio: this is repeated until the numbers stay.
 
 Cases: a null text stays null, with no lines; a null host is a host of its own; a page listed twice counts twice, or
-once with ``copies``; an empty table stays empty; other columns are kept, and names that clash with those added here are
-an error of Spark's only if they are ``n_lines`` or ``n_removed``, which are replaced.
+once with ``copies``; very long texts are split whole; an empty table stays empty; other columns are kept whatever their
+names, but for ``n_lines`` and ``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -105,15 +105,18 @@ def line_dedup(
     pages: DataFrame, text: str = "text", host: str = "source", ratio: float = 0.05, least_pages: int = 3, copies: float | None = None
 ) -> DataFrame:
     """``pages`` with boilerplate lines dropped from ``text``; adds n_lines and n_removed."""
-    found = written(boilerplate(pages, text, host, ratio, least_pages, copies), "boilerplate")
-    joined = with_lines(pages, found, text, host)
+    names = [c for c in pages.columns if c not in ("n_lines", "n_removed")]
+    held = pages.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # no name of the input can clash
+    text, host = (f"c{names.index(c)}" for c in (text, host))
+    found = written(boilerplate(held, text, host, ratio, least_pages, copies), "boilerplate")
+    joined = with_lines(held, found, text, host)
     lines = split_lines(F.col(text))
     keep = lambda x: ~F.array_contains(F.col("bp_lines"), fingerprint(F.trim(x)))
     kept = F.when(F.col("bp_lines").isNull() | F.col(text).isNull(), lines).otherwise(F.filter(lines, keep))
-    return (
+    out = (
         joined.withColumn("bp_kept", kept)
         .withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long"))
         .withColumn("n_removed", F.col("n_lines") - F.coalesce(F.size("bp_kept"), F.lit(0)))
         .withColumn(text, F.array_join("bp_kept", "\n"))
-        .select(*[c for c in pages.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
     )
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "n_lines", "n_removed")

@@ -29,3 +29,12 @@ def test_empty(spark):
 
 def test_query(same_as_sql):
     same_as_sql("op1_line_dedup")
+
+
+def test_clashing_names_repeated_rows_and_long_texts(spark):
+    long = "\n".join(f"own {i}" for i in range(20_000))
+    rows = [(i, f"menu\npage {i}", "h", "bp", "l", "k", 7) for i in range(10)] + [(10, long + "\nmenu", "h", None, None, None, 8)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bp_host string, bp_lines string, bp_kept string, n_lines int")
+    got = lines.line_dedup(df, ratio=0.3).orderBy("doc_id").collect()
+    assert [r.text for r in got] == [*(f"page {i}" for i in range(10)), long, long]
+    assert {(r.bp_host, r.bp_lines, r.bp_kept, r.n_lines, r.n_removed) for r in got} == {("bp", "l", "k", 2, 1), (None, None, None, 20_001, 1)}
