@@ -190,7 +190,7 @@ def build_index(
     alpha: float = 1.2,
     shard_nodes: int = SHARD_NODES,
 ) -> DataFrame:
-    """One row for each shard and vector length: shard int, graph binary (unit vectors, ids, edges, start).
+    """One row for each shard and vector length: shard int, most_ids int, graph binary (unit vectors, ids, edges, start).
 
     A node keeps the ``most_ids`` smallest ids of its equal vectors: as many as a search for one less can return.
     """
@@ -205,12 +205,12 @@ def build_index(
             for i, own in enumerate(part["ids"]):
                 ids[i, : len(own)] = own
             graph = Graph(x.astype(np.float32), degree, beam, alpha)
-            rows.append((int(part["shard"].iat[0]), pack_arrays(x=x, ids=ids, edges=graph.edges, start=np.array(graph.start))))
-        return pd.DataFrame(rows, columns=["shard", "graph"])
+            rows.append((int(part["shard"].iat[0]), most_ids, pack_arrays(x=x, ids=ids, edges=graph.edges, start=np.array(graph.start))))
+        return pd.DataFrame(rows, columns=["shard", "most_ids", "graph"])
 
     shard = F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard")
     nodes = classes(usable_rows, most_ids).select(shard, "vector", "ids")
-    return written(nodes.groupBy("shard").applyInPandas(build, "shard int, graph binary"), "ann")
+    return written(nodes.groupBy("shard").applyInPandas(build, "shard int, most_ids int, graph binary"), "ann")
 
 
 def nearest(
@@ -224,8 +224,12 @@ def nearest(
 ) -> DataFrame:
     """The k nearest by cosine of each query among all other ids: query_id, rank, vec_id, score.
 
-    Queries go in blocks to every shard, so a task holds one shard's graph and one block.
+    Queries go in blocks to every shard, so a task holds one shard's graph and one block. A ``k`` for which the index keeps
+    too few ids of equal vectors is an error.
     """
+    made = index.select("most_ids").first()
+    if made and k >= made.most_ids:
+        raise ValueError(f"the {k} nearest need an index with most_ids of {k + 1} at least; this one has {made.most_ids}")
     asked = usable(queries, id_col, vector_col)
     blocks = max(1, -(-asked.count() // block))
     shards = index.select(F.col("shard").alias("visited")).distinct()

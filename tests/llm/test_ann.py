@@ -57,3 +57,12 @@ def test_query(spark, sf_dir):
     got = queries.op5_nearest_neighbours(spark, sf_dir)
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"}
     assert got.count() == 5 * 10
+
+
+def test_an_index_with_too_few_ids_is_an_error(spark):
+    rows = [(i, [1.0, 0.0]) for i in range(12)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        ann.nearest(ann.build_index(vectors), vectors, k=6)
+    got = ann.nearest(ann.build_index(vectors, most_ids=8), vectors.where("vec_id = 3"), k=7).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [0, 1, 2, 4, 5, 6, 7]
