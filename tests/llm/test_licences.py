@@ -25,3 +25,16 @@ def test_empty(spark):
 
 def test_query(same_as_sql):
     same_as_sql("op3_licence_scan")
+
+
+def test_families_ties_and_repeated_rows(spark):
+    texts = {n: t for n, t in licences.TEMPLATES.items()}
+    rows = [(i, f"Some prose.\n{t}\nMore prose.") for i, t in enumerate(texts.values())] * 2
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        best = max(r.matches, key=lambda m: m.dice)
+        assert best.template == list(texts)[r.doc_id] and best.dice == 1.0
+    twins = {"b": "One and the same text here", "a": "One and the same text here"}
+    r = licences.scan(spark.createDataFrame([(1, twins["a"])], "doc_id long, text string"), twins).first()
+    assert [m.template for m in r.matches] == ["a"]
