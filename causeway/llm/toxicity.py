@@ -2,7 +2,7 @@
 
 Words, folded to lower case and stripped of punctuation, are hashed to rows of an embedding table. Filters of several
 widths slide over a text's embeddings; each keeps its largest response in the whole text, and a logistic layer turns
-those into a score. Training is by Adam on the fit rows, at most ``most_rows`` of them and 64 MB, chosen by a hash of the id; a
+those into a score. Training is by Adam on the fit rows, at most ``most_rows`` of them and ``most_bytes``, by a hash of the id; a
 fifth of these is held back to calibrate: scores are stretched so that the best cut lies at ``cut``, and for each
 language with enough rows a threshold of its own is kept.
 
@@ -11,7 +11,8 @@ Language serves for the thresholds alone; score and prediction at the common cut
 
 Cases: a null or empty text has no words and gets the score of no response at all; repeated rows get equal scores; with
 no fit rows, or rows of one label only, every score is the share of label 1 (0 without rows); an empty table gives no
-rows; an unknown or null language takes the common threshold; other columns are ignored.
+rows; an unknown or null language takes the common threshold; a row without an id is scored, and not held out; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -219,10 +220,9 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, mos
     sized = joined.groupBy("doc_id").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"))
     total, chosen = 0, []
     for r in sized.orderBy(F.xxhash64("doc_id"), "doc_id").collect():
-        total += r.n
-        if total > most_bytes and chosen:
-            break
-        chosen.append((r.doc_id,))
+        if total + r.n <= most_bytes:  # a text too long for what is left is passed over, shorter ones still come in
+            total += r.n
+            chosen.append((r.doc_id,))
     if not chosen:
         return []
     wanted = docs.sparkSession.createDataFrame(chosen, "chosen_id long")
@@ -232,11 +232,12 @@ def fit_rows(docs: DataFrame, labels: DataFrame, label: str, most_rows: int, mos
 
 
 def score_documents(
-    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 6000, cut: float = 0.3, net: ConvNet | None = None
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = 6000, cut: float = 0.3, net: ConvNet | None = None,
+    most_bytes: int = 64 << 20,
 ) -> DataFrame:
     """doc_id, held_out, score, predicted (score >= cut) and flagged (score >= the language's threshold)."""
     lean_batches(docs.sparkSession)
-    net = net or fit(fit_rows(docs, labels, label, most_rows), cut)
+    net = net or fit(fit_rows(docs, labels, label, most_rows, most_bytes), cut)
     if net.p:
         net.tables()
     held = docs.sparkSession.sparkContext.broadcast(net)
@@ -263,7 +264,7 @@ def score_documents(
         own = F.when(F.col("lang") == lang, F.lit(threshold)).otherwise(own)
     return scored.select(
         "doc_id",
-        (fold(F.col("doc_id")) == 2).alias("held_out"),
+        F.coalesce(fold(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= cut).cast("int").alias("predicted"),
         (F.col("score") >= own).alias("flagged"),
