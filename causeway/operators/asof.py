@@ -38,11 +38,11 @@ def as_of(left: DataFrame, rights: dict[str, tuple[DataFrame, list[str]]], keys:
     """
     stacked = _stack(left, rights, keys, time, seq)
     if forward:
-        w = Window.partitionBy(*keys).orderBy(F.asc("t"), F.desc("side"), F.asc("tie")).rowsBetween(0, Window.unboundedFollowing)
-        pick = lambda n: F.first(n, ignorenulls=True).over(w)
+        # backwards in time, so that the frame only grows
+        w = Window.partitionBy(*keys).orderBy(F.desc("t"), F.asc("side"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, 0)
     else:
         w = Window.partitionBy(*keys).orderBy(F.asc("t"), F.asc("side"), F.asc("tie")).rowsBetween(Window.unboundedPreceding, 0)
-        pick = lambda n: F.last(n, ignorenulls=True).over(w)
+    pick = lambda n: F.last(n, ignorenulls=True).over(w)
     return stacked.select("own", *(pick(n).alias(n) for n in rights)).where("own is not null").select("own.*", *rights)
 
 
@@ -64,8 +64,8 @@ def reindex(daily: DataFrame, days: DataFrame, cols: list[str], keys: list[str],
     out = as_of(days, {"hit": (daily, cols)}, keys, day)
     out = out.select(*days.columns, *(F.col(f"hit.{c}").alias(c) for c in cols))
     if back_fill:
-        after = Window.partitionBy(*keys).orderBy(day).rowsBetween(0, Window.unboundedFollowing)
-        out = out.withColumns({c: F.coalesce(c, F.first(c, True).over(after)) for c in cols})
+        after = Window.partitionBy(*keys).orderBy(F.desc(day)).rowsBetween(Window.unboundedPreceding, 0)
+        out = out.withColumns({c: F.coalesce(c, F.last(c, True).over(after)) for c in cols})
     return out
 
 

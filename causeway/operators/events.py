@@ -27,6 +27,6 @@ def date_features(days: DataFrame, day: str = "day") -> DataFrame:
     to_expiry = F.datediff(third_friday(F.col(day)), day)
     return days.select(
         day, dow_sin.alias("dow_sin"), dow_cos.alias("dow_cos"), month_sin.alias("month_sin"), month_cos.alias("month_cos"),
-        F.exp(-F.abs(to_expiry) / 5.0).alias("near_expiry"), (F.weekday(day) == 0).cast("double").alias("monday"), (F.weekday(day) == 4).cast("double").alias("friday"),
+        F.exp(-F.abs(to_expiry) / 3.0).alias("near_expiry"), (F.weekday(day) == 0).cast("double").alias("monday"), (F.weekday(day) == 4).cast("double").alias("friday"),
         (F.dayofmonth(day) <= 3).cast("double").alias("month_start"), (F.col(day) == F.trunc(day, "quarter")).cast("double").alias("quarter_start"),
     )

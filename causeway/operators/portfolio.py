@@ -10,9 +10,10 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions.columns import frame, ordered
+from causeway.operators.asof import as_of
 
 
 def attribution(trades: DataFrame) -> DataFrame:
@@ -30,18 +31,22 @@ def profit_factor(pnl: Column) -> Column:
 
 
 def scorecard(trades: DataFrame, recent: int = 20, breakeven: float = 0.5) -> DataFrame:
-    """Each strategy's trailing trades: win rate, profit factor, loss streak, Sharpe and Sortino a year, and health."""
+    """Each strategy's trailing trades: win rate, profit factor, loss streak, Sharpe and Sortino a year, and health.
+
+    Critical: a streak of five losses, or the last four rolling win rates all below ``breakeven``.
+    """
     keys = ["strategy"]
     newest = F.row_number().over(ordered(keys, [F.desc("exit_day"), F.desc("signal_id")]))
     span = trades.groupBy("strategy").agg(
         F.count("*").alias("n_trades"), F.datediff(F.max("exit_day"), F.min("exit_day")).alias("days")
     ).withColumn("per_year", F.when(F.col("days") > 0, F.col("n_trades") / (F.col("days") / 365.25)).otherwise(48.0))
-    ranked = trades.withColumn("nth", newest)
     p = F.col("pnl_pct")
+    rate = F.avg((p > 0).cast("double")).over(frame(keys, ["exit_day", "signal_id"], 1 - recent, 0))
+    ranked = trades.withColumn("wr", rate).withColumn("nth", newest)
     last = ranked.where(F.col("nth") <= recent).groupBy("strategy").agg(
         F.avg((p > 0).cast("double")).alias("win_rate"), profit_factor(p).alias("profit_factor"), F.avg("pnl_pct").alias("mean"),
         F.stddev_samp("pnl_pct").alias("sd"), F.sqrt(F.avg(F.pow(F.least(p, F.lit(0.0)), 2))).alias("down"),
-        F.avg(F.when(F.col("nth") <= 4, (p > 0).cast("double"))).alias("last4"),
+        F.when(F.count_if(F.col("nth") <= 4) == 4, F.max(F.when(F.col("nth") <= 4, F.col("wr")))).alias("last4"),
         # the slope over time: newest is 1, so the sign turns
         (-F.regr_slope((p > 0).cast("double"), F.col("nth"))).alias("trend"),
     )
@@ -52,7 +57,7 @@ def scorecard(trades: DataFrame, recent: int = 20, breakeven: float = 0.5) -> Da
         "sortino", F.try_divide(F.col("mean"), F.nullif("down", F.lit(0.0))) * year
     )
     status = (
-        F.when((F.col("streak") >= 5) | (F.col("last4") < breakeven / 2), "CRITICAL")
+        F.when((F.col("streak") >= 5) | (F.col("last4") < breakeven), "CRITICAL")
         .when((F.col("sharpe") < 0.5) | (F.col("trend") < 0), "WARNING").otherwise("HEALTHY")
     )
     return out.withColumn("status", status)
@@ -90,10 +95,11 @@ def exits(trades: DataFrame, path: DataFrame, take: float, stop: float, most_row
     ``path``: symbol, day, close. Without a later row the trade ends as end_of_data or, with no price at all, as no_data.
     """
     t = trades.select("signal_id", "symbol", "entry_day")
-    own = Window.partitionBy("signal_id").orderBy("day")
-    # the rows allowed lie within a bounded span of days, so the range join stays narrow
-    near = t.join(path, "symbol").where((F.col("day") >= F.col("entry_day")) & (F.col("day") <= F.date_add("entry_day", 4 * most_rows)))
-    stepped = near.withColumn("step", F.row_number().over(own) - 1).withColumn("entry", F.first("close").over(own)).where(F.col("step") <= most_rows)
+    numbered = path.withColumn("rn", F.row_number().over(ordered(["symbol"], ["day"])))
+    begun = as_of(t.withColumn("day", F.col("entry_day")), {"hit": (numbered, ["rn", "close"])}, ["symbol"], "day", forward=True).where("hit is not null")
+    # each trade asks for its own rows by number: an equi-join of ``most_rows`` rows a trade, however far apart the days
+    asked = begun.select("signal_id", "symbol", F.col("hit.close").alias("entry"), F.posexplode(F.sequence("hit.rn", F.col("hit.rn") + most_rows)).alias("step", "rn"))
+    stepped = asked.join(numbered, ["symbol", "rn"])
     move = F.col("close") / F.col("entry") - 1
     why = F.when(move >= take, "tp").when(move <= -stop, "sl").when(F.col("step") == most_rows, "time_stop")
     marked = stepped.withColumn("move", move).withColumn("why", F.when(F.col("step") > 0, why))

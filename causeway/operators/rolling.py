@@ -132,17 +132,17 @@ def macro_features(daily: DataFrame, keys: list[str], window: int = 60) -> DataF
     return out.withColumn("corr", F.coalesce(corr, F.lit(0.0))).withColumn("resid_sd", spread).where(f"n > {window}")
 
 
-def fractional_weights(d: float, least: float = 1e-3) -> list[float]:
-    """Weights of (1 - L)^d until they fall below ``least``."""
+def fractional_weights(d: float, least: float = 1e-5, width: int = 63) -> list[float]:
+    """Weights of (1 - L)^d until they fall below ``least``, ``width`` at most."""
     out = [1.0]
-    while abs(w := -out[-1] * (d - len(out) + 1) / len(out)) >= least:
+    while len(out) < width and abs(w := -out[-1] * (d - len(out) + 1) / len(out)) >= least:
         out.append(w)
     return out
 
 
-def fractional_difference(x: str, keys: list[str], order: list[str], d: float, least: float = 1e-3) -> Column:
+def fractional_difference(x: str, keys: list[str], order: list[str], d: float, least: float = 1e-5, width: int = 63) -> Column:
     """sum of w_k x[t - k]; null before the weights' width is reached."""
-    w = fractional_weights(d, least)
+    w = fractional_weights(d, least, width)
     rows = F.collect_list(x).over(frame(keys, order, -(len(w) - 1), 0))
     weights = F.array(*map(F.lit, reversed(w)))
     total = F.aggregate(F.zip_with(rows, weights, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

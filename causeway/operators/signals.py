@@ -13,14 +13,14 @@ def added(df: DataFrame, **columns: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in columns.items())])
 
 
-def kalman_steps(values: np.ndarray, q: float, window: int, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+def kalman_steps(values: np.ndarray, q: float | np.ndarray, window: int, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
     """Random-walk filter with noise from the last ``window`` innovations; the state carries on to later values."""
     x, p, seen = state if state else (None, 1.0, [])
     seen, out = list(seen), np.empty(len(values))
-    for i, v in enumerate(values):
+    for i, (v, noise) in enumerate(zip(values, np.broadcast_to(q, len(values)))):
         if x is None:
             x = v
-        p += q
+        p += noise
         gap = v - x
         seen = (seen + [gap])[-window:]
         gain = p / (p + np.var(seen) + 1e-12)
@@ -29,39 +29,93 @@ def kalman_steps(values: np.ndarray, q: float, window: int, state: tuple | None
     return out, (x, p, seen)
 
 
-def kalman(df: DataFrame, value: str, keys: list[str], order: list[str], q: float | None = None, window: int = 50) -> DataFrame:
-    """Adds ``filtered``. q None: a tenth of the series' population variance."""
+def kalman(df: DataFrame, value: str, keys: list[str], order: list[str], q: float | None = None, window: int = 50, look_ahead: bool = False) -> DataFrame:
+    """Adds ``filtered``. q None: a tenth of the population variance so far; ``look_ahead`` takes that of the whole series."""
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable", ignore_index=True)
         v = part[value].to_numpy(float)
-        noise = q if q is not None else max(0.1 * v.var(), 1e-12)
+        if q is not None:
+            noise = np.full(len(v), q)
+        elif look_ahead:
+            noise = np.full(len(v), max(0.1 * v.var(), 1e-12))
+        else:
+            noise = np.maximum(0.1 * pd.Series(v).expanding().var(ddof=0).to_numpy(), 1e-12)
         return part.assign(filtered=kalman_steps(v, noise, window)[0])
 
     return df.groupBy(*keys).applyInPandas(fold, added(df, filtered=T.DoubleType()))
 
 
-def hysteresis_steps(score: np.ndarray, enter: float, leave: float, most: float, position: float = 0.0) -> tuple[np.ndarray, float]:
-    """Enter beyond ``enter``, hold until within ``leave``, flip on the other side; a missing score holds."""
+#: (enter, leave) where the gate says calm and where it says trend; between, they are mixed by the gate. Fixed values.
+CHOPPY, TRENDING = (2.0, 0.75), (0.75, 0.25)
+
+
+def hysteresis_steps(
+    score: np.ndarray, enter: float, leave: float, most: float, position: float = 0.0, gate: np.ndarray | None = None, middle: float = 0.5
+) -> tuple[np.ndarray, float]:
+    """Mean reversion: short above ``enter``, long below its negative, by size of the score up to ``most``.
+
+    A position keeps its size until the score is within ``leave`` of 0, and flips only beyond ``enter`` on the other side. A
+    missing score holds. With a ``gate`` of 0 to 1 the two bounds move from those of calm to those of trend above ``middle``.
+    """
     out = np.empty(len(score))
     for i, s in enumerate(score):
         if not np.isnan(s):
-            if abs(s) >= enter:
-                position = float(np.sign(s) * min(abs(s) / enter, most))
-            elif abs(s) < leave or np.sign(s) != np.sign(position):
+            near, far = leave, enter
+            if gate is not None and not np.isnan(gate[i]):
+                w = min(max((gate[i] - middle) / (1.0 - middle + 1e-8), 0.0), 1.0)
+                far, near = (c * (1 - w) + t * w for c, t in zip(CHOPPY, TRENDING))
+            wanted = -np.sign(s) * min(abs(s) / far, most) if abs(s) > far else 0.0
+            if position and abs(s) < near:
                 position = 0.0
+            elif wanted * position < 0 or not position:
+                position = float(wanted)
         out[i] = position
     return out, position
 
 
-def positions(df: DataFrame, score: str, keys: list[str], order: list[str], enter: float = 1.0, leave: float = 0.25, most: float = 2.0) -> DataFrame:
+def positions(
+    df: DataFrame, score: str, keys: list[str], order: list[str], enter: float = 2.0, leave: float = 0.5, most: float = 1.0, gate: str | None = None
+) -> DataFrame:
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable", ignore_index=True)
-        return part.assign(position=hysteresis_steps(part[score].to_numpy(float), enter, leave, most)[0])
+        by = part[gate].to_numpy(float) if gate else None
+        return part.assign(position=hysteresis_steps(part[score].to_numpy(float), enter, leave, most, gate=by)[0])
 
     return df.groupBy(*keys).applyInPandas(fold, added(df, position=T.DoubleType()))
 
 
+def regime_steps(score: np.ndarray, direction: np.ndarray, enter: float, leave: float, last: float = 0.0, held: bool = False) -> tuple[np.ndarray, float, bool]:
+    """In while volatility is low: enters below ``enter`` in the direction given, follows it, and leaves above ``leave``."""
+    out = np.empty(len(score))
+    for i, (s, d) in enumerate(zip(score, direction)):
+        if held:
+            held = not s > leave
+            last = (d if d else last) if held else 0.0
+        else:
+            last = d if s < enter else 0.0
+            held = bool(last)
+        out[i] = last
+    return out, last, held
+
+
+def regime_positions(df: DataFrame, score: str, direction: str, keys: list[str], order: list[str], enter: float = -0.5, leave: float = 0.5) -> DataFrame:
+    """Adds ``position`` by regime_steps; a missing score counts as 0."""
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable", ignore_index=True)
+        s, d = (part[c].fillna(0.0).to_numpy(float) for c in (score, direction))
+        return part.assign(position=regime_steps(s, d, enter, leave)[0])
+
+    return df.groupBy(*keys).applyInPandas(fold, added(df, position=T.DoubleType()))
+
+
+def flat_at_first(position: str, keys: list[str], day: str, days: int) -> Column:
+    """The position, 0 within the first ``days`` days of its key."""
+    first = F.min(day).over(frame(keys, [day], None, 0))
+    return F.when(F.col(day) < F.date_add(first, days), 0.0).otherwise(F.col(position))
+
+
 def score_of(x: str, keys: list[str], order: list[str], window: int) -> Column:
     """x against the ``window`` rows before: null until there are as many, 0 without spread."""
     f = frame(keys, order, -window, -1)

@@ -56,10 +56,14 @@ def bars_reset(spark: SparkSession, sf: str) -> DataFrame:
     return snapped(bars.reset_bars(views.tape(spark, sf), BAR_C), "symbol", "bar_id", "open_seq", "close_seq", "n_trades", "value_c", **{n: n for n in names})
 
 
-@register("bars_deduplicated", with_views("tape") + f"""
-select symbol, day, seq, notional_c from tape qualify row_number() over (partition by symbol, ts order by seq) = 1""")
+DEDUPLICATED = RESET_BARS.replace(views.SQL["tape"], f"select * from ({views.SQL['tape']}) qualify row_number() over (partition by symbol, ts order by seq) = 1")
+
+
+@register("bars_deduplicated", "with " + DEDUPLICATED + f""" select symbol, bar_id, open_seq, close_seq, n_trades, value_c, {s('close')} as close from bar""")
 def bars_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
-    return bars.one_print_per_time(views.tape(spark, sf)).select("symbol", "day", "seq", "notional_c")
+    """Reset bars over the first print of each time."""
+    t = bars.one_print_per_time(views.tape(spark, sf))
+    return snapped(bars.reset_bars(t, BAR_C), "symbol", "bar_id", "open_seq", "close_seq", "n_trades", "value_c", close="close")
 
 
 @register("bars_count", with_views("tape") + f""",
@@ -305,7 +309,7 @@ def macro_features(spark: SparkSession, sf: str) -> DataFrame:
     return snapped(rolling.macro_features(with_index(spark, sf), KEYS), "symbol", "day", **{n: n for n in "mom5 mom20 mom60 corr beta resid_sd".split()})
 
 
-W = rolling.fractional_weights(0.5, 1e-2)
+W = rolling.fractional_weights(0.5)
 
 
 @register("fractional_difference", with_views("daily") + f""", f as (select symbol, day, count(*) over {rows(-(len(W) - 1), 0)} as n, """ + " + ".join(
@@ -313,7 +317,7 @@ W = rolling.fractional_weights(0.5, 1e-2)
 select symbol, day, {s(f'case when n = {len(W)} then x end')} as x from f""")
 def fractional_difference(spark: SparkSession, sf: str) -> DataFrame:
     logs = views.daily(spark, sf).withColumn("p", F.log("close"))
-    return snapped(logs, "symbol", "day", x=rolling.fractional_difference("p", KEYS, DAY, 0.5, 1e-2))
+    return snapped(logs, "symbol", "day", x=rolling.fractional_difference("p", KEYS, DAY, 0.5))
 
 
 @register("forward_return", with_views("daily") + f"select symbol, day, {s('coalesce(ln(lead(close) over (partition by symbol order by day) + 1e-8) - ln(close + 1e-8), 0.0::double)')} as fwd from daily")

@@ -33,14 +33,24 @@ def config_match(spark: SparkSession, sf: str) -> DataFrame:
     return asof.contains_match(n.select("name"), spark.createDataFrame(CONFIG, "key string, rank int")).join(n, "name")
 
 
-@register("regime_calibration", with_views("trades", "regimes") + f""", t as (select trades.pnl_pct, coalesce(r.vol_regime, 'unknown') as vol_regime from trades left join regimes r on trades.signal_id = r.signal_id),
-g as (select avg(pnl_pct) as m, stddev_samp(pnl_pct) as sd from t)
-select vol_regime, count(*) as n, {s('(avg(pnl_pct) - any_value(m)) / any_value(sd)', 4)} as score from t cross join g group by 1""")
+@register("regime_calibration", with_views("regimes", "ext_daily") + f""", x as (select day, ln(index_close / lag(index_close) over (order by day)) as r from ext_daily),
+v as (select day, stddev_samp(r) over (order by day rows between 19 preceding and current row) as rv20 from x),
+t as (select vol_regime, rv20 from regimes join v on as_of_day = day where rv20 is not null),
+g as (select avg(rv20) as m, case when stddev_samp(rv20) > 0 then stddev_samp(rv20) else 1.0::double end as sd from t),
+b as (select vol_regime, count(*) as n, avg(rv20) as own, any_value(m) as m, any_value(sd) as sd from t cross join g group by 1)
+select vol_regime, n, {s('own', 8)} as mean_rv20, {s("case when vol_regime = 'low' and own < m or vol_regime = 'high' and own > m then 1.0::double else greatest(0.0::double, 1 - abs(own - m) / sd) end")} as score from b""")
 def regime_calibration(spark: SparkSession, sf: str) -> DataFrame:
-    t = named_trades(spark, sf)
-    g = t.agg(F.avg("pnl_pct").alias("m"), F.stddev_samp("pnl_pct").alias("sd"))
-    by = t.groupBy("vol_regime").agg(F.count("*").alias("n"), F.avg("pnl_pct").alias("own")).crossJoin(F.broadcast(g))  # one row
-    return by.select("vol_regime", "n", snap((F.col("own") - F.col("m")) / F.col("sd"), 4).alias("score"))
+    """Whether realised volatility was lower in days labelled low, and higher in those labelled high: 1 is as labelled."""
+    e = views.ext_daily(spark, sf)  # one row a day: a short series
+    x = e.withColumn("r", F.log(F.col("index_close") / F.lag("index_close").over(ordered([], DAY))))
+    v = x.select("day", F.stddev_samp("r").over(frame([], DAY, -19, 0)).alias("rv20"))
+    t = views.regimes(spark, sf).join(v.where("rv20 is not null"), F.col("as_of_day") == F.col("day"))
+    sd = F.stddev_samp("rv20")
+    g = t.agg(F.avg("rv20").alias("m"), F.when(sd > 0, sd).otherwise(1.0).alias("sd"))
+    by = t.groupBy("vol_regime").agg(F.count("*").alias("n"), F.avg("rv20").alias("own")).crossJoin(F.broadcast(g))  # one row
+    as_named = ((F.col("vol_regime") == "low") & (F.col("own") < F.col("m"))) | ((F.col("vol_regime") == "high") & (F.col("own") > F.col("m")))
+    score = F.when(as_named, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(F.col("own") - F.col("m")) / F.col("sd")))
+    return by.select("vol_regime", "n", snap(F.col("own"), 8).alias("mean_rv20"), snap(score).alias("score"))
 
 
 @register("correlation_matrix", RETURNS + f" select a.symbol as a, b.symbol as b, count(*) as n, {s('corr(a.ret, b.ret)')} as corr, abs(corr(a.ret, b.ret)) > 0.95 as redundant from r a join r b on a.day = b.day and a.symbol < b.symbol where a.ret is not null and b.ret is not null group by 1, 2")
@@ -63,15 +73,21 @@ def portfolio_variance(spark: SparkSession, sf: str) -> DataFrame:
     return var.select(snap(F.sqrt("v")).alias("vol"), snap(F.least(F.lit(2.0), 0.15 / F.sqrt("v"))).alias("scale"))
 
 
-@register("momentum_features", RETURNS + f""", x as (select symbol, day, close / lag(close, 5) over (partition by symbol order by day) - 1 as m5,
-  (close - avg(close) over {rows(-19, 0)}) / (stddev_samp(close) over {rows(-19, 0)} * close + 1e-10) as x20, count(*) over {rows(-19, 0)} as n from r)
-select symbol, day, {s(f'(m5 - avg(m5) over {rows(-251, 0)}) / (stddev_samp(m5) over {rows(-251, 0)} + 1e-10)')} as z5, {s('case when n = 20 then x20 end')} as x20 from x""")
+W60 = rolling.fractional_weights(0.5)
+X60 = " + ".join(f"({w!r})::double * lag(ln(close), {k}) over (partition by symbol order by day)" for k, w in enumerate(W60))
+
+
+@register("momentum_features", RETURNS + f""", x as (select symbol, day, close, ret, case when count(ret) over {rows(-4, 0)} = 5 then sum(ret) over {rows(-4, 0)} end as m5, row_number() over (partition by symbol order by day) as n from r),
+y as (select symbol, day, case when count(m5) over {rows(-251, 0)} = 252 then (m5 - avg(m5) over {rows(-251, 0)}) / (stddev_samp(m5) over {rows(-251, 0)} + 1e-10) end as z5,
+  case when count(ret) over {rows(-19, 0)} = 20 then (close - avg(close) over {rows(-19, 0)}) / (stddev_samp(ret) over {rows(-19, 0)} * close + 1e-10) end as x20, case when n >= {len(W60)} then {X60} end as x60 from x)
+select symbol, day, {s('z5')} as z5, {s('x20')} as x20, {s('x60')} as x60 from y""")
 def momentum_features(spark: SparkSession, sf: str) -> DataFrame:
-    f20, f252 = frame(KEYS, DAY, -19, 0), frame(KEYS, DAY, -251, 0)
-    x = returns(spark, sf).withColumn("m5", F.col("close") / F.lag("close", 5).over(ordered(KEYS, DAY)) - 1)
-    x20 = (F.col("close") - F.avg("close").over(f20)) / (F.stddev_samp("close").over(f20) * F.col("close") + 1e-10)
-    x = x.withColumn("x20", F.when(F.count("*").over(f20) == 20, x20)).withColumn("z5", (F.col("m5") - F.avg("m5").over(f252)) / (F.stddev_samp("m5").over(f252) + 1e-10))
-    return snapped(x, "symbol", "day", z5="z5", x20="x20")
+    """A year's z-score of the 5-day log return, distance from the 20-day mean by volatility, and the fractional difference."""
+    f5, f20, f252 = (frame(KEYS, DAY, -n, 0) for n in (4, 19, 251))
+    x = returns(spark, sf).withColumn("p", F.log("close")).withColumn("m5", F.when(F.count("ret").over(f5) == 5, F.sum("ret").over(f5)))
+    z5 = F.when(F.count("m5").over(f252) == 252, (F.col("m5") - F.avg("m5").over(f252)) / (F.stddev_samp("m5").over(f252) + 1e-10))
+    x20 = (F.col("close") - F.avg("close").over(f20)) / (F.stddev_samp("ret").over(f20) * F.col("close") + 1e-10)
+    return snapped(x, "symbol", "day", z5=z5, x20=F.when(F.count("ret").over(f20) == 20, x20), x60=rolling.fractional_difference("p", KEYS, DAY, 0.5))
 
 
 @register("residual_variance", MACRO + f""", q as (select symbol, day, r as y, s as x1, lag(s, 1, 0.0::double) over (partition by symbol order by day) as x2 from r),
@@ -104,15 +120,15 @@ def event_gate(spark: SparkSession, sf: str) -> DataFrame:
     return snapped(g, "symbol", "day", gate=gate)
 
 
-@register("macro_regime", MACRO + f""", z as (select symbol, day, r, sum(r) over {rows(-20, -1)} as mom from r), m as (select symbol, quantile_cont(mom, 0.5) as mid from z group by 1),
-k as (select z.symbol, z.day, (1 + sqrt(3.0::double) * abs(mom - mid) / 0.1) * exp(-sqrt(3.0::double) * abs(mom - mid) / 0.1) as k from z join m on z.symbol = m.symbol where mom is not null)
+@register("macro_regime", MACRO + f""", z as (select symbol, day, r, sum(r) over {rows(-20, -1)} as mom from r), m as (select *, quantile_cont(mom, 0.5) over {rows(-251, 0)} as mid from z where mom is not null),
+k as (select symbol, day, (1 + sqrt(3.0::double) * abs(mom - mid) / 0.1) * exp(-sqrt(3.0::double) * abs(mom - mid) / 0.1) as k from m)
 select symbol, day, {s('k')} as activation, case when k > 0.66 then 'macro_driven' when k < 0.33 then 'idiosyncratic' else 'transitional' end as label from k""")
 def macro_regime(spark: SparkSession, sf: str) -> DataFrame:
-    """Matern kernel of a day's momentum against the median, and the label by thirds."""
+    """Matern kernel of a day's momentum against the median of a year up to it, and the label by thirds."""
     r = with_index(spark, sf).withColumn("r", F.coalesce(rolling.log_return("close", KEYS, DAY), F.lit(0.0)))
     z = r.select("symbol", "day", F.sum("r").over(frame(KEYS, DAY, -20, -1)).alias("mom"))
-    m = z.groupBy("symbol").agg(F.percentile("mom", 0.5).alias("mid"))
-    k = z.where("mom is not null").join(m, "symbol").withColumn("k", learning.matern(F.abs(F.col("mom") - F.col("mid")), 1.5, 0.1))
+    m = z.where("mom is not null").withColumn("mid", F.percentile("mom", 0.5).over(frame(KEYS, DAY, -251, 0)))
+    k = m.withColumn("k", learning.matern(F.abs(F.col("mom") - F.col("mid")), 1.5, 0.1))
     return k.select("symbol", "day", snap(F.col("k")).alias("activation"), F.when(F.col("k") > 0.66, "macro_driven").when(F.col("k") < 0.33, "idiosyncratic").otherwise("transitional").alias("label"))
 
 
@@ -131,10 +147,10 @@ def rolling_risk(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("symbol", "week", ratio("sd").alias("sharpe"), ratio("down").alias("sortino"))
 
 
-@register("cumulative_curves", RETURNS + f", c as (select symbol, day, exp(sum(ln(1 + greatest(-0.9::double, least(0.9::double, coalesce(ret, 0.0::double))) * 0.1)) over {U}) - 1 as c from r) select symbol, day, {s('c')} as curve from c")
+@register("cumulative_curves", RETURNS + f", c as (select symbol, day, exp(sum(coalesce(ret, 0.0::double)) over {U}) - 1 as c from r) select symbol, day, {s('c')} as curve from c")
 def cumulative_curves(spark: SparkSession, sf: str) -> DataFrame:
-    step = F.log(1 + F.greatest(F.lit(-0.9), F.least(F.lit(0.9), F.coalesce("ret", F.lit(0.0)))) * 0.1)
-    r = returns(spark, sf).withColumn("g", step)
+    """The compounded return since the first day; log returns add up to it."""
+    r = returns(spark, sf).withColumn("g", F.coalesce("ret", F.lit(0.0)))
     return snapped(r, "symbol", "day", curve=F.exp(F.sum("g").over(frame(KEYS, DAY, None, 0))) - 1)
 
 
@@ -207,10 +223,10 @@ def warm_up_trim(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("trailing_embedding", f"""with p as (select label, vec_id, generate_subscripts(embedding, 1) as i, unnest(embedding) as v from embeddings)
-select label, vec_id, cast(i as integer) as dim, {s('avg(cast(v as double)) over (partition by label, i order by vec_id rows between 4 preceding and current row)')} as mean from p where i <= 4""")
+select label, vec_id, cast(i as integer) as dim, {s('avg(cast(v as double)) over (partition by label, i order by vec_id rows between 4 preceding and current row)')} as mean from p""")
 def trailing_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    """Trailing means of the first slice of an embedding, dimension by dimension; trailing_embedding_windows has all of them."""
-    e = views.load(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.slice(F.col("embedding").cast("array<double>"), 1, 4)).alias("at", "v"))
+    """Trailing means of an embedding over 5 vectors, dimension by dimension."""
+    e = views.load(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("at", "v"))
     e = e.withColumn("dim", F.col("at") + 1)
     return e.select("label", "vec_id", "dim", snap(F.avg("v").over(frame(["label", "dim"], ["vec_id"], -4, 0))).alias("mean"))
 

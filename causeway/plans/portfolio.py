@@ -89,7 +89,7 @@ def event_proximity(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("calendar_features", with_views("daily") + f""", days as (select distinct day, cast(date_trunc('month', day) as date) as m from daily),
 f as (select *, m + cast((12 - isodow(m)) % 7 as integer) + 14 as friday3 from days)
-select day, {s('sin((isodow(day) - 1) * (2 * pi() / 5))')} as dow_sin, {s('cos((month(day) - 1) * (2 * pi() / 12))')} as month_cos, {s('exp(-abs(friday3 - day) / 5.0::double)')} as near_expiry,
+select day, {s('sin((isodow(day) - 1) * (2 * pi() / 5))')} as dow_sin, {s('cos((month(day) - 1) * (2 * pi() / 12))')} as month_cos, {s('exp(-abs(friday3 - day) / 3.0::double)')} as near_expiry,
   case when isodow(day) = 1 then 1.0::double else 0.0::double end as monday, case when isodow(day) = 5 then 1.0::double else 0.0::double end as friday,
   case when day = cast(date_trunc('quarter', day) as date) then 1.0::double else 0.0::double end as quarter_start from f""")
 def calendar_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,13 +106,13 @@ def chain(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("gamma_exposure", CHAIN + f""", g as (select symbol, day, sum(gamma * open_interest * case kind when 'call' then 1.0 else -1.0 end) as gex,
   sum(case kind when 'call' then open_interest else 0.0 end) as call_oi, sum(case kind when 'put' then open_interest else 0.0 end) as put_oi from c group by 1, 2)
-select symbol, day, {s('gex', 4)} as gex, {s('call_oi')} as call_oi, {s('put_oi')} as put_oi, {s('put_oi / greatest(call_oi, 1e-8)', 2)} as pc_ratio from g where call_oi > 0""")
+select symbol, day, {s('gex', 4)} as gex, {s('call_oi')} as call_oi, {s('put_oi')} as put_oi, {s('put_oi / greatest(call_oi, 1e-8)', 2)} as pc_ratio from g""")
 def gamma_exposure(spark: SparkSession, sf: str) -> DataFrame:
     c, call = chain(spark, sf), F.col("kind") == "call"
     g = c.groupBy("symbol", "day").agg(
         F.sum(F.col("gamma") * F.col("open_interest") * F.when(call, 1.0).otherwise(-1.0)).alias("gex"),
         F.sum(F.when(call, F.col("open_interest")).otherwise(0.0)).alias("call_oi"), F.sum(F.when(call, 0.0).otherwise(F.col("open_interest"))).alias("put_oi"),
-    ).where("call_oi > 0")
+    )
     return g.select("symbol", "day", snap(F.col("gex"), 4).alias("gex"), snap(F.col("call_oi")).alias("call_oi"), snap(F.col("put_oi")).alias("put_oi"), snap(F.col("put_oi") / F.greatest("call_oi", F.lit(1e-8)), 2).alias("pc_ratio"))
 
 
@@ -214,15 +214,16 @@ def loss_streak(spark: SparkSession, sf: str) -> DataFrame:
     return rolling.loss_streak(views.trades(spark, sf), ["strategy"], ["exit_day", "signal_id"], "pnl_pct")
 
 
-@register("scorecard", with_views("trades") + f""", n as (select *, row_number() over (partition by strategy order by exit_day desc, signal_id desc) as nth from trades),
+@register("scorecard", with_views("trades") + f""", w as (select *, avg(case when pnl_pct > 0 then 1.0::double else 0.0::double end) over (partition by strategy order by exit_day, signal_id rows between 19 preceding and current row) as wr from trades),
+n as (select *, row_number() over (partition by strategy order by exit_day desc, signal_id desc) as nth from w),
 sp as (select strategy, count(*) as n_trades, case when max(exit_day) > min(exit_day) then count(*) / ((max(exit_day) - min(exit_day)) / 365.25::double) else 48.0::double end as per_year,
   coalesce(min(nth) filter (where pnl_pct > 0), count(*) + 1) - 1 as streak from n group by 1),
 l as (select strategy, avg(case when pnl_pct > 0 then 1.0::double else 0.0::double end) as win_rate, sum(greatest(pnl_pct, 0.0)) / nullif(-sum(least(pnl_pct, 0.0)), 0) as profit_factor,
-  avg(pnl_pct) as mean, stddev_samp(pnl_pct) as sd, sqrt(avg(pow(least(pnl_pct, 0.0), 2))) as down, avg(case when pnl_pct > 0 then 1.0::double else 0.0::double end) filter (where nth <= 4) as last4,
+  avg(pnl_pct) as mean, stddev_samp(pnl_pct) as sd, sqrt(avg(pow(least(pnl_pct, 0.0), 2))) as down, case when count(*) filter (where nth <= 4) = 4 then max(wr) filter (where nth <= 4) end as last4,
   -regr_slope(case when pnl_pct > 0 then 1.0::double else 0.0::double end, nth) as trend from n where nth <= 20 group by 1),
 o as (select *, mean / nullif(sd, 0) * sqrt(per_year) as sharpe, mean / nullif(down, 0) * sqrt(per_year) as sortino from sp join l using (strategy))
 select strategy, n_trades, cast(streak as bigint) as streak, {s('win_rate')} as win_rate, {s('profit_factor')} as profit_factor, {s('sharpe', 4)} as sharpe, {s('sortino', 4)} as sortino, {s('trend')} as trend,
-  case when streak >= 5 or last4 < 0.25 then 'CRITICAL' when sharpe < 0.5 or trend < 0 then 'WARNING' else 'HEALTHY' end as status from o""")
+  case when streak >= 5 or last4 < 0.5 then 'CRITICAL' when sharpe < 0.5 or trend < 0 then 'WARNING' else 'HEALTHY' end as status from o""")
 def scorecard(spark: SparkSession, sf: str) -> DataFrame:
     c = portfolio.scorecard(views.trades(spark, sf))
     return c.select("strategy", "n_trades", "streak", snap(F.col("win_rate")).alias("win_rate"), snap(F.col("profit_factor")).alias("profit_factor"), snap(F.col("sharpe"), 4).alias("sharpe"), snap(F.col("sortino"), 4).alias("sortino"), snap(F.col("trend")).alias("trend"), "status")
@@ -300,9 +301,9 @@ def headline_metrics(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("exit_simulator", with_views("trades", "daily") + f""", t as (select signal_id, 'S' || cast(signal_id % 8 as varchar) as symbol, entry_day from trades),
-n as (select t.signal_id, d.day, d.close, row_number() over (partition by t.signal_id order by d.day) - 1 as step, first_value(close) over (partition by t.signal_id order by d.day) as entry
-  from t join daily d on d.symbol = t.symbol and d.day >= t.entry_day and d.day <= t.entry_day + 56),
-m as (select *, close / entry - 1 as move from n where step <= 14),
+p as (select symbol, day, close, row_number() over (partition by symbol order by day) as rn from daily),
+e as (select t.signal_id, t.symbol, p.rn, p.close as entry from t asof join p on t.symbol = p.symbol and t.entry_day <= p.day),
+m as (select e.signal_id, p.day, p.rn - e.rn as step, p.close / e.entry - 1 as move from e join p on p.symbol = e.symbol and p.rn between e.rn and e.rn + 14),
 w as (select *, case when step = 0 then null when move >= 0.1 then 'tp' when move <= -0.05 then 'sl' when step = 14 then 'time_stop' end as why from m),
 g as (select signal_id, arg_min({{'day': day, 'move': move, 'why': why}}, step) filter (where why is not null) as hit, arg_max({{'day': day, 'move': move}}, step) as last from w group by 1)
 select t.signal_id, coalesce(hit.day, last.day) as exit_day, {s('coalesce(hit.move, last.move)')} as move, case when last is null then 'no_data' else coalesce(hit.why, 'end_of_data') end as why from t left join g on t.signal_id = g.signal_id""")

@@ -169,8 +169,23 @@ def test_hysteresis_and_kalman_carry_state():
     a, state = signals.kalman_steps(x[:77], 0.1, 20)
     b, _ = signals.kalman_steps(x[77:], 0.1, 20, state)
     assert np.allclose(whole, np.concatenate([a, b]))
-    p, _ = signals.hysteresis_steps(np.array([0.5, 1.5, 0.5, float("nan"), 0.1, -3.0, -0.5, 0.3]), 1.0, 0.25, 2.0)
-    assert list(p) == [0.0, 1.5, 1.5, 1.5, 0.0, -2.0, -2.0, 0.0]
+    p, _ = signals.hysteresis_steps(np.array([0.5, 1.5, 1.9, 0.5, float("nan"), 0.1, -3.0, -0.5, 0.3, 1.2, -0.1]), 1.0, 0.25, 2.0)
+    assert list(p) == [0.0, -1.5, -1.5, -1.5, -1.5, 0.0, 2.0, 2.0, 2.0, -1.2, 0.0]
+    p, _ = signals.hysteresis_steps(np.array([1.0, 1.0, 0.5]), 9.0, 9.0, 1.0, gate=np.array([0.2, 1.0, 0.3]))
+    assert list(p) == [0.0, -1.0, 0.0]
+
+
+def test_regime_positions_enter_low_and_leave_high():
+    p, last, held = signals.regime_steps(np.array([0.0, -1.0, -1.0, 0.4, 0.4, 0.6, 0.4, -0.6]), np.array([1.0, 0.0, 1.0, -1.0, 0.0, 1.0, 1.0, -1.0]), -0.5, 0.5)
+    assert list(p) == [0.0, 0.0, 1.0, -1.0, -1.0, 0.0, 0.0, -1.0] and held and last == -1.0
+
+
+def test_kalman_noise_looks_back_only(spark):
+    rows = [("a", i, float(v)) for i, v in enumerate(np.random.default_rng(3).normal(size=60))]
+    df = spark.createDataFrame(rows, "k string, i int, x double")
+    whole = {r.i: r.filtered for r in signals.kalman(df, "x", ["k"], ["i"]).collect()}
+    head = {r.i: r.filtered for r in signals.kalman(df.where("i < 25"), "x", ["k"], ["i"]).collect()}
+    assert all(whole[i] == head[i] for i in head)
 
 
 def test_deflated_sharpe_falls_with_trials():
