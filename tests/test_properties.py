@@ -203,3 +203,16 @@ def test_trailing_embedding_windows_average_every_dimension(spark, tmp_path):
         for n in (1, 5, 20):
             want = vectors[max(0, r.vec_id + 1 - n) : r.vec_id + 1, r.dim - 1].mean()
             assert abs(r[f"mean_{n}"] - want) < 2e-6
+
+
+def test_exits_of_all_kinds_whatever_the_days_between_prices(spark):
+    from datetime import date, timedelta
+
+    day = lambda k: date(2024, 1, 1) + timedelta(days=k)
+    weekly = lambda symbol, prices: [(symbol, day(7 * i), float(p)) for i, p in enumerate(prices)]
+    rows = weekly("up", [100, 101, 111]) + weekly("down", [100, 99, 94, 120]) + weekly("calm", [100.0] * 30) + weekly("short", [100, 101])
+    path = spark.createDataFrame(rows, "symbol string, day date, close double")
+    trades = [(1, "up", day(0)), (2, "down", day(-3)), (3, "calm", day(1)), (4, "short", day(0)), (5, "none", day(0)), (6, "up", day(500))]
+    got = portfolio.exits(spark.createDataFrame(trades, "signal_id long, symbol string, entry_day date"), path, 0.1, 0.05, 14)
+    assert {r.signal_id: (r.why, r.exit_day) for r in got.collect()} == {
+        1: ("tp", day(14)), 2: ("sl", day(14)), 3: ("time_stop", day(7 * 15)), 4: ("end_of_data", day(7)), 5: ("no_data", None), 6: ("no_data", None)}
