@@ -10,9 +10,11 @@ windows have equal anchors at equal places. The work goes in two passes over the
    once: all but the earliest are repeats. One row for each key and task goes on; the earliest of a key over all tasks
    stays, the others are repeats. No window that repeats is missed, as the sketch only overestimates.
 
-The sketch has some 8 cells for each anchor, up to ``most_cells``; beyond that bound it lets more windows through, which
-costs time in pass 2 and changes no result. It is broadcast: at most ``most_cells`` / 8 bytes. A key in very many
-texts sends at most one row from each task.
+The sketch has some 8 cells for each anchor. Up to ``most_cells`` it is broadcast: at most ``most_cells`` / 8 bytes.
+Beyond that it is dealt to shards by key, so that it grows with the text: tasks send each anchor once to the shard of its
+key, which counts it in a sketch of its own, and the places of those estimated repeated are joined to their texts for
+pass 2. Either way pass 2 gets a share of the unique anchors that does not depend on the size of the text. A key in very
+many texts sends at most one row from each chunk of a task.
 
 "Earlier" means smaller id, or the same id and an earlier start. Repeated rows, of one id and text, do not remove each
 other's words, since neither starts earlier; an id is taken to name one text, and what is found at a place of it is
@@ -34,6 +36,10 @@ from causeway.llm.common import U, WordHasher, lean_batches, mix, sketch_tasks,
 #: Cells of one merged block: a task of the merge holds a few blocks at a time.
 BLOCK_CELLS = 1 << 22
 MOST_CELLS = 1 << 29
+#: Cells of one shard's sketch, for 2 to 4 million anchors of 24 bytes, which its task holds.
+SHARD_CELLS = 1 << 25
+#: Anchors that a task gathers before it sends them on.
+CHUNK = 1_000_000
 
 
 def anchors(hasher: WordHasher, words: np.ndarray, k: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,9 +102,9 @@ class Sketch:
         return out
 
 
-def sketch_cells(n_bytes: int, most_cells: int) -> int:
+def sketch_cells(n_bytes: int) -> int:
     """A power of two of some 8 cells for each anchor, at 6 bytes a word and 6 words an anchor."""
-    return min(most_cells, max(1 << 16, 1 << int(n_bytes * 8 / 36).bit_length()))
+    return max(1 << 16, 1 << int(n_bytes * 8 / 36).bit_length())
 
 
 def count_anchors(docs: DataFrame, k: int, gram: int, cells: int, tasks: int) -> DataFrame:
@@ -144,23 +150,128 @@ def count_anchors(docs: DataFrame, k: int, gram: int, cells: int, tasks: int) ->
     return docs.select("doc_id", "text").coalesce(tasks).mapInArrow(count, schema).groupBy("block").applyInArrow(merge, schema)
 
 
-def broadcast_sketch(docs: DataFrame, k: int, gram: int, most_cells: int):
-    """The merged sketch's plane of cells that count more than one, broadcast: at most ``most_cells`` / 8 bytes."""
-    n_bytes = text_bytes(docs)
-    cells, tasks = sketch_cells(n_bytes, most_cells), sketch_tasks(docs.sparkSession, n_bytes)
+def broadcast_sketch(docs: DataFrame, k: int, gram: int, cells: int, n_bytes: int):
+    """The merged sketch's plane of cells that count more than one, broadcast: ``cells`` / 8 bytes."""
+    tasks = sketch_tasks(docs.sparkSession, n_bytes)
     block = min(BLOCK_CELLS, cells) // 8
     more = np.zeros(cells // 8, np.uint8)
     for row in count_anchors(docs, k, gram, cells, tasks).toLocalIterator():
         more[row.block * block : (row.block + 1) * block] = np.frombuffer(zlib.decompress(row.cells), np.uint8)
-    return docs.sparkSession.sparkContext.broadcast(more), cells
+    return docs.sparkSession.sparkContext.broadcast(more)
+
+
+#: An anchor's key, and where it stands: the document, the first window that has it and how many in a row do.
+PLACE = np.dtype([("key", U), ("doc", np.int64), ("start", np.int32), ("n", np.int32)])
+
+
+def suspects(docs: DataFrame, k: int, gram: int, cells: int, most_cells: int) -> DataFrame:
+    """doc_id, start, n: runs of windows whose anchor is estimated repeated, by sketches dealt to shards.
+
+    Each chunk of a task sends a key once to its shard. The other places of a key that a chunk holds more than once are
+    known to repeat: they skip the count and pass through groups of their own, which have negative numbers.
+    """
+    own_cells = min(SHARD_CELLS, most_cells)
+    shards = cells // own_cells
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        held, waiting = [], 0
+
+        def send() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if not held:
+                return
+            rows = np.concatenate(held)
+            held.clear()
+            waiting = 0
+            rows = rows[np.argsort(rows["key"], kind="stable")]
+            head = np.ones(len(rows), bool)
+            head[1:] = rows["key"][1:] != rows["key"][:-1]
+            alone = head.copy()
+            alone[:-1] &= head[1:]
+            first, known = rows[head], rows[~alone]
+            to = (mix(first["key"] ^ U(0xD6E8FEB86659FD93)) % U(shards)).astype(np.int64)
+            by_doc = -1 - (mix(known["doc"].astype(U)) % U(shards)).astype(np.int64)
+            rows, to = np.concatenate([first, known]), np.concatenate([to, by_doc])
+            order = np.argsort(to, kind="stable")
+            rows, to = rows[order], to[order]
+            edge = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            stop = np.append(edge[1:], len(rows))
+            for lo in range(0, len(edge), 4096):
+                some = range(lo, min(lo + 4096, len(edge)))
+                packed = pa.array([rows[edge[i] : stop[i]].tobytes() for i in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(to[edge[lo : lo + 4096]]), packed], names=["shard", "places"])
+
+        for batch in batches:
+            raw, offsets = string_buffers(batch.column(1))
+            known = np.asarray(batch.column(0).is_valid())
+            doc = batch.column(0).fill_null(0).to_numpy()
+            for lo, hi in slices(offsets, 1 << 20):
+                part = offsets[lo : hi + 1]
+                words, _, _, at = hasher(raw[part[0] : part[-1]], part - part[0])
+                for i in np.flatnonzero(known[lo:hi]):
+                    least, place = anchors(hasher, words[at[i] : at[i + 1]], k, gram)
+                    if not len(least):
+                        continue
+                    start = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+                    rows = np.empty(len(start), PLACE)
+                    rows["key"], rows["doc"], rows["start"] = least[start], doc[lo + i], start
+                    rows["n"] = np.diff(np.append(start, len(least)))
+                    held.append(rows)
+                    waiting += len(rows)
+                if waiting > CHUNK:
+                    yield from send()
+        yield from send()
+
+    def places(rows: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.ascontiguousarray(rows[c])) for c in ("doc", "start", "n")], names=["doc_id", "start", "n"]
+        )
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = (np.frombuffer(x.as_buffer(), PLACE) for batch in batches for x in batch.column("places"))
+        if key[0].as_py() < 0:
+            yield from map(places, chunks)
+            return
+        sketch, held = Sketch(own_cells), []
+        for rows in chunks:
+            sketch.add(rows["key"])
+            held.append(rows)
+        for rows in held:
+            hit = rows[sketch.repeated(rows["key"])]
+            if len(hit):
+                yield places(hit)
+
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "shard long, places binary")
+    return dealt.groupBy("shard").applyInArrow(count, "doc_id long, start int, n int")
+
+
+def spelled_out(runs: pa.StructArray, windows: int) -> np.ndarray:
+    """The starts within ``windows`` that runs (start, n) cover, ascending."""
+    start, n = (runs.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+    inside = start < windows
+    cover = np.zeros(max(windows, 0) + 1, np.int64)
+    np.add.at(cover, start[inside], 1)
+    np.add.at(cover, np.minimum(start + n, windows)[inside], -1)
+    return np.flatnonzero(np.cumsum(cover[:-1]) > 0)
 
 
 def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, start, n: runs of windows (n consecutive starts) whose word sequence also starts earlier."""
-    held, cells = broadcast_sketch(docs, k, gram, most_cells)
+    n_bytes = text_bytes(docs)
+    cells = sketch_cells(n_bytes)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = None
+    if cells <= most_cells:
+        held = broadcast_sketch(docs, k, gram, cells, n_bytes)
+    else:
+        # an id names one text, so equal places of its rows are one place
+        runs = suspects(docs, k, gram, cells, most_cells).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+        texts = texts.join(runs, "doc_id")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, hasher, second = Sketch(cells, held.value, held.value), WordHasher(), WordHasher(seed=2)
+        sketch = Sketch(cells, held.value, held.value) if held else None
+        hasher, second = WordHasher(), WordHasher(seed=2)
         h1, h2, ids, starts, waiting = [], [], [], [], 0
         names = ["doc_id", "start", "n", "known", "h1", "h2"]
 
@@ -218,10 +329,11 @@ def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_
                     if not known[lo + i]:
                         continue
                     own = words[at[i] : at[i + 1]]
-                    least, _ = anchors(hasher, own, k, gram)
-                    if not len(least):
-                        continue
-                    hit = np.flatnonzero(sketch.repeated(least))
+                    if sketch:
+                        least, _ = anchors(hasher, own, k, gram)
+                        hit = np.flatnonzero(sketch.repeated(least)) if len(least) else ()
+                    else:
+                        hit = spelled_out(batch.column(2)[lo + i].values, len(own) - k + 1)
                     if not len(hit):
                         continue
                     if other is None:
@@ -235,9 +347,7 @@ def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_
                     yield from settle()
         yield from settle()
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        find, "doc_id long, start int, n int, known boolean, h1 long, h2 int"
-    )
+    found = texts.mapInArrow(find, "doc_id long, start int, n int, known boolean, h1 long, h2 int")
     # runs settled in their task have a key of their own; of the rest, all but the earliest of a key are repeats
     place = Window.partitionBy("known", "h1", "h2").orderBy("doc_id", "start")
     return found.withColumn("place", F.rank().over(place)).where("known or place > 1").select("doc_id", "start", "n")
