@@ -6,8 +6,10 @@ in whole cents, so that thresholds are exact). Keys are the unit of parallel wor
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from causeway.functions.columns import frame, ordered
@@ -34,26 +36,51 @@ def master_bars(tape: DataFrame, threshold_c: int) -> DataFrame:
 def reset_bar_ids(tape: DataFrame, threshold_c: int) -> DataFrame:
     """Adds bar_id from 0: the running value starts again at 0 after each close. The last, partial bar has none (null).
 
-    Where a bar ends depends on where the one before did, so a key's prints are folded in order, as one Arrow group.
+    Where a bar ends depends on where the one before did, so a key's prints are folded in order. They are sorted within
+    partitions and go through the fold batch by batch: a task holds a batch and the prints of the bar that is still open,
+    not a key's whole tape. A print without a value counts 0.
     """
-    schema = T.StructType([*tape.schema.fields, T.StructField("bar_id", T.LongType())])
+    names = tape.columns
+    symbol, value = (names.index(c) for c in ("symbol", "notional_c"))
+
+    def numbered(rows: pa.RecordBatch, ids: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, ids], names=[*names, "bar_id"])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, run, bar, open_rows = object(), 0, 0, []
+
+        def shut(bar_id: int | None) -> Iterator[pa.RecordBatch]:
+            for rows in open_rows:
+                yield numbered(rows, pa.array([bar_id] * len(rows), pa.int64()))
+            open_rows.clear()
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            codes = batch.column(symbol).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(batch)]
+            for lo, hi in zip(edges, edges[1:]):
+                rows, own = batch.slice(lo, hi - lo), batch.column(symbol)[lo].as_py()
+                if own != key:
+                    yield from shut(None)
+                    key, run, bar = own, 0, 0
+                cum = run + np.cumsum(rows.column(value).fill_null(0).to_numpy(zero_copy_only=False))
+                base, ends = 0, []
+                while (at := int(np.searchsorted(cum, base + threshold_c))) < len(cum):
+                    ends.append(at)
+                    base = int(cum[at])
+                run = int(cum[-1]) - base
+                if ends:
+                    yield from shut(bar)
+                    done = rows.slice(0, ends[-1] + 1)
+                    yield numbered(done, pa.array(bar + np.searchsorted(ends, np.arange(len(done))), pa.int64()))
+                    bar, rows = bar + len(ends), rows.slice(ends[-1] + 1)
+                if len(rows):
+                    open_rows.append(rows)
+        yield from shut(None)
 
-    def fold(frame_: pd.DataFrame) -> pd.DataFrame:
-        frame_ = frame_.sort_values(ORDER, kind="stable", ignore_index=True)
-        cum = np.cumsum(frame_["notional_c"].to_numpy())
-        ends, base = [], 0
-        while True:
-            at = int(np.searchsorted(cum, base + threshold_c))
-            if at >= len(cum):
-                break
-            ends.append(at)
-            base = int(cum[at])
-        bar = np.searchsorted(np.array(ends, np.int64), np.arange(len(cum)))
-        frame_["bar_id"] = pd.array(np.where(bar < len(ends), bar, -1), "Int64")
-        frame_.loc[frame_["bar_id"] < 0, "bar_id"] = pd.NA
-        return frame_
-
-    return tape.groupBy(*KEYS).applyInPandas(fold, schema)
+    schema = T.StructType([*tape.schema.fields, T.StructField("bar_id", T.LongType())])
+    return tape.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER).mapInArrow(fold, schema)
 
 
 def reset_bars(tape: DataFrame, threshold_c: int) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causeway.functions.columns import frame, ordered
+from causeway.functions.columns import frame, ordered, snap
 from causeway.operators.asof import as_of
 
 
@@ -151,17 +151,66 @@ def bootstrap(trades: DataFrame, keys: list[str], order: list[str], pnl: str, n_
     return spread.groupBy(*keys, "part").applyInPandas(run, schema)
 
 
-#: Scenarios: (name, shock to each profit, winners divided by, losers multiplied by).
-SCENARIOS = [("base", 0.0, 1.0, 1.0), ("vol_spike", 0.0, 1.5, 1.5), ("crash", -0.2, 1.0, 2.0), ("slow_bleed", -0.05, 1.2, 1.1)]
-
-
-def stress(trades: DataFrame, pnl: str = "pnl_pct", scenarios=SCENARIOS) -> DataFrame:
-    """Each profit under each scenario, clipped to [-1, 5], and summed by scenario and strategy."""
-    table = F.array(*(F.struct(F.lit(n).alias("scenario"), F.lit(s).alias("shock"), F.lit(w).alias("win"), F.lit(lo).alias("lose")) for n, s, w, lo in scenarios))
-    one = trades.select("strategy", pnl, F.explode(table).alias("s")).select("strategy", pnl, "s.*")
-    p = F.when(F.col(pnl) > 0, F.col(pnl) / F.col("win")).otherwise(F.col(pnl) * F.col("lose")) + F.col("shock")
-    one = one.withColumn("stressed", F.greatest(F.lit(-1.0), F.least(F.lit(5.0), p)))
-    return one.groupBy("scenario", "strategy").agg(F.sum("stressed").alias("total"), F.min("stressed").alias("worst"), F.avg((F.col("stressed") > 0).cast("double")).alias("win_rate"))
+#: Fixed values. Scenarios: name, volatility multiplier, cut of the win rate, shock to equity, trades, regime.
+SCENARIOS = [
+    ("covid_crash_2020", 3.5, 0.20, -0.08, 8, "high"),
+    ("rate_hike_2022", 2.0, 0.12, -0.04, 25, "high"),
+    ("volmageddon_2018", 4.0, 0.25, -0.12, 5, "high"),
+    ("flash_crash_2010", 3.0, 0.15, -0.06, 3, "high"),
+    ("gfc_2008", 4.0, 0.30, -0.15, 30, "high"),
+    ("mild_correction", 1.5, 0.05, -0.02, 10, "normal"),
+]
+#: The scenarios of a run before release.
+RELEASE_SCENARIOS = [
+    ("covid_crash_2020", 3.5, 0.20, -0.08, 15, "high"),
+    ("negative_oil_2020", 5.0, 0.25, -0.10, 10, "high"),
+    ("volmageddon_2018", 4.0, 0.25, -0.12, 5, "high"),
+    ("gfc_2008", 4.0, 0.30, -0.15, 30, "high"),
+    ("flash_crash_2010", 3.0, 0.15, -0.06, 3, "high"),
+    ("rate_shock_2022", 2.0, 0.12, -0.04, 25, "high"),
+]
+
+
+def uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) from the digest of the parts: the same wherever and whenever it is drawn."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
+def stress(trades: DataFrame, scenarios=SCENARIOS, risk: float = 0.01, ruin: float = -0.5) -> DataFrame:
+    """Each strategy's equity through each scenario: a shock, then trades drawn from its own.
+
+    A draw is a winner with the strategy's win rate less the scenario's cut, 5 % at least. Winners are divided by the
+    volatility multiplier and losers multiplied, within [-1, 5]; the stake is ``risk`` of equity by the regime's scale.
+    Draws come from digests of (scenario, strategy, draw), so each run draws the same. ``recovery`` counts trades from the
+    deepest point until equity is whole again, -1 where it never is.
+    """
+    table = trades.sparkSession.createDataFrame(scenarios, "scenario string, vol double, cut double, shock double, n_trades int, regime string")
+    rate = trades.groupBy("strategy").agg(F.avg((F.col("pnl_pct") > 0).cast("double")).alias("rate"), F.count_if(F.col("pnl_pct") > 0).alias("wins"), F.count_if(F.col("pnl_pct") <= 0).alias("losses"))
+    # at most 90 draws a strategy; a draw names the trade it takes by its number among the strategy's winners or losers
+    draw = rate.crossJoin(F.broadcast(table)).withColumn("step", F.explode(F.sequence(F.lit(1), F.col("n_trades"))))
+    u = lambda what: uniform(F.lit(what), "scenario", F.coalesce("strategy", F.lit("")), F.col("step").cast("string"))
+    draw = draw.withColumn("won", (u("side") < F.greatest(F.lit(0.05), F.col("rate") - F.col("cut"))) & (F.col("wins") > 0))
+    draw = draw.withColumn("place", F.floor(u("trade") * F.when(F.col("won"), F.col("wins")).otherwise(F.col("losses"))) + 1)
+    own = trades.where("pnl_pct is not null").withColumn("won", F.col("pnl_pct") > 0)
+    own = own.withColumn("place", F.row_number().over(ordered(["strategy", "won"], ["exit_day", "signal_id"])).cast("long"))
+    own = own.select(F.col("strategy").alias("s"), F.col("won").alias("w"), F.col("place").alias("p"), "pnl_pct")
+    got = draw.join(own, F.col("strategy").eqNullSafe(F.col("s")) & (F.col("won") == F.col("w")) & (F.col("place") == F.col("p")), "left")
+    raw = F.when(F.col("won"), F.col("pnl_pct") / F.col("vol")).otherwise(F.coalesce("pnl_pct", F.lit(-0.3)) * F.col("vol"))
+    got = got.withColumn("pnl", F.greatest(F.lit(-1.0), F.least(F.lit(5.0), raw)))
+    stake = risk * regime_scale(F.col("regime"))
+    # the stake keeps 1 + stake * pnl above 0; equities are put on a grid so that ties are ties
+    through = (1 + F.col("shock")) * F.exp(F.sum(F.log(1 + stake * F.col("pnl"))).over(frame(["scenario", "strategy"], ["step"], None, 0)))
+    steps = got.select("scenario", "strategy", "step", "n_trades", "pnl", snap(through, 9).alias("equity"))
+    first = rate.crossJoin(F.broadcast(table)).select("scenario", "strategy", F.lit(0).alias("step"), "n_trades", F.lit(None).cast("double").alias("pnl"), snap(1 + F.col("shock"), 9).alias("equity"))
+    peak = F.greatest(F.lit(1.0), F.max("equity").over(frame(["scenario", "strategy"], ["step"], None, 0)))
+    path = steps.unionByName(first).withColumn("depth", snap(F.col("equity") / peak - 1, 9))
+    deepest = F.min(F.struct("depth", "step")).over(frame(["scenario", "strategy"], ["step"], None, None))
+    path = path.withColumn("low", deepest)
+    back = F.min(F.when((F.col("step") >= F.col("low.step")) & (F.col("equity") >= 1), F.col("step") - F.col("low.step")))
+    return path.groupBy("scenario", "strategy").agg(
+        F.max("n_trades").alias("n_trades"), (F.max_by("equity", "step") - 1).alias("total"), F.min("depth").alias("max_drawdown"),
+        (F.min("depth") > ruin).alias("survived"), F.min("pnl").alias("worst"), F.coalesce(back, F.lit(-1)).cast("int").alias("recovery"),
+    )
 
 
 def deflated_sharpe(sharpe: float, n: int, skew: float, excess: float, trials: int, spread: float = 1.0) -> float:

@@ -377,10 +377,26 @@ def drawdown(spark: SparkSession, sf: str) -> DataFrame:
     return snapped(rolling.drawdown(views.daily(spark, sf), "close", KEYS, DAY), "symbol", "day", peak="peak", drawdown="drawdown", drawdown_pct="drawdown_pct")
 
 
-@register("lagged_correlation", RETURNS + ", l as (select *, " + ", ".join(f"lag(ret, {k}) over (partition by symbol order by day) as r{k}" for k in (1, 5, 20)) + ") " .replace(") ", " from r)") + f" select symbol, {s('corr(ret, r1)')} as lag1, {s('corr(ret, r5)')} as lag5, {s('corr(ret, r20)')} as lag20 from l group by symbol")
+LAGS, AHEAD = range(51), (1, 5, 10, 20, 60)
+
+
+@register("lagged_correlation", RETURNS + f""", l as (select *, {", ".join(f"lag(ret, {k}) over (partition by symbol order by day) as r{k}" for k in LAGS)} from r)
+{" union all ".join(f"select symbol, {k} as lag, {s(f'corr(ret, r{k})')} as corr from l group by symbol" for k in LAGS)}""")
 def lagged_correlation(spark: SparkSession, sf: str) -> DataFrame:
-    r = returns(spark, sf).select("*", *(F.lag("ret", k).over(ordered(KEYS, DAY)).alias(f"r{k}") for k in (1, 5, 20)))
-    return r.groupBy("symbol").agg(*(snap(F.corr("ret", f"r{k}")).alias(f"lag{k}") for k in (1, 5, 20)))
+    """Correlation of a day's return with that of each of 50 days before it, and its own: one window, one aggregate."""
+    r = returns(spark, sf).select("*", *(F.lag("ret", k).over(ordered(KEYS, DAY)).alias(f"r{k}") for k in LAGS))
+    c = r.groupBy("symbol").agg(*(F.corr("ret", f"r{k}").alias(f"c{k}") for k in LAGS))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("lag"), F.col(f"c{k}").alias("c")) for k in LAGS)))
+    return c.select("symbol", each.alias("x")).select("symbol", "x.lag", snap(F.col("x.c")).alias("corr"))
+
+
+@register("forward_sum_correlation", RETURNS + f""", l as (select *, lag(ret) over (partition by symbol order by day) as pred, {", ".join(f"case when count(ret) over {rows(0, k - 1)} = {k} then sum(ret) over {rows(0, k - 1)} end as f{k}" for k in AHEAD)} from r)
+select symbol, {", ".join(f"{s(f'corr(pred, f{k})')} as ahead{k}" for k in AHEAD)} from l group by symbol""")
+def forward_sum_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlation of what is known before a day, the return of the one before, with the sum over whole horizons from it on."""
+    sums = {f"f{k}": F.when(F.count("ret").over(frame(KEYS, DAY, 0, k - 1)) == k, F.sum("ret").over(frame(KEYS, DAY, 0, k - 1))) for k in AHEAD}
+    l = returns(spark, sf).select("*", F.lag("ret").over(ordered(KEYS, DAY)).alias("pred"), *(v.alias(k) for k, v in sums.items()))
+    return l.groupBy("symbol").agg(*(snap(F.corr("pred", f"f{k}")).alias(f"ahead{k}") for k in AHEAD))
 
 
 @register("rolling_ic", RETURNS + f""", l as (select *, lag(ret) over (partition by symbol order by day) as pred from r)

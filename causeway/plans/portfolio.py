@@ -248,12 +248,36 @@ def kelly_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("vol_regime", snap(portfolio.kelly(F.col("w"), F.col("b"))).alias("kelly"), portfolio.regime_scale(F.col("vol_regime")).alias("scale"))
 
 
-@register("stress", with_views("trades") + f""", z as (select * from (values ('base', 0.0::double, 1.0::double, 1.0::double), ('vol_spike', 0.0, 1.5, 1.5), ('crash', -0.2, 1.0, 2.0), ('slow_bleed', -0.05, 1.2, 1.1)) v(scenario, shock, win, lose)),
-x as (select scenario, strategy, greatest(-1.0::double, least(5.0::double, case when pnl_pct > 0 then pnl_pct / win else pnl_pct * lose end + shock)) as p from trades cross join z)
-select scenario, strategy, {s('sum(p)')} as total, {s('min(p)')} as worst, {s('avg(case when p > 0 then 1.0::double else 0.0::double end)')} as win_rate from x group by 1, 2""")
+def stress_sql(scenarios) -> str:
+    """The same draws and equities as ``portfolio.stress``."""
+    values = ", ".join(f"('{n}', {v}::double, {c}::double, {k}::double, {m}, '{r}')" for n, v, c, k, m, r in scenarios)
+    u = lambda what: f"cast(('0x' || substr(md5(concat_ws(':', '{what}', scenario, coalesce(strategy, ''), step)), 1, 8))::bigint as double) / 4294967296"
+    return with_views("trades") + f""", z as (select * from (values {values}) v(scenario, vol, cut, shock, n_trades, regime)),
+r as (select strategy, avg(case when pnl_pct > 0 then 1.0::double else 0.0::double end) as rate, count(*) filter (where pnl_pct > 0) as wins, count(*) filter (where pnl_pct <= 0) as losses from trades group by 1),
+d as (select *, unnest(range(1, n_trades + 1)) as step from r cross join z),
+w as (select *, {u('side')} < greatest(0.05::double, rate - cut) and wins > 0 as won from d),
+p as (select *, cast(floor({u('trade')} * case when won then wins else losses end) as bigint) + 1 as place from w),
+o as (select strategy, pnl_pct > 0 as won, row_number() over (partition by strategy, pnl_pct > 0 order by exit_day, signal_id) as place, pnl_pct from trades where pnl_pct is not null),
+g as (select scenario, p.strategy, step, n_trades, shock, case regime when 'high' then 0.5::double when 'normal' then 0.75::double when 'low' then 1.0::double else 0.75::double end * 0.01 as stake,
+  greatest(-1.0::double, least(5.0::double, case when p.won then pnl_pct / vol else coalesce(pnl_pct, -0.3::double) * vol end)) as pnl
+  from p left join o on p.strategy is not distinct from o.strategy and p.won = o.won and p.place = o.place),
+e as (select scenario, strategy, step, n_trades, pnl, {s('(1 + shock) * exp(sum(ln(1 + stake * pnl)) over (partition by scenario, strategy order by step))', 9)} as equity from g
+  union all select scenario, strategy, 0, n_trades, null, {s('1 + shock', 9)} from r cross join z),
+h as (select *, {s('equity / greatest(1.0::double, max(equity) over (partition by scenario, strategy order by step)) - 1', 9)} as depth from e),
+l as (select *, arg_min(step, (depth, step)) over (partition by scenario, strategy) as low from h)
+select scenario, strategy, max(n_trades) as n_trades, {s('max_by(equity, step) - 1')} as total, {s('min(depth)')} as max_drawdown, min(depth) > -0.5 as survived, {s('min(pnl)')} as worst,
+  cast(coalesce(min(step - low) filter (where step >= low and equity >= 1), -1) as integer) as recovery from l group by 1, 2"""
+
+
+@register("stress", stress_sql(portfolio.SCENARIOS))
 def stress(spark: SparkSession, sf: str) -> DataFrame:
-    x = portfolio.stress(views.trades(spark, sf))
-    return x.select("scenario", "strategy", snap(F.col("total")).alias("total"), snap(F.col("worst")).alias("worst"), snap(F.col("win_rate")).alias("win_rate"))
+    return snapped(portfolio.stress(views.trades(spark, sf)), "scenario", "strategy", "n_trades", "survived", "recovery", total="total", max_drawdown="max_drawdown", worst="worst")
+
+
+@register("stress_before_release", stress_sql(portfolio.RELEASE_SCENARIOS))
+def stress_before_release(spark: SparkSession, sf: str) -> DataFrame:
+    x = portfolio.stress(views.trades(spark, sf), portfolio.RELEASE_SCENARIOS)
+    return snapped(x, "scenario", "strategy", "n_trades", "survived", "recovery", total="total", max_drawdown="max_drawdown", worst="worst")
 
 
 @register("alpha_beta", EXT + f""", g as (select symbol, cast(date_trunc('week', day) as date) as week, max_by(close, day) as c, max_by(index_close, day) filter (where index_close is not null) as i from j group by 1, 2),

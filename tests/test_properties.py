@@ -1,5 +1,6 @@
 """What must hold whatever the data: no look-ahead, no dependence on row order, and parity of streams with batches."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from causeway.functions.columns import epoch_seconds, normal_cdf
 from causeway.operators import asof, bars, learning, portfolio, rolling, signals, validation
 from causeway.plans import registry
-from causeway.sources import store
+from causeway.sources import calendar, store
 
 KEYS, ORDER = ["symbol"], ["t"]
 
@@ -98,6 +99,62 @@ def test_reset_bars_against_a_loop(spark):
     assert got == want | {j: None for j in open_}
 
 
+def test_reset_bars_in_small_batches(spark):
+    """Bars that reach over Arrow batches, several keys in a partition, a null key, prints without a value."""
+    rng = np.random.default_rng(2)
+    rows = [(k, i, i, 1.0, 1.0, None if i % 17 == 0 else int(rng.integers(1, 400)), None) for k in ("A", "B", None, "C") for i in range(150 if k != "C" else 1)]
+    tape = spark.createDataFrame(rows, "symbol string, ts long, seq long, price double, size double, notional_c long, note string").repartition(5)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = {(r.symbol, r.seq): r.bar_id for r in bars.reset_bar_ids(tape, 1000).collect()}
+        assert bars.reset_bar_ids(tape.limit(0), 1000).collect() == []
+    finally:
+        spark.conf.set(key, was)
+    want = {}
+    for k in ("A", "B", None, "C"):
+        bar, total, waiting = 0, 0, []
+        for r in (r for r in rows if r[0] == k):
+            total += r[5] or 0
+            waiting.append((k, r[2]))
+            if total >= 1000:
+                want |= dict.fromkeys(waiting, bar)
+                bar, total, waiting = bar + 1, 0, []
+        want |= dict.fromkeys(waiting, None)
+    assert got == want
+
+
+def test_stress_against_a_loop(spark):
+    """Without losers or winners, and the equity of each scenario step by step."""
+    rows = [("a", i, i, 0.4 - 0.2 * (i % 5)) for i in range(40)] + [("w", i, i, 0.5) for i in range(4)] + [("l", i, i, -0.3) for i in range(4)]
+    trades = spark.createDataFrame(rows, "strategy string, exit_day int, signal_id int, pnl_pct double")
+    got = {(r.scenario, r.strategy): r for r in portfolio.stress(trades).collect()}
+    draw = lambda *p: int(hashlib.md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16) / 2**32
+    for name, vol, cut, shock, n, regime in portfolio.SCENARIOS:
+        for s in "awl":
+            pnl = [r[3] for r in rows if r[0] == s]
+            wins, losses = [x for x in pnl if x > 0], [x for x in pnl if x <= 0]
+            equity, worst = [1.0, 1 + shock], []
+            for i in range(1, n + 1):
+                won = draw("side", name, s, i) < max(0.05, len(wins) / len(pnl) - cut) and wins
+                u = draw("trade", name, s, i)
+                x = wins[int(u * len(wins))] / vol if won else (losses[int(u * len(losses))] if losses else -0.3) * vol
+                worst.append(min(5.0, max(-1.0, x)))
+                equity.append(equity[-1] * (1 + worst[-1] * 0.01 * {"high": 0.5, "normal": 0.75}[regime]))
+            depth = np.array(equity) / np.maximum.accumulate(equity) - 1
+            r = got[name, s]
+            assert (r.n_trades, r.survived) == (n, True) and r.worst == pytest.approx(min(worst))
+            assert r.total == pytest.approx(equity[-1] - 1, abs=1e-7) and r.max_drawdown == pytest.approx(depth.min(), abs=1e-7)
+            assert r.recovery == next((j for j in range(n + 2 - int(depth.argmin())) if equity[int(depth.argmin()) + j] >= 1), -1)
+
+
+def test_dated_calendar(spark):
+    rows = calendar.dated(spark).collect()
+    assert len(rows) == 72 and [r.event_day for r in rows] == sorted(r.event_day for r in rows)
+    assert sum(r.magnitude for r in rows) == pytest.approx(12 * 1.0 + 18 * 0.8 + 18 * 0.7 + 6 * 0.6 + 18 * 0.5)
+
+
 def test_ridge_sums_equal_one_matrix(series):
     phi = learning.FourierMap(2, 16)
     sums = learning.grams(series.repartition(5).withColumn("fold", F.lit(0)), ["x", "y"], "y", phi)
