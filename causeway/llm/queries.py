@@ -119,7 +119,7 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = substring.substring_dedup(table(spark, sf_dir, "documents"), k=20)
+    kept = substring.substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), k=20)
     words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), WORD_SPLIT, " "))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(words, "UTF-8"), 256).alias("kept_sha256"))
 
