@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 U = np.uint64
 #: Bytes that separate words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -56,6 +56,22 @@ def dropped(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def numbered(df: DataFrame, order: list[Column], number: str) -> DataFrame:
+    """``df`` with ``number``, from 1 in the order of ``order``: a range-partitioned sort, written, and each part's first number.
+
+    Rows that tie in ``order`` are numbered in any way. The driver holds one count for each part.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = written(rows.withColumn("nb_part", F.spark_partition_id()).withColumn("nb_place", F.monotonically_increasing_id()), "numbered")
+    before, start = 0, []
+    for part, n in sorted(map(tuple, rows.groupBy("nb_part").count().collect())):
+        start.append((part, before + 1 - (part << 33)))
+        before += n
+    starts = df.sparkSession.createDataFrame(start, "nb_part int, nb_start long")
+    out = rows.join(F.broadcast(starts), "nb_part").withColumn(number, F.col("nb_place") + F.col("nb_start"))
+    return out.select(*df.columns, number)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

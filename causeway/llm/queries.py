@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, images, jaccard, licences, lines, packing, pieces, substring, toxicity, warc
+from causeway.llm import ann, exact, images, jaccard, licences, lines, packing, pieces, substring, toxicity, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -140,6 +140,22 @@ from f
 """
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact.exact_dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP12_SQL = """
+with d as (
+  select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as norm from documents),
+g as (
+  select doc_id, norm, max(doc_id) over (partition by norm) as keep_id, count(*) over (partition by norm) as group_size,
+         row_number() over (partition by norm order by doc_id desc nulls last) as place
+  from d)
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(norm) as text_sha256 from g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -152,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op12_exact_dedup": op12_exact_dedup,
     }
 
 
@@ -160,4 +177,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": OP1_SQL,
         "op3_licence_scan": licence_sql(),
         "op7_warc": OP7_SQL,
+        "op12_exact_dedup": OP12_SQL,
     }
