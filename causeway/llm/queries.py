@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, exact, images, jaccard, licences, lines, packing, pieces, substring, toxicity, warc
+from causeway.llm import ann, exact, images, jaccard, licences, lines, packing, pieces, runs, substring, toxicity, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -156,6 +158,39 @@ select doc_id, keep_id, group_size, place = 1 as kept, sha256(norm) as text_sha2
 """
 
 
+def repeating(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs``; in one of ten texts, by their ids, the words from some place on repeat the first few of them."""
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                g, rest = divmod(zlib.crc32(str(doc).encode()), 10)
+                words = text.split() if text and doc is not None and not rest else []
+                if not words:
+                    texts.append(text)
+                    continue
+                a = g % len(words)
+                p = 1 + (len(words) - a) // (3 + g % 8)
+                texts.append(b" ".join([words[i if i < a else a + (i - a) % p] for i in range(len(words))]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary()).cast(pa.string())], names=["doc_id", "text"])
+
+    held = docs.select("doc_id", "text")
+    return held.mapInArrow(plant, held.schema)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(repeating(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda x: F.concat(x.start.cast("string"), F.lit(","), x.length.cast("string"), F.lit(","), x.period.cast("string"), F.lit("\n")))
+    sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256)
+    top = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top.start.alias("start"), top.length.alias("length"), top.period.alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        sha(F.array_join(lines, "")).alias("runs_sha256"), sha(F.coalesce("collapsed", F.lit(""))).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -169,6 +204,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
         "op12_exact_dedup": op12_exact_dedup,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
