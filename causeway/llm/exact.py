@@ -1,15 +1,16 @@
 """Exact dedup by deterministic block naming: documents of equal texts get one integer identity, without collisions.
 
 A normalised text (A-Z lower-cased) is cut into blocks of ``block`` bytes, the last one shorter; an empty text is one empty
-block. All blocks are sorted, and each distinct block is named by its place in that order. Then adjacent names of a document
+block. All blocks are sorted (by a hash, then by contents), and each distinct block is named by its place in that order. Then adjacent names of a document
 are taken in pairs (an odd last one with 0), and all pairs are sorted and named in the same way, from the names given so far
 on, until each document has one name left: its identity. Names stand for contents, never for hashes of them: two documents
 get one identity only for equal texts, and the identities do not depend on how the rows were dealt.
 
-A naming is one sort by ranges of (contents, document, place), so that a block which a third of all rows hold is many tasks;
-within a part the sorted rows are numbered as they stream by, and where a value goes on from one part to the next is found
-by comparing the edges of the parts. The driver holds one number for each part. Texts are shuffled once; above the blocks,
-a name of 8 bytes stands for each block.
+A naming is one sort by ranges of (hash of the contents, document, place), so that a block which a third of all rows hold is many
+tasks; within a part rows are sorted by hash, then contents, and numbered as they stream by. Where contents go on from one
+part to the next is found by comparing the edges of the parts. Should different contents of one hash meet at such an edge, the
+sort is done anew with the contents themselves among the ranges: the order, and so the names, are the same. The driver holds
+samples of short keys and one number for each part. Texts are shuffled once; above the blocks, a name of 8 bytes stands for each.
 
 Rows travel as (id, SHA-256 of the text), which only keeps rows of one id and different texts apart.
 
@@ -26,9 +27,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from causeway.llm.common import lean_batches, string_buffers, written
+from causeway.llm.common import dropped, lean_batches, string_buffers, written
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -59,57 +61,72 @@ def cut_into_blocks(docs: DataFrame, block: int) -> DataFrame:
     return docs.mapInArrow(cut, T.StructType(fields))
 
 
-def named(df: DataFrame, keys: list[str], after: int) -> tuple[DataFrame, int]:
+def named(df: DataFrame, keys: list[str], after: int, short: int) -> tuple[DataFrame, int]:
     """``df`` (id, digest, n, place and ``keys``) with ``name`` for the keys, and the last name given.
 
-    Distinct values of the keys, none null, are numbered in ascending order from ``after`` + 1 on.
+    Distinct values of the keys, none null, are numbered in ascending order from ``after`` + 1 on. The first ``short`` of the
+    keys deal the rows to parts; what ties in them may go on in the next part.
     """
     spark, rest = df.sparkSession, ["id", "digest", "n", "place"]
-    order = [*keys, "id", "digest", "place"]
-    ranged = df.select(*rest, *keys).repartitionByRange(*order).sortWithinPartitions(*order)
+    # what follows the keys only splits common ones; equal rows are split by the task that they come from
+    ranged = df.select(*rest, *keys).repartitionByRange(*keys[:short], "id", "place", F.spark_partition_id())
+    ranged = ranged.sortWithinPartitions(*keys)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows of mark 0 are those of df; a part ends with two more: its first keys (mark 1) and its last (mark 2)
-        from pyspark import TaskContext
+        # rows of mark 0 are those of df; a part ends with two more: its first keys (mark 1) and its last (mark 2),
+        # with the number of values (``alike``) that tie with them in the short keys
+        part, local, first, last, group, first_group = TaskContext.get().partitionId(), 0, None, None, 0, None
 
-        part, local, first, last = TaskContext.get().partitionId(), 0, None, None
-
-        def rows(columns: list[pa.Array], own: list[pa.Array], mark: int, rank: np.ndarray) -> pa.RecordBatch:
+        def rows(columns: list[pa.Array], own: list[pa.Array], mark: int, alike: int, rank: np.ndarray) -> pa.RecordBatch:
             size = len(rank)
-            more = [pa.array(np.full(size, x, np.int32)) for x in (mark, part)] + [pa.array(rank)]
-            return pa.RecordBatch.from_arrays([*columns, *own, *more], names=[*rest, *keys, "mark", "part", "rank"])
+            more = [pa.array(np.full(size, x, np.int32)) for x in (mark, part)] + [pa.array(np.full(size, alike)), pa.array(rank)]
+            return pa.RecordBatch.from_arrays([*columns, *own, *more], names=[*rest, *keys, "mark", "part", "alike", "rank"])
 
         for batch in batches:
             size = batch.num_rows
             if not size:
                 continue
             own = batch.columns[len(rest) :]
-            new = np.zeros(size, bool)
-            for c in own:
-                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-            begins = [c[0].as_py() for c in own]
+            new, lead = np.zeros(size, bool), np.zeros(size, bool)
+            begins, ends = ([c[i].as_py() for c in own] for i in (0, size - 1))
             new[0] = begins != last
-            first, last = first or begins, [c[size - 1].as_py() for c in own]
+            lead[0] = last is not None and begins[:short] != last[:short]
+            for i, c in enumerate(own):
+                differs = pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+                new[1:] |= differs
+                if i < short:
+                    lead[1:] |= differs
+            at = np.flatnonzero(lead)
+            if len(at):
+                first_group = group + int(new[: at[0]].sum()) if first_group is None else first_group
+                group = 0
+            group += int(new[at[-1] if len(at) else 0 :].sum())
+            first, last = first or begins, ends
             rank = local + np.cumsum(new)
             local = int(rank[-1])
-            yield rows(batch.columns[: len(rest)], [pa.nulls(size, c.type) for c in own], 0, rank)
+            yield rows(batch.columns[: len(rest)], [pa.nulls(size, c.type) for c in own], 0, 0, rank)
         if first:
             kinds = [c.type for c in batch.columns]
-            for mark, edge in ((1, first), (2, last)):
+            for mark, edge, alike in ((1, first, group if first_group is None else first_group), (2, last, group)):
                 none = [pa.nulls(1, k) for k in kinds[: len(rest)]]
-                yield rows(none, [pa.array([v], k) for v, k in zip(edge, kinds[len(rest) :], strict=True)], mark, np.array([local]))
+                own = [pa.array([v], k) for v, k in zip(edge, kinds[len(rest) :], strict=True)]
+                yield rows(none, own, mark, alike, np.array([local]))
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in ranged.schema])
-    for name, kind in (("mark", T.IntegerType()), ("part", T.IntegerType()), ("rank", T.LongType())):
+    for name, kind in (("mark", T.IntegerType()), ("part", T.IntegerType()), ("alike", T.LongType()), ("rank", T.LongType())):
         schema = schema.add(name, kind)
     table = written(ranged.mapInArrow(number, schema), "names")
     ends = table.where("mark > 0")
     counts = sorted((r.part, r.rank) for r in ends.where("mark = 2").select("part", "rank").collect())
     follows = spark.createDataFrame([(b[0], a[0]) for a, b in zip(counts, counts[1:])], "part int, before int")
-    head = ends.where("mark = 1").select("part", F.struct(*keys).alias("head"))
-    tail = ends.where("mark = 2").select(F.col("part").alias("before"), F.struct(*keys).alias("tail"))
-    same = {r.part for r in head.join(follows, "part").join(tail, "before").where("head = tail").select("part").collect()}
-    starts = []
+    head = ends.where("mark = 1").select("part", F.struct(*keys).alias("head"), F.struct(*keys[:short]).alias("near"), F.col("alike").alias("some"))
+    tail = ends.where("mark = 2").select(F.col("part").alias("before"), F.struct(*keys).alias("tail"), F.struct(*keys[:short]).alias("far"), "alike")
+    met = head.join(follows, "part").join(tail, "before").where("near = far")
+    met = met.select("part", F.expr("head = tail and some = 1 and alike = 1").alias("clean")).collect()
+    if not all(r.clean for r in met):
+        dropped(table)
+        return named(df, keys, after, len(keys))
+    same, starts = {r.part for r in met}, []
     for part, n in counts:
         after -= part in same
         starts.append((part, after))
@@ -121,7 +138,7 @@ def named(df: DataFrame, keys: list[str], after: int) -> tuple[DataFrame, int]:
 def identities(docs: DataFrame, block: int = 4096) -> DataFrame:
     """id, digest, copies, identity: a row for each id and text of ``docs`` (id, text), ``copies`` being its number of rows."""
     lean_batches(docs.sparkSession)
-    left, last = named(cut_into_blocks(docs, block), ["content"], 0)
+    left, last = named(cut_into_blocks(docs, block).withColumn("hash", F.xxhash64("content")), ["hash", "content"], 0, 1)
     # equal rows have equal names
     rows = left.where("place = 0").groupBy("id", "digest", "n").agg(F.count("*").alias("copies"), F.max("name").alias("name"))
     left, ended = left.where("n > 1"), None
@@ -130,7 +147,7 @@ def identities(docs: DataFrame, block: int = 4096) -> DataFrame:
         pairs = left.groupBy("id", "digest", "n", pair).agg(
             F.max(F.when(even, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(0)).alias("b")
         )
-        named_pairs, last = named(pairs.withColumn("n", F.floor((F.col("n") + 1) / 2).cast("int")), ["a", "b"], last)
+        named_pairs, last = named(pairs.withColumn("n", F.floor((F.col("n") + 1) / 2).cast("int")), ["a", "b"], last, 2)
         whole, left = named_pairs.where("n = 1"), named_pairs.where("n > 1")
         ended = whole if ended is None else ended.union(whole)
     out = rows.where("n = 1").select("id", "digest", "copies", F.col("name").alias("identity"))
