@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.llm import ann, exact, images, jaccard, licences, lines, packing, pieces, runs, substring, toxicity, warc
+from causeway.llm import ann, exact, images, jaccard, licences, lines, packing, pieces, resample, runs, substring, toxicity, warc
 from causeway.llm.common import WORD_SPLIT, table
 
 
@@ -142,6 +142,12 @@ from f
 """
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = resample.importance_resample(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -203,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_toxicity": op9_toxicity,
         "op10_best_fit_packing": op10_best_fit_packing,
+        "op11_importance_resampling": op11_importance_resampling,
         "op12_exact_dedup": op12_exact_dedup,
         "op13_periodic_runs": op13_periodic_runs,
     }
