@@ -20,8 +20,8 @@ den * |intersection| >= num * |union|; the result names for each text the smalle
    forests each time. So no link that could join two components is left out, and pairs grow linearly with a group of copies.
 
 Equal sets are one node from the start, so groups of copies cost one row a task. A signature that very many sets share
-is dealt to pieces by its estimate. Minima over a component are summed within tasks first, and joins on a hot key are
-plain equi-joins, which Spark splits at run time. Nothing but sketches, of bounded size, is broadcast.
+is dealt to pieces by its estimate. Minima over a component are summed within tasks first and written, so that joins on a
+hot key have plain shuffles on both sides, which Spark splits at run time. Nothing but sketches, of bounded size, is broadcast.
 
 Cases: a null text, or one without words, has no shingles and is a component of its own; repeated rows and ties are
 equal sets, and link; a null id stands for no document: its row stays, is never smallest, and names its component if it
@@ -482,12 +482,17 @@ def components(links: DataFrame) -> DataFrame:
     """node and root (its component's least node) for all nodes with links (a, b), but for the roots themselves.
 
     Alternates two steps until nothing changes: every node hands its larger neighbours, then its smaller ones, to the
-    least among them. The least of a node's neighbours is summed within tasks first and joined back, so a node with very
-    many of them is no task's burden; each round is written to the shared folder.
+    least among them. The least of a node's neighbours is summed within tasks first and written before it is joined back:
+    both sides of the join are then plain shuffles, which Spark splits where a node has very many neighbours.
     """
+    spent: list[DataFrame] = []
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        spent.append(written(df, name))
+        return spent[-1]
 
     def with_least(rows: DataFrame) -> DataFrame:
-        return rows.join(rows.groupBy("u").agg(F.min("v").alias("m")), "u")
+        return rows.join(held(rows.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
 
     edges, before = written(forest(links.select("a", "b")), "edges"), None
     while True:
@@ -496,10 +501,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = held(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
         ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         after = written(with_least(large).select(ends).select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        dropped(edges)
+        dropped(edges, *spent)
+        spent.clear()
         edges = after
 
 
@@ -525,7 +531,8 @@ def bound_pairs(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
 
 def dealt_members(members: DataFrame) -> DataFrame:
     """``members`` with own, i, j: each signature's rows dealt so that all its pairs meet in blocks of bounded size."""
-    blocks = members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    # written, so that Spark can split a signature that very many sets share
+    blocks = written(members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
     met = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
@@ -629,7 +636,7 @@ def all_linked(members: DataFrame, links: DataFrame, info: DataFrame, texts: Dat
     roots, failed, forests = components(links), None, 2
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    dealt = written(dealt_members(members.join(mixed, "sig", "left_semi")), "dealt")
+    dealt = written(dealt_members(written(members.join(written(mixed, "mixed"), "sig", "left_semi"), "members")), "dealt")
     while True:
         met = written(crossing(dealt, roots, info, failed, rule, forests), "crossing")
         if met.isEmpty():
@@ -676,11 +683,12 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), lower: bool = True)
     dropped(texts, info, nodes, near)
 
     # the least id of each set, then of each component; both are summed within tasks first
-    first = owners.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    linked = first.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    # what a hot key is joined to is written first, so that Spark can split it
+    first = written(owners.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
+    linked = written(first.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node"), "linked")
+    least = written(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "least")
     named = linked.join(least, "root").select("node", "least_id")
-    own = first.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component"))
+    own = written(first.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component")), "own")
     return owners.join(own, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

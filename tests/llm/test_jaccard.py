@@ -186,3 +186,32 @@ def test_classes_hold_when_texts_outgrow_the_sketch():
     cells.level = int(np.median(cells.data))
     assert (cells.estimate(often) >= cells.rare_below()).all()
     assert (cells.estimate(once) < cells.rare_below()).mean() > 0.9
+
+
+def test_hot_keys_of_components_are_split(spark, monkeypatch):
+    """Most rows on one key: the plans that ran split the joins with the minima."""
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    skewed, write = [], jaccard.written
+
+    def seen(df, name):
+        if name in ("large", "edges"):
+            df.collect()
+            skewed.extend([name] * ("skew=true" in df._jdf.queryExecution().executedPlan().toString()))
+        return write(df, name)
+
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        star = [(0, i) for i in range(1, 20_000)] + [(30_000 + 2 * i, 30_001 + 2 * i) for i in range(500)]
+        monkeypatch.setattr(jaccard, "written", seen)
+        roots = {r.node: r.root for r in jaccard.components(spark.createDataFrame(star, "a long, b long").repartition(8)).collect()}
+        assert all(roots[i] == 0 for i in range(1, 20_000)) and all(roots[30_001 + 2 * i] == 30_000 + 2 * i for i in range(500))
+        assert "large" in skewed
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
