@@ -5,7 +5,7 @@ a page counting as one. near_copies: of documents
 linked by 5-word shingles at a Jaccard similarity of 0.8, the one with the smallest id stays. passages: words covered by
 a passage of 50 words that starts earlier go. packing: what is left is cut and packed into sequences of 1,024 tokens.
 
-Cases: documents with a null or empty text pass every stage, as nothing speaks against them, and are packed as their end
+Cases: of repeated rows (one id and one text) one stays in near_copies, as of any group of copies; documents with a null or empty text pass every stage, as nothing speaks against them, and are packed as their end
 id; documents without an id are never near copies of others; an empty table gives no rows.
 """
 
@@ -38,7 +38,12 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     linked = jaccard.jaccard_components(docs, jaccard.Rule(n=5, num=80, den=100))
     copies = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
-    return documents(docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti"))
+    kept = docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
+    again = written(docs.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1 and again_id is not null").select("again_id"), "again")
+    if not again.isEmpty():
+        twice = F.col("doc_id") == F.col("again_id")
+        kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return documents(kept)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
