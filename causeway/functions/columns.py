@@ -52,3 +52,8 @@ def third_friday(day: Column) -> Column:
 def cyclic(x: Column, period: float) -> tuple[Column, Column]:
     angle = x * F.lit(2 * 3.141592653589793 / period)
     return F.sin(angle), F.cos(angle)
+
+
+def month_number(ts: str) -> Column:
+    """Months since year 0: blocks of time for scans."""
+    return (F.year(ts) * 12 + F.month(ts)).cast("long")

@@ -10,9 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from causeway.functions.columns import frame, ordered
+from causeway.operators.scans import ResetSum, scan
 
 KEYS, ORDER = ["symbol"], ["ts", "seq"]
 
@@ -33,13 +34,16 @@ def master_bars(tape: DataFrame, threshold_c: int) -> DataFrame:
     )
 
 
-def reset_bar_ids(tape: DataFrame, threshold_c: int) -> DataFrame:
+def reset_bar_ids(tape: DataFrame, threshold_c: int, block: Column | None = None) -> DataFrame:
     """Adds bar_id from 0: the running value starts again at 0 after each close. The last, partial bar has none (null).
 
-    Where a bar ends depends on where the one before did, so a key's prints are folded in order. They are sorted within
+    Where a bar ends depends on where the one before did. With ``block``, which never falls along the order (say, the month),
+    a key's prints are many tasks, one for each block, by jump tables. Without, a key's prints are folded in order. They are sorted within
     partitions and go through the fold batch by batch: a task holds a batch and the prints of the bar that is still open,
     not a key's whole tape. A print without a value counts 0.
     """
+    if block is not None:
+        return scan(tape, ResetSum("notional_c", threshold_c), KEYS, ORDER, block)
     names = tape.columns
     symbol, value = (names.index(c) for c in ("symbol", "notional_c"))
 
@@ -83,10 +87,10 @@ def reset_bar_ids(tape: DataFrame, threshold_c: int) -> DataFrame:
     return tape.repartition(*KEYS).sortWithinPartitions(*KEYS, *ORDER).mapInArrow(fold, schema)
 
 
-def reset_bars(tape: DataFrame, threshold_c: int) -> DataFrame:
+def reset_bars(tape: DataFrame, threshold_c: int, block: Column | None = None) -> DataFrame:
     """One row a reset bar: prices, volume, vwap, log return, volatility within, and tick-rule buy and sell volume."""
     own = ordered(["symbol", "bar_id"], ORDER)
-    ticked = reset_bar_ids(tape, threshold_c).where("bar_id is not null").withColumn("before", F.lag("price").over(own))
+    ticked = reset_bar_ids(tape, threshold_c, block).where("bar_id is not null").withColumn("before", F.lag("price").over(own))
     up = F.coalesce(F.col("price") >= F.col("before"), F.lit(True))
     bars = ticked.groupBy("symbol", "bar_id").agg(
         F.min("seq").alias("open_seq"), F.max("seq").alias("close_seq"),

@@ -7,10 +7,10 @@ feature names its own. First rows follow the convention of a difference of 0.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions.columns import cyclic, frame, normal_cdf, ordered
+from causeway.operators.scans import Exponential, carried, scan
 
 
 def nth(keys: list[str], order: list[str]) -> Column:
@@ -149,15 +149,20 @@ def fractional_difference(x: str, keys: list[str], order: list[str], d: float, l
     return F.when(F.size(rows) == len(w), total)
 
 
-def ema(df: DataFrame, x: str, keys: list[str], order: list[str], span: int, out: str = "ema") -> DataFrame:
-    """Exponential mean with alpha = 2 / (span + 1), from the first value on; a fold by key."""
-    alpha = 2.0 / (span + 1)
+def ema(df: DataFrame, x: str, keys: list[str], order: list[str], span: int, out: str = "ema", block: Column | None = None) -> DataFrame:
+    """Exponential mean with alpha = 2 / (span + 1), from the first value on; rows without a value keep it.
 
-    def fold(frame_: pd.DataFrame) -> pd.DataFrame:
-        frame_ = frame_.sort_values(order, kind="stable", ignore_index=True)
-        return frame_.assign(**{out: frame_[x].ewm(alpha=alpha, adjust=False).mean()})
+    With ``block``, which never falls along the order, a key is many tasks; without, it is folded batch by batch.
+    """
+    fold = Exponential(x, 2.0 / (span + 1), out)
+    if block is not None:
+        return scan(df, fold, keys, order, block)
+
+    def step(own: dict[str, np.ndarray], state: tuple | None) -> tuple[np.ndarray, tuple]:
+        y = fold.rows(state or fold.start(), {x: own[x].astype(float)}, None)[0].to_numpy(zero_copy_only=False)
+        return y, (None if np.isnan(y[-1]) else float(y[-1]),)
 
-    return df.groupBy(*keys).applyInPandas(fold, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return carried(df, keys, order, [x], out, step)
 
 
 def residual_variance(daily: DataFrame, keys: list[str], window: int = 60) -> DataFrame:

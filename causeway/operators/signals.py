@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.functions.columns import frame, ordered
-
-
-def added(df: DataFrame, **columns: T.DataType) -> T.StructType:
-    return T.StructType([*df.schema.fields, *(T.StructField(n, t) for n, t in columns.items())])
+from causeway.operators.scans import Arrays, Fold, Gained, Spread, carried, scan
 
 
 def kalman_steps(values: np.ndarray, q: float | np.ndarray, window: int, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
@@ -30,20 +27,30 @@ def kalman_steps(values: np.ndarray, q: float | np.ndarray, window: int, state:
 
 
 def kalman(df: DataFrame, value: str, keys: list[str], order: list[str], q: float | None = None, window: int = 50, look_ahead: bool = False) -> DataFrame:
-    """Adds ``filtered``. q None: a tenth of the population variance so far; ``look_ahead`` takes that of the whole series."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable", ignore_index=True)
-        v = part[value].to_numpy(float)
-        if q is not None:
-            noise = np.full(len(v), q)
-        elif look_ahead:
-            noise = np.full(len(v), max(0.1 * v.var(), 1e-12))
-        else:
-            noise = np.maximum(0.1 * pd.Series(v).expanding().var(ddof=0).to_numpy(), 1e-12)
-        return part.assign(filtered=kalman_steps(v, noise, window)[0])
+    """Adds ``filtered``. q None: a tenth of the population variance so far; ``look_ahead`` takes that of the whole series.
+
+    The noise comes from the last innovations, which are no map that composes: a key is one task, batch by batch.
+    """
+    if q is not None:
+        noise = F.lit(float(q))
+    else:
+        noise = F.greatest(0.1 * F.var_pop(value).over(frame(keys, order, None, None if look_ahead else 0)), F.lit(1e-12))
+    got = carried(
+        df.withColumn("ka_noise", noise), keys, order, [value, "ka_noise"], "filtered",
+        lambda x, state: kalman_steps(x[value].astype(float), x["ka_noise"], window, state),
+    )
+    return got.drop("ka_noise")
 
-    return df.groupBy(*keys).applyInPandas(fold, added(df, filtered=T.DoubleType()))
+
+def kalman_known(df: DataFrame, value: str, q: str, r: str, keys: list[str], order: list[str], block: Column) -> DataFrame:
+    """Adds ``filtered`` and ``gain`` of a random-walk filter whose step and noise variances are columns; many tasks a key.
+
+    Its variance composes as fractional linear maps and, the gains being known, its value as affine ones. Rows without a
+    value are no observation: they keep what was filtered.
+    """
+    seen = df.withColumn("ka_q", F.when(F.col(value).isNotNull(), F.col(q).cast("double")))
+    gained = scan(seen, Spread("ka_q", r), keys, order, block)
+    return scan(gained, Gained(value, "gain", "filtered"), keys, order, block).drop("ka_q")
 
 
 #: (enter, leave) where the gate says calm and where it says trend; between, they are mixed by the gate. Fixed values.
@@ -74,15 +81,45 @@ def hysteresis_steps(
     return out, position
 
 
+class Hysteresis(Fold):
+    """hysteresis_steps as a scan: from flat, long or short a block ends at a size of its own, or still holds what it began with."""
+
+    gives, state, table = "position double", "position double", "flat double, long double, short double, long_holds boolean, short_holds boolean"
+
+    def __init__(self, score: str, enter: float, leave: float, most: float, gate: str | None):
+        self.score, self.bounds, self.gate = score, (enter, leave, most), gate
+        self.takes = [score, gate] if gate else [score]
+
+    def steps(self, x: Arrays, position: float) -> tuple[np.ndarray, float]:
+        return hysteresis_steps(x[self.score].astype(float), *self.bounds, position, x[self.gate].astype(float) if self.gate else None)
+
+    def start(self) -> tuple:
+        return (0.0,)
+
+    def block(self, x: Arrays) -> Arrays:
+        # a size that no score gives shows whether it was held throughout
+        odd = 2 * self.bounds[2] + 1
+        ends = [self.steps(x, p)[1] for p in (0.0, odd, -odd)]
+        got = dict(zip(("flat", "long", "short"), ends, strict=True)) | {"long_holds": ends[1] == odd, "short_holds": ends[2] == -odd}
+        return {c: np.array([v]) for c, v in got.items()}
+
+    def carry(self, state: tuple, table: Arrays) -> tuple:
+        way = "flat" if not state[0] else "long" if state[0] > 0 else "short"
+        return state if way != "flat" and table[f"{way}_holds"][0] else (float(table[way][0]),)
+
+    def rows(self, state: tuple, x: Arrays, total: int | None) -> list[pa.Array]:
+        return [pa.array(self.steps(x, state[0])[0])]
+
+
 def positions(
-    df: DataFrame, score: str, keys: list[str], order: list[str], enter: float = 2.0, leave: float = 0.5, most: float = 1.0, gate: str | None = None
+    df: DataFrame, score: str, keys: list[str], order: list[str], enter: float = 2.0, leave: float = 0.5, most: float = 1.0, gate: str | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable", ignore_index=True)
-        by = part[gate].to_numpy(float) if gate else None
-        return part.assign(position=hysteresis_steps(part[score].to_numpy(float), enter, leave, most, gate=by)[0])
-
-    return df.groupBy(*keys).applyInPandas(fold, added(df, position=T.DoubleType()))
+    """Adds ``position`` by hysteresis_steps. With ``block``, which never falls along the order, a key is many tasks."""
+    fold = Hysteresis(score, enter, leave, most, gate)
+    if block is not None:
+        return scan(df, fold, keys, order, block)
+    return carried(df, keys, order, fold.takes, "position", lambda x, state: fold.steps(x, state or 0.0))
 
 
 def regime_steps(score: np.ndarray, direction: np.ndarray, enter: float, leave: float, last: float = 0.0, held: bool = False) -> tuple[np.ndarray, float, bool]:
@@ -99,15 +136,49 @@ def regime_steps(score: np.ndarray, direction: np.ndarray, enter: float, leave:
     return out, last, held
 
 
-def regime_positions(df: DataFrame, score: str, direction: str, keys: list[str], order: list[str], enter: float = -0.5, leave: float = 0.5) -> DataFrame:
-    """Adds ``position`` by regime_steps; a missing score counts as 0."""
+class Regime(Fold):
+    """regime_steps as a scan: from outside or inside, a block ends in a state of its own, or keeps the direction it began with."""
+
+    gives, state, table = "position double", "last double, held boolean", "out double, out_held boolean, inside double, inside_held boolean, keeps boolean"
+
+    def __init__(self, score: str, direction: str, enter: float, leave: float):
+        self.takes, self.bounds = [score, direction], (enter, leave)
+
+    def steps(self, x: Arrays, last: float, held: bool) -> tuple[np.ndarray, float, bool]:
+        return regime_steps(*(np.nan_to_num(x[c].astype(float)) for c in self.takes), *self.bounds, last, held)
+
+    def start(self) -> tuple:
+        return (0.0, False)
+
+    def block(self, x: Arrays) -> Arrays:
+        (_, out, out_held), (_, inside, inside_held) = self.steps(x, 0.0, False), self.steps(x, np.inf, True)
+        keeps = bool(inside_held) and np.isinf(inside)
+        got = {"out": out, "out_held": out_held, "inside": 0.0 if keeps else inside, "inside_held": inside_held, "keeps": keeps}
+        return {c: np.array([v]) for c, v in got.items()}
+
+    def carry(self, state: tuple, table: Arrays) -> tuple:
+        if state[1] and table["keeps"][0]:
+            return state
+        way = "inside" if state[1] else "out"
+        return float(table[way][0]), bool(table[f"{way}_held"][0])
+
+    def rows(self, state: tuple, x: Arrays, total: int | None) -> list[pa.Array]:
+        return [pa.array(self.steps(x, *state)[0])]
+
+
+def regime_positions(
+    df: DataFrame, score: str, direction: str, keys: list[str], order: list[str], enter: float = -0.5, leave: float = 0.5, block: Column | None = None
+) -> DataFrame:
+    """Adds ``position`` by regime_steps; a missing score counts as 0. With ``block`` a key is many tasks."""
+    fold = Regime(score, direction, enter, leave)
+    if block is not None:
+        return scan(df, fold, keys, order, block)
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable", ignore_index=True)
-        s, d = (part[c].fillna(0.0).to_numpy(float) for c in (score, direction))
-        return part.assign(position=regime_steps(s, d, enter, leave)[0])
+    def step(x: Arrays, state: tuple | None) -> tuple[np.ndarray, tuple]:
+        out, *after = fold.steps(x, *(state or fold.start()))
+        return out, tuple(after)
 
-    return df.groupBy(*keys).applyInPandas(fold, added(df, position=T.DoubleType()))
+    return carried(df, keys, order, fold.takes, "position", step)
 
 
 def flat_at_first(position: str, keys: list[str], day: str, days: int) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.functions.columns import frame, ordered, snap
+from causeway.functions.columns import frame, month_number, ordered, snap
 from causeway.operators import asof, bars, contracts, learning, portfolio
 from causeway.plans.market import BAR_C, DAY, RESET_BARS, RETURNS, returns, rows, snapped
 from causeway.plans.registry import register
@@ -138,7 +138,7 @@ def portfolio_rollup(spark: SparkSession, sf: str) -> DataFrame:
 select symbol, bar_id, {s('1 - 0.5 * (x - min(x) over w) / (max(x) over w - min(x) over w + 1e-12)')} as gate from v window w as (partition by symbol order by bar_id rows unbounded preceding)""")
 def size_gate(spark: SparkSession, sf: str) -> DataFrame:
     """Smaller positions as order flow gets one-sided, by the range so far."""
-    b = bars.reset_bars(views.tape(spark, sf), BAR_C).withColumn("x", F.abs(F.col("buy_volume") - F.col("sell_volume")) / F.col("volume"))
+    b = bars.reset_bars(views.tape(spark, sf), BAR_C, month_number("ts")).withColumn("x", F.abs(F.col("buy_volume") - F.col("sell_volume")) / F.col("volume"))
     f = frame(KEYS, ["bar_id"], None, 0)
     return snapped(b, "symbol", "bar_id", gate=1 - 0.5 * (F.col("x") - F.min("x").over(f)) / (F.max("x").over(f) - F.min("x").over(f) + 1e-12))
 

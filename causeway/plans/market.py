@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.functions.columns import epoch_seconds, frame, ordered, signed, snap, third_friday
+from causeway.functions.columns import epoch_seconds, frame, month_number, ordered, signed, snap, third_friday
 from causeway.operators import asof, bars, rolling
 from causeway.plans.registry import register
 from causeway.sources import views
@@ -53,7 +53,7 @@ select symbol, bar_id, open_seq, close_seq, n_trades, value_c, {s('open')} as op
   {s('bar_return')} as bar_return from bar""")
 def bars_reset(spark: SparkSession, sf: str) -> DataFrame:
     names = "open high low close volume vwap intra_vol buy_volume sell_volume bar_return".split()
-    return snapped(bars.reset_bars(views.tape(spark, sf), BAR_C), "symbol", "bar_id", "open_seq", "close_seq", "n_trades", "value_c", **{n: n for n in names})
+    return snapped(bars.reset_bars(views.tape(spark, sf), BAR_C, month_number("ts")), "symbol", "bar_id", "open_seq", "close_seq", "n_trades", "value_c", **{n: n for n in names})
 
 
 DEDUPLICATED = RESET_BARS.replace(views.SQL["tape"], f"select * from ({views.SQL['tape']}) qualify row_number() over (partition by symbol, ts order by seq) = 1")
@@ -63,7 +63,7 @@ DEDUPLICATED = RESET_BARS.replace(views.SQL["tape"], f"select * from ({views.SQL
 def bars_deduplicated(spark: SparkSession, sf: str) -> DataFrame:
     """Reset bars over the first print of each time."""
     t = bars.one_print_per_time(views.tape(spark, sf))
-    return snapped(bars.reset_bars(t, BAR_C), "symbol", "bar_id", "open_seq", "close_seq", "n_trades", "value_c", close="close")
+    return snapped(bars.reset_bars(t, BAR_C, month_number("ts")), "symbol", "bar_id", "open_seq", "close_seq", "n_trades", "value_c", close="close")
 
 
 @register("bars_count", with_views("tape") + f""",
@@ -221,7 +221,7 @@ v as (select *, case when row_number() over (partition by symbol order by bar_id
 select symbol, bar_id, {s('vpin')} as vpin, {s('coalesce(vpin - lag(vpin) over (partition by symbol order by bar_id), 0.0::double)')} as d_vpin,
   {s('volume / (avg(volume) over (partition by symbol order by bar_id rows unbounded preceding) + 1e-8)')} as rel_volume from v""")
 def vpin(spark: SparkSession, sf: str) -> DataFrame:
-    got = rolling.vpin(bars.reset_bars(views.tape(spark, sf), BAR_C), KEYS, ["bar_id"])
+    got = rolling.vpin(bars.reset_bars(views.tape(spark, sf), BAR_C, month_number("ts")), KEYS, ["bar_id"])
     return snapped(got, "symbol", "bar_id", vpin="vpin", d_vpin="d_vpin", rel_volume="rel_volume")
 
 
@@ -239,13 +239,13 @@ bvc as (select *, {cdf_sql('z')} as p_buy, abs(2 * ({cdf_sql('z')}) - 1) * volum
 
 @register("bulk_volume", BVC + f" select symbol, bar_id, {s('p_buy')} as p_buy, {s('imbalance', 4)} as imbalance from bvc")
 def bulk_volume(spark: SparkSession, sf: str) -> DataFrame:
-    got = rolling.bulk_volume(bars.reset_bars(views.tape(spark, sf), BAR_C), KEYS, ["bar_id"])
+    got = rolling.bulk_volume(bars.reset_bars(views.tape(spark, sf), BAR_C, month_number("ts")), KEYS, ["bar_id"])
     return got.select("symbol", "bar_id", snap(F.col("p_buy")).alias("p_buy"), snap(F.col("imbalance"), 4).alias("imbalance"))
 
 
 @register("vpin_full", BVC + f""" select symbol, bar_id, {s(f"case when count(*) over {bar_rows(-49, 0)} = 50 then greatest(0.0::double, least(1.0::double, sum(imbalance) over {bar_rows(-49, 0)} / (50 * avg(volume) over {bar_rows(-49, 0)}))) end")} as vpin from bvc""")
 def vpin_full(spark: SparkSession, sf: str) -> DataFrame:
-    bvc = rolling.bulk_volume(bars.reset_bars(views.tape(spark, sf), BAR_C), KEYS, ["bar_id"])
+    bvc = rolling.bulk_volume(bars.reset_bars(views.tape(spark, sf), BAR_C, month_number("ts")), KEYS, ["bar_id"])
     return snapped(rolling.full_vpin(bvc, KEYS, ["bar_id"]), "symbol", "bar_id", vpin="vpin")
 
 

@@ -346,4 +346,4 @@ def kalman_positions(spark: SparkSession, sf: str) -> DataFrame:
     """Filtered returns, their score, and positions with hysteresis: two ordered folds by symbol and a window between."""
     r = returns(spark, sf).withColumn("x", F.coalesce("ret", F.lit(0.0))).select("symbol", "day", "close", "x")
     f = signals.kalman(r, "x", KEYS, DAY).withColumn("score", signals.score_of("filtered", KEYS, DAY, 100))
-    return signals.positions(f, "score", KEYS, DAY)
+    return signals.positions(f, "score", KEYS, DAY, block=F.year("day"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from causeway.functions.columns import frame, ordered, signed, snap
+from causeway.functions.columns import frame, month_number, ordered, signed, snap
 from causeway.operators import bars, rolling, signals
 from causeway.plans.market import BAR_C, DAY, RESET, RESET_BARS, RETURNS, returns, rows, snapped
 from causeway.plans.registry import register
@@ -31,7 +31,7 @@ def hysteresis_positions(spark: SparkSession, sf: str) -> DataFrame:
     r = returns(spark, sf)
     trend = F.coalesce(F.sum("ret").over(frame(KEYS, DAY, -19, 0)), F.lit(0.0))
     z = r.select("symbol", "day", snap(signals.score_of("ret", KEYS, DAY, 20)).alias("score"), snap(1 / (1 + F.exp(-5 * trend))).alias("gate"))
-    p = signals.positions(z, "score", KEYS, DAY, gate="gate").withColumn("position", snap(F.col("position")))
+    p = signals.positions(z, "score", KEYS, DAY, gate="gate", block=F.year("day")).withColumn("position", snap(F.col("position")))
     return p.select("symbol", "day", "score", "position", signals.flat_at_first("position", KEYS, "day", WARM_UP).alias("traded"))
 
 
@@ -56,7 +56,7 @@ def regime_positions(spark: SparkSession, sf: str) -> DataFrame:
     scale = F.coalesce(F.least(F.lit(2.0), F.greatest(F.lit(0.25), mid / (F.col("vol") + 1e-8))), F.lit(1.0))
     v = v.withColumn("score", F.coalesce(snap(signals.score_of("vol", KEYS, DAY, 100)), F.lit(0.0)))
     v = v.withColumn("scale", F.when(F.col("vol").isNull(), 1.0).otherwise(scale))
-    p = signals.regime_positions(v, "score", "dir", KEYS, DAY).withColumn("at_size", snap(F.col("position") * F.col("scale")))
+    p = signals.regime_positions(v, "score", "dir", KEYS, DAY, block=F.year("day")).withColumn("at_size", snap(F.col("position") * F.col("scale")))
     return p.select("symbol", "day", "score", "position", signals.flat_at_first("at_size", KEYS, "day", WARM_UP).alias("sized"))
 
 
@@ -66,7 +66,7 @@ select symbol, day, position, n_bars from d""")
 def end_of_day_positions(spark: SparkSession, sf: str) -> DataFrame:
     """The position of each day's last bar."""
     t = views.tape(spark, sf)
-    b = bars.reset_bars(t, BAR_C).select("symbol", "bar_id", F.col("close_seq").alias("seq"), F.signum("bar_return").alias("pos"))
+    b = bars.reset_bars(t, BAR_C, month_number("ts")).select("symbol", "bar_id", F.col("close_seq").alias("seq"), F.signum("bar_return").alias("pos"))
     j = b.join(t.select("symbol", "seq", "day"), ["symbol", "seq"])
     return j.groupBy("symbol", "day").agg(F.max_by("pos", "bar_id").alias("position"), F.count("*").alias("n_bars"))
 
@@ -78,7 +78,7 @@ BAR_ROWS = "(partition by symbol order by bar_id rows between 19 preceding and c
   {s('coalesce(close - lag(close) over (partition by symbol order by bar_id), 0.0::double)')} as d_close from bar""")
 def relative_volume(spark: SparkSession, sf: str) -> DataFrame:
     """A bar's volume over the mean of the last 20 bars, and the change of its close."""
-    b = bars.reset_bars(views.tape(spark, sf), BAR_C)
+    b = bars.reset_bars(views.tape(spark, sf), BAR_C, month_number("ts"))
     mean = F.avg("volume").over(frame(KEYS, ["bar_id"], -19, 0))
     change = F.coalesce(F.col("close") - F.lag("close").over(ordered(KEYS, ["bar_id"])), F.lit(0.0))
     return snapped(b, "symbol", "bar_id", relative_volume=F.col("volume") / (mean + 1e-8), d_close=change)
@@ -91,7 +91,7 @@ from tape t join ends e on t.symbol = e.symbol and t.seq between e.open_seq and
 def bars_by_absolute_size(spark: SparkSession, sf: str) -> DataFrame:
     """Reset bars of a tape whose sizes carry the side as their sign: value counts by absolute size, and the flow is summed."""
     t = views.tape(spark, sf).withColumn("size", signed(F.col("side"), F.col("size")))
-    b = bars.reset_bar_ids(t.withColumn("notional_c", F.abs("notional_c")), BAR_C).where("bar_id is not null")
+    b = bars.reset_bar_ids(t.withColumn("notional_c", F.abs("notional_c")), BAR_C, month_number("ts")).where("bar_id is not null")
     return b.groupBy("symbol", "bar_id").agg(F.count("*").alias("n_trades"), F.sum("notional_c").alias("value_c"), F.sum("size").alias("flow"))
 
 
