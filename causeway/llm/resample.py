@@ -178,7 +178,9 @@ def dictionary(docs: DataFrame, most_words: int) -> list[bytes]:
         yield send()
 
     words = docs.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(most_words).collect()]
+    # a top-k would send each part's candidates to the driver; ranks send the chosen ones only
+    first = numbered(words, [F.desc("n"), F.col("word")], "rank").where(F.col("rank") <= most_words)
+    return [bytes(r.word) for r in sorted(first.collect(), key=lambda r: r["rank"])]
 
 
 def bucket_counts(docs: DataFrame, words, buckets: int, longest: int) -> DataFrame:
