@@ -100,16 +100,16 @@ def ridge(gram: np.ndarray, moment: np.ndarray, penalty: float) -> np.ndarray:
     return np.linalg.solve(gram + penalty * np.eye(len(moment)), moment)
 
 
-def elastic_net(gram: np.ndarray, moment: np.ndarray, n: int, alpha: float, l1: float, positive: bool = True, rounds: int = 500) -> np.ndarray:
+def elastic_net(gram: np.ndarray, moment: np.ndarray, n: int, alpha: float, l1: float, positive: bool = True, rounds: int = 500, start: np.ndarray | None = None) -> np.ndarray:
     """Coordinate descent on |y - Xw|^2 / 2n + alpha (l1 |w| + (1 - l1) |w|^2 / 2), from sums alone."""
-    w = np.zeros(len(moment))
+    w = np.zeros(len(moment)) if start is None else start.copy()
     for _ in range(rounds):
         old = w.copy()
         for j in range(len(w)):
             rho = (moment[j] - gram[j] @ w + gram[j, j] * w[j]) / n
             v = np.sign(rho) * max(abs(rho) - alpha * l1, 0) / (gram[j, j] / n + alpha * (1 - l1) + 1e-12)
             w[j] = max(v, 0) if positive else v
-        if np.abs(w - old).max() < 1e-10:
+        if np.abs(w - old).max() <= 1e-10 * max(np.abs(w).max(), 1e-300):
             break
     return w
 

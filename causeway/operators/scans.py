@@ -62,9 +62,8 @@ def names(ddl: str) -> list[str]:
     return T.StructType.fromDDL(ddl).names
 
 
-def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
-    """Rows of equal ``by``, which stand together, as one table each; nulls are equal."""
-    key, held = None, []
+def stretches(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows of equal ``by`` that stand together in a batch; nulls are equal."""
     for batch in batches:
         if not len(batch):
             continue
@@ -73,12 +72,18 @@ def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[t
             change |= np.diff(batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)) != 0
         edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)]
         for lo, hi in zip(edges, edges[1:]):
-            own = tuple(batch.column(c)[lo].as_py() for c in by)
-            if held and own != key:
-                yield key, pa.Table.from_batches(held)
-                held = []
-            key = own
-            held.append(batch.slice(lo, hi - lo))
+            yield tuple(batch.column(c)[lo].as_py() for c in by), batch.slice(lo, hi - lo)
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Rows of equal ``by``, which stand together, as one table each; nulls are equal."""
+    key, held = None, []
+    for own, part in stretches(batches, by):
+        if held and own != key:
+            yield key, pa.Table.from_batches(held)
+            held = []
+        key = own
+        held.append(part)
     if held:
         yield key, pa.Table.from_batches(held)
 
@@ -162,20 +167,11 @@ def carried(df: DataFrame, keys: list[str], order: list[str], takes: list[str],
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = object(), None
-        for batch in batches:
-            if not len(batch):
-                continue
-            change = np.zeros(len(batch) - 1, bool)
-            for k in keys:
-                change |= np.diff(batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)) != 0
-            edges, got = [0, *(np.flatnonzero(change) + 1).tolist(), len(batch)], []
-            for lo, hi in zip(edges, edges[1:]):
-                own = tuple(batch.column(k)[lo].as_py() for k in keys)
-                state = state if own == key else None
-                key = own
-                values, state = step({c: batch.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in takes}, state)
-                got.append(values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got), pa.float64())], names=[*names, out])
+        for own, part in stretches(batches, keys):
+            state = state if own == key else None
+            key = own
+            values, state = step({c: part.column(c).to_numpy(zero_copy_only=False) for c in takes}, state)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(values, pa.float64())], names=[*names, out])
 
     ranged = df.repartition(*keys).sortWithinPartitions(*keys, *order)
     return ranged.mapInArrow(fold, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.columns import frame, ordered, snap
+from causeway.functions.tables import shared_folder
 from causeway.operators import bars, learning, rolling, signals, validation
 from causeway.plans.market import BAR_C, DAY, RETURNS, U, returns, rows, snapped
 from causeway.plans.registry import register
@@ -155,8 +155,8 @@ def falsification_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shared(spark: SparkSession) -> str:
-    """The folder that all nodes share; a local one only where the session names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+    """A folder of a stream's own in the one that all nodes share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
