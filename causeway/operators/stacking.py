@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from causeway.operators import learning
+from causeway.operators import learning, staged
 
 
 def unpack(sums: pd.DataFrame, size: int) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
@@ -123,6 +123,39 @@ def anderson_darling(a: DataFrame, b: DataFrame, value: str, keys: list[str]) ->
     return r.groupBy(*keys, "n", "n1").agg((F.sum(term) / (F.col("n1") * (F.col("n") - F.col("n1")) * F.col("n"))).alias("a2")).select(*keys, "n", "n1", "a2")
 
 
+def momentum_columns(df: DataFrame, price: str, keys: list[str], order: list[str], block: Column, slow: int = 60, fast: int = 20) -> DataFrame:
+    """Adds ret, tsmom (the ``slow`` returns before), scaled (over their deviation of ``fast``) and ema_fast, ema_slow, cross of returns.
+
+    Rows that have not yet ``slow`` returns before them have no tsmom.
+    """
+    from causeway.functions.columns import frame, ordered
+    from causeway.operators.rolling import ema
+
+    out = df.withColumn("ret", F.log(F.col(price) / F.lag(price).over(ordered(keys, order))))
+    before = frame(keys, order, -slow, -1)
+    out = out.withColumn("tsmom", F.when(F.count("ret").over(before) == slow, F.sum("ret").over(before)))
+    out = out.withColumn("scaled", F.col("tsmom") / (F.stddev_pop("ret").over(frame(keys, order, -fast, -1)) + 1e-8))
+    out = ema(ema(out, "ret", keys, order, fast, "ema_fast", block), "ret", keys, order, slow, "ema_slow", block)
+    return out.withColumn("cross", F.col("ema_fast") / (F.col("ema_slow") + 1e-8) - 1)
+
+
+def fitted_gate(df: DataFrame, price: str, keys: list[str], order: list[str], block: Column, splits: staged.Splits, features: int = 256, penalty: float = 1e-3) -> DataFrame:
+    """Gate in (0, 1): a logistic of ridge on Fourier features of three momentum columns, fitted on earlier rows alone.
+
+    The target is the next return. Columns are taken against their own past, so that the past alone sets their scale.
+    """
+    from causeway.functions.columns import ordered
+    from causeway.operators.rolling import causal_z
+
+    m = momentum_columns(df, price, keys, order, block).where("tsmom is not null")
+    m = m.withColumn("target", F.lead("ret").over(ordered(keys, order)))
+    names = ("tsmom", "scaled", "cross")
+    m = m.withColumns({f"z_{c}": causal_z(c, keys, order) for c in names})
+    kernel = staged.Kernel.fourier("gate", tuple(f"z_{c}" for c in names), features, seed=42)
+    pred, _ = staged.stage_one(m, [kernel], "target", keys, order, splits, penalty)
+    return pred.withColumn("gate", 1 / (1 + F.exp(-F.col("pred_gate"))))
+
+
 def momentum_gate(df: DataFrame, price: str, keys: list[str], order: list[str], slow: int = 60, fast: int = 20) -> DataFrame:
     """Gate in (0, 1): a logistic of the causal z of momentum; the past alone sets its scale."""
     from causeway.functions.columns import frame, ordered

@@ -222,6 +222,16 @@ def stage_one(
     return pred, models.select(*keys, F.col("st_split").alias("split"), called.alias("kernel"), "n_train", "norm", "train_loss")
 
 
+def walk_forward_ridge(
+    df: DataFrame, columns: list[str], target: str, keys: list[str], order: list[str], penalty: float = 1.0, splits: Splits = Splits(), features: int = 64,
+    half_life: float = math.inf,
+) -> DataFrame:
+    """Out-of-sample predictions (``split``, ``pred``) of weighted ridge on Fourier features, by key; weights have a mean of 1."""
+    kernel = Kernel.fourier("all", tuple(columns), features)
+    pred, _ = stage_one(df, [kernel], target, keys, order, splits, penalty, half_life, mean_one=True)
+    return pred.withColumnRenamed("pred_all", "pred").drop("nth")
+
+
 # --- second stage: kernels' predictions combined -------------------------------------------------------------------------
 
 #: Fixed values of the combiners: expanding parts, inner folds, the ridge's grid, the elastic net's shares, Huber's bounds.

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.columns import frame, ordered, snap
-from causeway.functions.tables import shared_folder
-from causeway.operators import bars, learning, rolling, signals, validation
+from causeway.functions.tables import shared_folder, written
+from causeway.operators import bars, learning, nested, rolling, signals, stacking, staged, validation
 from causeway.plans.market import BAR_C, DAY, RETURNS, U, returns, rows, snapped
 from causeway.plans.registry import register
 from causeway.sources import views
@@ -114,7 +114,87 @@ def tensor_sketch(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("walk_forward_ridge")
 def walk_forward_ridge(spark: SparkSession, sf: str) -> DataFrame:
-    return learning.walk_forward_ridge(features(spark, sf), FEATURES, "y", DAY, KEYS, half_life=500.0).select("symbol", "day", "split", "y", "pred")
+    """Ridge on Fourier features, of weights that halve every 500 days and have a mean of 1, by symbol in five splits."""
+    return staged.walk_forward_ridge(features(spark, sf), FEATURES, "y", KEYS, DAY, half_life=500.0).select("symbol", "day", "split", "y", "pred")
+
+
+#: The kernels of the first stage, each of its own columns.
+KERNELS = [
+    staged.Kernel.fourier("trend", ("z", "mom5"), 32), staged.Kernel.fourier("risk", ("vol",), 16, nu=0.5, seed=1),
+    staged.Kernel.fourier("all", tuple(FEATURES), 48, nu=2.5, seed=2),
+]
+PREDICTED = [f"pred_{k.name}" for k in KERNELS]
+
+
+def first_stage(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return staged.stage_one(features(spark, sf), KERNELS, "y", KEYS, DAY, penalty=1e-3, half_life=500.0)
+
+
+@register("stage_one")
+def stage_one(spark: SparkSession, sf: str) -> DataFrame:
+    """Every kernel's out-of-sample prediction of each test day, each fitted by itself."""
+    return first_stage(spark, sf)[0].select("symbol", "day", "split", "nth", "y", *PREDICTED)
+
+
+@register("stage_one_folds")
+def stage_one_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """By symbol, split and kernel: training rows, length of the weights, training loss, and correlation on the test."""
+    pred, folds_ = first_stage(spark, sf)
+    each = F.explode(F.array(*(F.struct(F.lit(k.name).alias("kernel"), F.col(c).alias("pred")) for k, c in zip(KERNELS, PREDICTED)))).alias("e")
+    corr = pred.select("symbol", "split", "y", each).groupBy("symbol", "split", "e.kernel").agg(F.corr("e.pred", "y").alias("test_corr"), F.count("*").alias("n_test"))
+    return folds_.join(corr, ["symbol", "split", "kernel"])
+
+
+@register("stage_two")
+def stage_two(spark: SparkSession, sf: str) -> DataFrame:
+    """Three combiners over the kernels' predictions, in five expanding parts of the test days, beside fixed weights."""
+    first = written(first_stage(spark, sf)[0].select("symbol", "day", "nth", "y", *PREDICTED), "first-stage")
+    out = staged.fixed_weights(first, PREDICTED, [0.5, 0.25, 0.25]).withColumnRenamed("combined", "fixed")
+    for how in ("elastic", "ridge", "huber"):
+        got = staged.combined(first, PREDICTED, "y", KEYS, how)[0].select("symbol", "day", "part", F.col("combined").alias(how))
+        out = out.join(got.drop("part") if how != "elastic" else got, ["symbol", "day"])
+    return out.select("symbol", "day", "part", "y", "fixed", "elastic", "ridge", "huber")
+
+
+@register("combiner_weights")
+def combiner_weights(spark: SparkSession, sf: str) -> DataFrame:
+    """The weights that each combiner has given the kernels in each part, and the settings that its inner folds chose."""
+    first = written(first_stage(spark, sf)[0].select("symbol", "day", "nth", "y", *PREDICTED), "first-stage")
+    out = None
+    for how in ("elastic", "ridge", "huber"):
+        w = staged.combined(first, PREDICTED, "y", KEYS, how)[1]
+        w = w.select("symbol", F.lit(how).alias("combiner"), F.col("s2_part").alias("part"), "intercept", *(F.col("coef")[i].alias(k.name) for i, k in enumerate(KERNELS)), "alpha", "l1")
+        out = w if out is None else out.union(w)
+    return out
+
+
+@register("nested_validation")
+def nested_validation(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-sample predictions whose length scale and penalty inner folds chose in each split, and these choices."""
+    pred, chosen = nested.nested_cv(features(spark, sf), FEATURES, "y", KEYS, DAY, half_life=500.0)
+    return pred.join(chosen, ["symbol", "split"]).select("symbol", "day", "split", "y", "pred", "length", "penalty", "score", "n_train")
+
+
+MOMENTUM = with_views("daily").replace("with ", "with recursive ", 1) + """,
+r as materialized (select symbol, day, ln(close / lag(close) over (partition by symbol order by day)) as ret, row_number() over (partition by symbol order by day) as n from daily),
+e as (select symbol, n, ret as fast, ret as slow from r where n = 2 union all
+  select r.symbol, r.n, e.fast + 2.0::double / 21 * (r.ret - e.fast), e.slow + 2.0::double / 61 * (r.ret - e.slow) from e join r on r.symbol = e.symbol and r.n = e.n + 1),
+m as (select r.symbol, day, r.n, case when count(ret) over (partition by r.symbol order by day rows between 60 preceding and 1 preceding) = 60 then sum(ret) over (partition by r.symbol order by day rows between 60 preceding and 1 preceding) end as tsmom,
+  stddev_pop(ret) over (partition by r.symbol order by day rows between 20 preceding and 1 preceding) as sd, fast, slow from r left join e on r.symbol = e.symbol and r.n = e.n)"""
+
+
+@register("momentum_columns", MOMENTUM + f""" select symbol, day, {s('tsmom')} as tsmom, {s('tsmom / (sd + 1e-8)', 3)} as scaled, {s('fast', 8)} as ema_fast, {s('slow', 8)} as ema_slow from m where tsmom is not null""")
+def momentum_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Momentum of 60 days, over its deviation of 20, and the two exponential means of returns."""
+    m = stacking.momentum_columns(views.daily(spark, sf), "close", KEYS, DAY, F.year("day")).where("tsmom is not null")
+    return m.select("symbol", "day", snap(F.col("tsmom")).alias("tsmom"), snap(F.col("scaled"), 3).alias("scaled"), snap(F.col("ema_fast"), 8).alias("ema_fast"), snap(F.col("ema_slow"), 8).alias("ema_slow"))
+
+
+@register("fitted_momentum_gate")
+def fitted_momentum_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """The gate as a fitted model of momentum, by symbol in five splits."""
+    got = stacking.fitted_gate(views.daily(spark, sf), "close", KEYS, DAY, F.year("day"), staged.Splits())
+    return got.select("symbol", "day", "split", "target", "gate")
 
 
 @register("expanding_pca")

@@ -6,8 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from causeway.operators import staged
+from causeway.operators import nested, stacking, staged
 from causeway.operators.learning import elastic_net
+from causeway.plans import learning as plans, registry
+from causeway.sources import views
 
 KEYS, ORDER = ["symbol"], ["t"]
 KERNELS = [staged.Kernel.fourier("one", ("a", "b"), 16), staged.Kernel.fourier("two", ("c",), 8, nu=0.5, seed=1)]
@@ -206,3 +208,128 @@ def test_parts_do_not_look_ahead(predictions):
     got = {r.nth: r.combined for r in staged.combined(changed, COLUMNS, "y", KEYS, "ridge")[0].collect()}
     assert all(got[t] == pytest.approx(whole[t]) for t in range(205 + 66, 205 + 330))
     assert any(abs(got[t] - whole[t]) > 1 for t in range(205 + 330, 205 + 396))
+
+
+@pytest.mark.parametrize("half_life", [math.inf, 60.0])
+def test_nested_validation(df, data, half_life):
+    """Scaler, inner folds, choice and prediction of each split, refitted from rows."""
+    lengths, penalties = (0.5, 2.0), (1e-2, 1.0)
+    pred, chosen = nested.nested_cv(df, ["a", "b", "c"], "y", KEYS, ORDER, lengths, penalties, features=12, splits=SPLITS, embargo=7, half_life=half_life)
+    got = {(r.symbol, r.t): r.pred for r in pred.collect()}
+    best = {(r.symbol, r.split): r for r in chosen.collect()}
+    count = 0
+    for k, (x, y) in data.items():
+        x, y = x.copy(), y.copy()
+        if k == "A":
+            x[450, 0], x[460, 0], y[7] = np.nan, np.nan, np.nan
+        ok = np.isfinite(x).all(1) & np.isfinite(y)
+        for split, (end, lo, hi) in enumerate(SPLITS.starts(len(y))):
+            at = np.flatnonzero(ok[:end])
+            mean, sd = x[at].mean(0), x[at].std(0)
+            z = (x - mean) / sd
+            w = np.ones(end) if math.isinf(half_life) else 0.5 ** ((end - 1 - np.arange(end)) / half_life)
+
+            def fit(rows, phi, penalty):
+                v = w[rows] / w[rows].sum() * len(rows)
+                p = phi[rows]
+                return np.linalg.solve(p.T @ (p * v[:, None]) + penalty * np.eye(12), p.T @ (v * y[rows]))
+
+            top = None
+            for length in lengths:
+                phi = staged.FourierMap(3, 12, 1.5, length)(z)
+                for penalty in penalties:
+                    scores = []
+                    for a, b, c, d in nested.inner_folds(end, 3, 7):
+                        coef = fit(at[(at < c) | (at >= d)], phi, penalty)
+                        test = at[(at >= a) & (at < b)]
+                        scores.append(-np.mean((y[test] - phi[test] @ coef) ** 2))
+                    if top is None or np.mean(scores) > top[0]:
+                        top = np.mean(scores), length, penalty, fit(at, phi, penalty), phi
+            r = best[k, split]
+            assert (r.length, r.penalty, r.n_train) == (*top[1:3], len(at)) and r.score == pytest.approx(top[0], rel=1e-6)
+            for t in range(lo, hi):
+                want = top[4][t] @ top[3] if np.isfinite(x[t]).all() else None
+                assert got[k, t] == (None if want is None else pytest.approx(want, abs=1e-7))
+                count += 1
+    assert count == len(got)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def days(spark):
+    """The features of the learning queries, by symbol in order."""
+    out = {}
+    for r in plans.features(spark, SF).orderBy("symbol", "day").collect():
+        out.setdefault(r.symbol, []).append(r)
+    return out
+
+
+def refitted(rows, kernel, penalty, half_life, mean_one, splits=staged.Splits()):
+    x, y = (np.array([[r[c] for c in names] for r in rows], float) for names in (kernel.columns, ("y",)))
+    phi, y, out = kernel.map(x), y[:, 0], {}
+    for end, lo, hi in splits.starts(len(y)):
+        w = 0.5 ** ((end - 1 - np.arange(end)) / half_life)
+        w = w / w.mean() if mean_one else w
+        coef = np.linalg.solve(phi[:end].T @ (phi[:end] * w[:, None]) + penalty * np.eye(phi.shape[1]), phi[:end].T @ (w * y[:end]))
+        out |= {rows[t].day: phi[t] @ coef for t in range(lo, hi)}
+    return out
+
+
+def test_walk_forward_query(spark, days):
+    got = {(r.symbol, r.day): r.pred for r in registry.queries()["walk_forward_ridge"](spark, SF).collect()}
+    want = {(k, d): p for k, rows in days.items() for d, p in refitted(rows, staged.Kernel.fourier("all", tuple(plans.FEATURES), 64), 1.0, 500.0, True).items()}
+    assert got.keys() == want.keys() and len(got) > 1000
+    assert all(got[k] == pytest.approx(want[k], abs=1e-8) for k in got)
+
+
+def test_stage_queries(spark, days):
+    got = {(r.symbol, r.day): r for r in registry.queries()["stage_one"](spark, SF).collect()}
+    for kernel in plans.KERNELS:
+        want = {(k, d): p for k, rows in days.items() for d, p in refitted(rows, kernel, 1e-3, 500.0, False).items()}
+        assert got.keys() == want.keys()
+        assert all(got[k][f"pred_{kernel.name}"] == pytest.approx(want[k], abs=1e-6) for k in got)
+    folds_ = registry.queries()["stage_one_folds"](spark, SF).collect()
+    assert len(folds_) == len(days) * 5 * 3
+    for r in folds_[:20]:
+        test = [x for x in got.values() if (x.symbol, x.split) == (r.symbol, r.split)]
+        assert r.test_corr == pytest.approx(np.corrcoef([x[f"pred_{r.kernel}"] for x in test], [x.y for x in test])[0, 1]) and r.n_test == len(test)
+
+
+def test_second_stage_queries(spark):
+    first = {(r.symbol, r.day): r for r in registry.queries()["stage_one"](spark, SF).collect()}
+    weights = {(r.symbol, r.combiner, r.part): r for r in registry.queries()["combiner_weights"](spark, SF).collect()}
+    got = registry.queries()["stage_two"](spark, SF).collect()
+    assert len({(r.symbol, r.day) for r in got}) == len(got) > 700
+    for r in got:
+        p = first[r.symbol, r.day]
+        assert r.fixed == pytest.approx(0.5 * p.pred_trend + 0.25 * p.pred_risk + 0.25 * p.pred_all)
+        for how in ("elastic", "ridge", "huber"):
+            w = weights[r.symbol, how, r.part]
+            assert r[how] == pytest.approx(w.intercept + w.trend * p.pred_trend + w.risk * p.pred_risk + w["all"] * p.pred_all, abs=1e-6)
+    assert all(min(w.trend, w.risk, w["all"]) >= 0 for w in weights.values() if w.combiner == "elastic")
+
+
+def test_nested_query(spark, days):
+    got = registry.queries()["nested_validation"](spark, SF).collect()
+    want = sum(hi - lo for rows in days.values() for _, lo, hi in staged.Splits().starts(len(rows)))
+    assert len(got) == want and all(r.length in (0.5, 1.0, 2.0) and r.penalty in (1e-3, 1e-1, 10.0) and r.pred is not None for r in got)
+
+
+def test_gate_is_that_of_the_past(spark):
+    """The gate of a day is a logistic of ridge on the rows before, from momentum alone."""
+    daily = views.daily(spark, SF).where("symbol = 'S3'")
+    got = {r.day: r.gate for r in stacking.fitted_gate(daily, "close", KEYS, ["day"], F.year("day"), staged.Splits(), features=32).collect()}
+    m = stacking.momentum_columns(daily, "close", KEYS, ["day"], F.year("day")).where("tsmom is not null").orderBy("day").collect()
+    x = np.array([[r.tsmom, r.scaled, r.cross] for r in m])
+    z = np.array([(x[i] - x[: i + 1].mean(0)) / (x[: i + 1].std(0) + 1e-8) if i >= 20 else np.zeros(3) for i in range(len(x))])
+    phi = staged.FourierMap(3, 32, 1.5, 1.0, 42)(z)
+    y = np.array([r.ret for r in m[1:]])
+    count = 0
+    for end, lo, hi in staged.Splits().starts(len(m)):
+        coef = np.linalg.solve(phi[:end].T @ phi[:end] + 1e-3 * np.eye(32), phi[:end].T @ y[:end])
+        for t in range(lo, hi):
+            assert got[m[t].day] == pytest.approx(1 / (1 + math.exp(-phi[t] @ coef)), abs=1e-6)
+            count += 1
+    assert count == len(got)
