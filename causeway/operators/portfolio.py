@@ -1,18 +1,15 @@
-"""Trades to portfolio figures: attribution by regime, scorecards, health, exits, weights, stress and bootstrap."""
+"""Trades to portfolio figures: attribution by regime, scorecards, health, exits, weights and stress."""
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from causeway.functions.columns import frame, ordered, snap
+from causeway.functions.columns import frame, normal_cdf, ordered, snap
 from causeway.operators.asof import as_of
 
 
@@ -113,44 +110,6 @@ def exits(trades: DataFrame, path: DataFrame, take: float, stop: float, most_row
     )
 
 
-def equity_metrics(pnl: np.ndarray, risk: float = 0.01) -> dict[str, float]:
-    """Figures of one series of profits in multiples of risk."""
-    curve = np.cumprod(1 + risk * pnl)
-    peak = np.maximum.accumulate(np.concatenate([[1.0], curve]))[1:]
-    lost = -pnl[pnl < 0].sum()
-    return {
-        "total": float(curve[-1] - 1), "max_drawdown": float(((peak - curve) / peak).max()), "win_rate": float((pnl > 0).mean()),
-        "profit_factor": float(pnl[pnl > 0].sum() / max(lost, 1e-9)), "expectancy": float(pnl.mean()), "sharpe": float(pnl.mean() / (pnl.std() + 1e-9)),
-    }
-
-
-def bootstrap(trades: DataFrame, keys: list[str], order: list[str], pnl: str, n_sims: int = 200, mean_block: int = 10, seed: int = 7) -> DataFrame:
-    """Stationary bootstrap of each key's profits: one row a simulation with its figures; blocks wrap around.
-
-    A key's series goes to each of its simulations' tasks, ``n_sims`` / 50 of them, so that simulations run in parallel.
-    """
-    batches = -(-n_sims // 50)
-    spread = trades.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(batches - 1))))
-
-    def run(key: tuple, frame_: pd.DataFrame) -> pd.DataFrame:
-        series = frame_.sort_values(order, kind="stable")[pnl].to_numpy(float)
-        rng = np.random.default_rng([seed, zlib.crc32(repr(key).encode())])
-        out = []
-        for sim in range(50 * key[-1], min(n_sims, 50 * key[-1] + 50)):
-            n = len(series)
-            jump = rng.random(n) < 1 / mean_block
-            jump[0] = True
-            start = rng.integers(0, n, n)
-            begin = np.maximum.accumulate(np.where(jump, np.arange(n), 0))
-            pick = (start[begin] + np.arange(n) - begin) % n
-            out.append((*key[:-1], sim, *equity_metrics(series[pick]).values()))
-        return pd.DataFrame(out)
-
-    fields = ", ".join(f"{k} {dict(trades.dtypes)[k]}" for k in keys)
-    schema = f"{fields}, sim int, total double, max_drawdown double, win_rate double, profit_factor double, expectancy double, sharpe double"
-    return spread.groupBy(*keys, "part").applyInPandas(run, schema)
-
-
 #: Fixed values. Scenarios: name, volatility multiplier, cut of the win rate, shock to equity, trades, regime.
 SCENARIOS = [
     ("covid_crash_2020", 3.5, 0.20, -0.08, 8, "high"),
@@ -213,10 +172,13 @@ def stress(trades: DataFrame, scenarios=SCENARIOS, risk: float = 0.01, ruin: flo
     )
 
 
-def deflated_sharpe(sharpe: float, n: int, skew: float, excess: float, trials: int, spread: float = 1.0) -> float:
-    """Chance that a Sharpe ratio, the best of ``trials``, is above what luck alone gives."""
-    nd, euler = NormalDist(), 0.5772156649015329
-    z = nd.inv_cdf(1 - 1 / max(trials, 1) / math.e) if trials <= 1 else (1 - euler) * nd.inv_cdf(1 - 1 / trials) + euler * nd.inv_cdf(1 - 1 / (trials * math.e))
-    luck = spread * z
-    spread_of = math.sqrt(max(1e-12, 1 - skew * sharpe + (excess + 2) / 4 * sharpe * sharpe))
-    return nd.cdf((sharpe - luck) * math.sqrt(n - 1) / spread_of)
+def deflated_sharpe(sharpe: Column, n: Column, skew: Column, excess: Column, trials: int) -> Column:
+    """Chance that a Sharpe ratio, the best of ``trials`` over ``n`` returns, is above what luck alone gives; 0 below two returns.
+
+    Its variance is (1 - skew s + (excess - 1) / 4 s^2) / n, or 1 / n where that is not above 0.
+    """
+    nd, euler = NormalDist(), 0.5772156649
+    best = (1 - euler) * (nd.inv_cdf(1 - 1 / trials) if trials > 1 else 0.0) + euler * nd.inv_cdf(1 - 1 / (trials * math.e))
+    var = (1 - skew * sharpe + (excess - 1) / 4 * sharpe * sharpe) / n
+    spread = F.sqrt(F.when(var > 0, var).otherwise(1 / n))
+    return F.when(n < 2, 0.0).otherwise(normal_cdf((sharpe - spread * best) / spread))

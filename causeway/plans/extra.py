@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.columns import frame, ordered, snap
-from causeway.operators import asof, bars, learning, portfolio, rolling, signals, stacking
+from causeway.operators import asof, bars, learning, portfolio, resampling, rolling, signals, stacking
 from causeway.plans.learning import FEATURES, features
 from causeway.plans.market import BAR_C, DAY, EXT, RETURNS, U, returns, rows, snapped, with_index
 from causeway.plans.portfolio import FLOW, indexed_daily, net_flow
@@ -129,16 +132,35 @@ def kalman_noise(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("bootstrap_intervals")
 def bootstrap_intervals(spark: SparkSession, sf: str) -> DataFrame:
-    sims = portfolio.bootstrap(views.trades(spark, sf), ["strategy"], ["exit_day", "signal_id"], "pnl_pct")
-    q = lambda c: F.percentile(c, [0.05, 0.5, 0.95]).alias(c)
-    return sims.groupBy("strategy").agg(q("total"), q("max_drawdown"), q("sharpe"), F.avg((F.col("total") < 0).cast("double")).alias("p_loss"))
+    """Eight figures of each strategy: observed, and the mean, median and tails of 10,000 resampled paths."""
+    sims = resampling.bootstrap(views.trades(spark, sf), ["strategy"], ["exit_day", "signal_id"], "pnl_pct", 10_000)
+    return resampling.intervals(sims, ["strategy"])
+
+
+@register("sharpe_bootstrap")
+def sharpe_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
+    """The yearly Sharpe ratio of all strategies' profit by day, over 1,000 draws of active days one by one."""
+    days = views.trades(spark, sf).groupBy("exit_day").agg(F.sum("pnl_pct").alias("pnl")).withColumn("book", F.lit("all"))
+    return resampling.sharpe_interval(days, ["book"], ["exit_day"], "pnl", 1000)
+
+
+#: What luck gives the best of ten trials, in spreads: (1 - g) z(1 - 1 / 10) + g z(1 - 1 / 10e), g being Euler's constant.
+TRIALS = 10
+_ND = NormalDist()
+LUCK = (1 - 0.5772156649) * _ND.inv_cdf(1 - 1 / TRIALS) + 0.5772156649 * _ND.inv_cdf(1 - 1 / (TRIALS * math.e))
+NORMAL = "case when z >= 0 then 1 - tail else tail end"
 
 
-@register("deflated_sharpe")
+@register("deflated_sharpe", with_views("trades") + f""", m as (select strategy, count(*) as n, avg(pnl_pct) as mu, stddev_pop(pnl_pct) as sd from trades where pnl_pct is not null group by 1),
+k as (select t.strategy, any_value(n) as n, any_value(mu / sd) as sharpe, avg(pow((pnl_pct - mu) / sd, 3)) as skew, avg(pow((pnl_pct - mu) / sd, 4)) - 3 as excess from trades t join m on t.strategy = m.strategy group by 1),
+v as (select *, (1 - skew * sharpe + (excess - 1) / 4 * sharpe * sharpe) / n as var from k), s as (select *, sqrt(case when var > 0 then var else 1.0::double / n end) as spread from v),
+z as (select *, (sharpe - spread * {LUCK!r}::double) / spread as z from s), t as (select *, 1 / (1 + 0.2316419 * abs(z)) as t from z),
+p as (select *, 0.3989422804014327::double * exp(-0.5 * z * z) * t * (0.319381530::double + t * (-0.356563782::double + t * (1.781477937::double + t * (-1.821255978::double + t * 1.330274429::double)))) as tail from t)
+select strategy, n, {s('sharpe')} as sharpe, {s(NORMAL)} as dsr from p""")
 def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
-    """By strategy: Sharpe a trade, moments, and the chance that it is more than the best of as many trials by luck."""
-    t = views.trades(spark, sf).groupBy("strategy").agg(
+    """By strategy: Sharpe a trade, and the chance that it is more than the best of as many trials by luck."""
+    t = views.trades(spark, sf).where("pnl_pct is not null").groupBy("strategy").agg(
         F.count("*").alias("n"), (F.avg("pnl_pct") / F.stddev_pop("pnl_pct")).alias("sharpe"), F.skewness("pnl_pct").alias("skew"), F.kurtosis("pnl_pct").alias("excess")
     )
-    rows = [(r.strategy, r.n, r.sharpe, portfolio.deflated_sharpe(r.sharpe, r.n, r.skew, r.excess, 10, 0.02)) for r in t.collect()]  # a few strategies
-    return spark.createDataFrame(rows, "strategy string, n long, sharpe double, dsr double")
+    dsr = portfolio.deflated_sharpe(F.col("sharpe"), F.col("n"), F.col("skew"), F.col("excess"), TRIALS)
+    return t.select("strategy", "n", snap(F.col("sharpe")).alias("sharpe"), snap(dsr).alias("dsr"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.columns import frame, ordered, snap
-from causeway.operators import asof, bars, book, events, portfolio, rolling, signals
+from causeway.operators import asof, bars, book, events, portfolio, resampling, rolling, signals
 from causeway.plans.market import BAR_C, DAY, EXT, RESET_BARS, RETURNS, returns, rows, snapped, with_index
 from causeway.plans.registry import register
 from causeway.sources import views
@@ -338,12 +338,31 @@ def exit_simulator(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("bootstrap")
 def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.bootstrap(views.trades(spark, sf), ["strategy"], ["exit_day", "signal_id"], "pnl_pct")
-
-
-@register("kalman_positions")
+    """The figures of each of 1,000 resampled paths of a strategy, and (sim 0) of the one observed."""
+    return resampling.bootstrap(views.trades(spark, sf), ["strategy"], ["exit_day", "signal_id"], "pnl_pct", 1000)
+
+
+KALMAN = RETURNS.replace("with ", "with recursive ", 1) + f""",
+q as materialized (select symbol, day, close, coalesce(ret, 0.0::double) as x, row_number() over (partition by symbol order by day) as n,
+  greatest(0.1 * var_pop(coalesce(ret, 0.0::double)) over (partition by symbol order by day rows unbounded preceding), 1e-12) as q from r),
+k as (select symbol, n, x as f, cast((1.0 - (1.0 + q) / (1.0 + q + 1e-12)) * (1.0 + q) as double) as p, [0.0::double] as seen from q where n = 1 union all
+  select symbol, n, f + gain * (x - f), (1 - gain) * p, seen from (
+    select symbol, n, x, f, p, seen, p / (p + list_aggregate(seen, 'var_pop') + 1e-12) as gain from (
+      select q.symbol, q.n, q.x, k.f, k.p + q.q as p, list_append(case when len(k.seen) = 50 then k.seen[2:] else k.seen end, q.x - k.f) as seen from k join q on q.symbol = k.symbol and q.n = k.n + 1))),
+z as materialized (select k.symbol, q.day, k.n, close, x, k.f, {s(f"case when count(k.f) over w = 100 then case when stddev_pop(k.f) over w > 1e-12 then (k.f - avg(k.f) over w) / stddev_pop(k.f) over w else 0.0::double end end")} as score
+  from k join q on k.symbol = q.symbol and k.n = q.n window w as (partition by k.symbol order by k.n rows between 100 preceding and 1 preceding))"""
+HELD = "case when score is null then was when was <> 0 and abs(score) < 0.5 then 0.0::double when was = 0 or {w} * was < 0 then {w} else was end".format(
+    w="(case when abs(score) > 2 then -sign(score) * least(abs(score) / 2, 1.0::double) else 0.0::double end)"
+)
+
+
+@register("kalman_positions", KALMAN + f""",
+p as (select symbol, n, cast({HELD} as double) as pos from (select *, 0.0::double as was from z where n = 1) union all
+  select symbol, n, cast({HELD} as double) from (select z.*, p.pos as was from p join z on z.symbol = p.symbol and z.n = p.n + 1))
+select z.symbol, day, {s('f', 7)} as filtered, score, pos as position from z join p on z.symbol = p.symbol and z.n = p.n""")
 def kalman_positions(spark: SparkSession, sf: str) -> DataFrame:
-    """Filtered returns, their score, and positions with hysteresis: two ordered folds by symbol and a window between."""
+    """Filtered returns, their score, and positions with hysteresis: an ordered fold by symbol, a window, and a scan."""
     r = returns(spark, sf).withColumn("x", F.coalesce("ret", F.lit(0.0))).select("symbol", "day", "close", "x")
-    f = signals.kalman(r, "x", KEYS, DAY).withColumn("score", signals.score_of("filtered", KEYS, DAY, 100))
-    return signals.positions(f, "score", KEYS, DAY, block=F.year("day"))
+    f = signals.kalman(r, "x", KEYS, DAY).withColumn("score", snap(signals.score_of("filtered", KEYS, DAY, 100)))
+    got = signals.positions(f, "score", KEYS, DAY, block=F.year("day"))
+    return got.select("symbol", "day", snap(F.col("filtered"), 7).alias("filtered"), "score", "position")
