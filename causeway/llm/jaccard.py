@@ -529,10 +529,8 @@ def bound_pairs(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInArrow(bound, "a long, b long, apart long")
 
 
-def dealt_members(members: DataFrame) -> DataFrame:
-    """``members`` with own, i, j: each signature's rows dealt so that all its pairs meet in blocks of bounded size."""
-    # written, so that Spark can split a signature that very many sets share
-    blocks = written(members.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
+def dealt_members(members: DataFrame, blocks: DataFrame) -> DataFrame:
+    """``members`` with own, i, j: each signature's rows dealt so that all its pairs meet in its ``blocks`` of bounded size."""
     met = members.join(blocks, "sig").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("blocks", "other")
@@ -636,7 +634,12 @@ def all_linked(members: DataFrame, links: DataFrame, info: DataFrame, texts: Dat
     roots, failed, forests = components(links), None, 2
     rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("sig")
-    dealt = written(dealt_members(written(members.join(written(mixed, "mixed"), "sig", "left_semi"), "members")), "dealt")
+    # what a signature of very many sets is joined to is written first, so that Spark can split it
+    mixed = written(mixed, "mixed")
+    left = members.join(mixed, "sig", "left_semi")
+    blocks = written(left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
+    dealt = written(dealt_members(left, blocks), "dealt")
+    dropped(mixed, blocks)
     while True:
         met = written(crossing(dealt, roots, info, failed, rule, forests), "crossing")
         if met.isEmpty():
@@ -689,6 +692,7 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), lower: bool = True)
     least = written(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "least")
     named = linked.join(least, "root").select("node", "least_id")
     own = written(first.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component")), "own")
+    dropped(first, linked, least)
     return owners.join(own, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )
