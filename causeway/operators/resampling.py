@@ -10,9 +10,12 @@ Draws are hashes of (seed, key, simulation, number), so that a task that is run
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 CHUNK = 256
 #: Positions that one row spreads into at a time.
@@ -80,39 +83,60 @@ def pieces(blocks: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
     return cut.join(held, on).select(*keys, "n", "sim", "at", F.slice("values", F.col("from").cast("int") + 1, F.col("many").cast("int")).alias("xs"))
 
 
-def folded(path: DataFrame, risk: float) -> DataFrame:
-    """``path`` with ``p``: what a piece does to log equity (sum, high, low, drop) and its sums for other figures."""
-    zero = F.lit(0.0)
-    step = lambda x: F.log(F.greatest(1 + risk * x, F.lit(1e-12)))
-    start = F.struct(
-        zero.alias("s"), zero.alias("high"), zero.alias("low"), zero.alias("drop"), zero.alias("won"), zero.alias("lost"),
-        F.lit(0).cast("long").alias("wins"), zero.alias("x"), zero.alias("xx"),
-    )
-
-    def add(a: Column, x: Column) -> Column:
-        s = a.s + step(x)
-        high = F.greatest(a.high, s)
-        return F.struct(
-            s.alias("s"), high.alias("high"), F.least(a.low, s).alias("low"), F.least(a["drop"], s - high).alias("drop"),
-            (a.won + F.greatest(x, zero)).alias("won"), (a.lost - F.least(x, zero)).alias("lost"),
-            (a.wins + (x > 0).cast("long")).alias("wins"), (a.x + x).alias("x"), (a.xx + x * x).alias("xx"),
-        )
-
-    return path.withColumn("p", F.aggregate("xs", start, add))
+PIECE = "at long, n_x long, s double, high double, low double, drop double, won double, lost double, wins long, x double, xx double"
+
+
+def piece_figures(x: np.ndarray, offsets: np.ndarray, risk: float) -> dict[str, np.ndarray]:
+    """What each piece x[offsets[i]:offsets[i + 1]], none empty, does to log equity, and its sums for other figures."""
+    n = np.diff(offsets)
+    step = np.log(np.maximum(1 + risk * x, 1e-12))
+    total = lambda v: np.add.reduceat(v, offsets[:-1]) if len(n) else np.empty(0, v.dtype)
+    out = {
+        "n_x": n, "s": total(step), "won": total(np.maximum(x, 0)), "lost": -total(np.minimum(x, 0)), "wins": total((x > 0).astype(np.int64)), "x": total(x), "xx": total(x * x),
+        **{c: np.zeros(len(n)) for c in ("high", "low", "drop")},
+    }
+    width = 1
+    while width < 2 * n.max(initial=0):
+        # pieces of like lengths side by side; what is beyond a piece's end repeats its last level
+        rows = np.flatnonzero((n <= width) & (n > width // 2))
+        if len(rows):
+            at = np.minimum(np.arange(width), n[rows, None] - 1) + offsets[rows, None]
+            own = np.where(np.arange(width) < n[rows, None], step[at], 0.0).cumsum(1)
+            high = np.maximum.accumulate(np.maximum(own, 0.0), axis=1)
+            out["high"][rows], out["low"][rows], out["drop"][rows] = high[:, -1], np.minimum(own.min(1), 0.0), np.minimum((own - high).min(1), 0.0)
+        width *= 2
+    return out
+
+
+def folded(path: DataFrame, keys: list[str], risk: float) -> DataFrame:
+    """keys, sim, at and the figures of each piece of ``path``."""
+    heads = [*keys, "sim", "at"]
+    schema = T.StructType([*(path.schema[c] for c in (*keys, "sim")), *T.StructType.fromDDL(PIECE).fields])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs = batch.column("xs")
+            offsets = xs.offsets.to_numpy().astype(np.int64)
+            x = xs.values.to_numpy()[offsets[0] : offsets[-1]] if len(offsets) else np.empty(0)
+            got = piece_figures(x, offsets - offsets[0], risk)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in heads), *(pa.array(got[c]) for c in names[len(heads) :])], names=names)
+
+    return path.select(*heads, "xs").mapInArrow(run, schema)
 
 
 def path_figures(path: DataFrame, keys: list[str], risk: float, ruin: float) -> DataFrame:
     """keys, sim and eight figures of each path: total, drawdown (not above 0), win rate, profit factor, mean, Sharpe, ruin, trades."""
     by = [*keys, "sim"]
     before = Window.partitionBy(*by).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    got = folded(path, risk).withColumn("level", F.coalesce(F.sum("p.s").over(before), F.lit(0.0)))
-    got = got.withColumn("peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("level") + F.col("p.high")).over(before), F.lit(0.0))))
-    drop = F.least(F.col("level") + F.col("p.low") - F.col("peak"), F.col("p.drop"))
-    n, mean = F.sum(F.size("xs")), F.sum("p.x") / F.sum(F.size("xs"))
-    var = F.sum("p.xx") / n - mean * mean
+    got = folded(path, keys, risk).withColumn("level", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
+    got = got.withColumn("peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("level") + F.col("high")).over(before), F.lit(0.0))))
+    drop = F.least(F.col("level") + F.col("low") - F.col("peak"), F.col("drop"))
+    n, mean = F.sum("n_x"), F.sum("x") / F.sum("n_x")
+    var = F.sum("xx") / n - mean * mean
     out = got.groupBy(*by).agg(
-        (F.exp(F.sum("p.s")) - 1).alias("total"), F.least(F.exp(F.min(drop)) - 1, F.lit(0.0)).alias("max_drawdown"), (F.sum("p.wins") / n).alias("win_rate"),
-        (F.sum("p.won") / F.when(F.sum("p.lost") > 0, F.sum("p.lost")).otherwise(1e-9)).alias("profit_factor"), mean.alias("expectancy"),
+        (F.exp(F.sum("s")) - 1).alias("total"), F.least(F.exp(F.min(drop)) - 1, F.lit(0.0)).alias("max_drawdown"), (F.sum("wins") / n).alias("win_rate"),
+        (F.sum("won") / F.when(F.sum("lost") > 0, F.sum("lost")).otherwise(1e-9)).alias("profit_factor"), mean.alias("expectancy"),
         F.when(var > 1e-18, mean / F.sqrt(F.greatest(var, F.lit(1e-18)))).otherwise(0.0).alias("sharpe"), n.alias("n_trades"),
     )
     return out.withColumn("ruin", (F.col("max_drawdown") <= ruin).cast("double"))

@@ -394,7 +394,7 @@ def fixed_weights(pred: DataFrame, columns: list[str], weights: list[float]) ->
     return pred.withColumn("combined", sum((w * F.col(c) for w, c in zip(weights, columns)), F.lit(0.0)))
 
 
-def huber(seen: DataFrame, columns: list[str], target: str, keys: list[str], rounds: int = 100, tolerance: float = 1e-8) -> DataFrame:
+def huber(seen: DataFrame, columns: list[str], target: str, keys: list[str], rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Weights that minimise n s + sum of s H((y - c - z w) / s) + penalty |w|^2, z being standardised by the train.
 
     H is a square up to HUBER_BOUND and a line beyond; w, c and the scale s are found together. Each round sums the rows of all
