@@ -6,11 +6,12 @@ Everything is decided on small D x D sums that ``learning.grams`` reduced; no st
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from causeway.operators import learning, staged
 
@@ -109,6 +110,66 @@ def dickey_fuller(df: DataFrame, x: str, keys: list[str], order: list[str]) -> D
     return m.where(det > 1e-18).select(*keys, "n", t.alias("t"), (t < -2.86).alias("stationary_5"), (t < -3.43).alias("stationary_1"))
 
 
+#: Points of the unit-root test with a constant, and the shares below them.
+ROOT_POINTS = (-3.430, -2.860, -2.570)
+ROOT_SHARES = (0.01, 0.05, 0.10)
+
+
+def unit_root_p(t: Column) -> Column:
+    """Approximate p of a unit-root statistic: a line between the points, and one towards 1 above them."""
+    a, b, c = ROOT_POINTS
+    pa_, pb, pc = ROOT_SHARES
+    above = F.least(pc + F.abs(t - c) * (0.90 / abs(-1.0 - c)), F.lit(1.0))
+    return F.when(t <= a, 0.005).when(t <= b, pa_ + (t - a) / (b - a) * (pb - pa_)).when(t <= c, pb + (t - b) / (c - b) * (pc - pb)).otherwise(above)
+
+
+ORDERS = [round(0.1 + 0.05 * i, 2) for i in range(19)]
+
+
+def differenced(df: DataFrame, x: str, keys: list[str], order: list[str], orders: list[float] = ORDERS, width: int = 63, least: float = 1e-5) -> DataFrame:
+    """keys, order, d and v: ``x`` differenced by each fractional order, from the row on that has ``width`` values.
+
+    One window gathers a row's last ``width`` values; all orders' weights meet them in one product of matrices.
+    """
+    from causeway.functions.columns import frame
+    from causeway.operators.rolling import fractional_weights
+
+    weights = np.zeros((width, len(orders)))
+    for i, d in enumerate(orders):
+        w = fractional_weights(d, least, width)
+        weights[width - len(w) :, i] = w[::-1]  # the newest value comes last
+    known = df.where(F.col(x).isNotNull()).select(*keys, *order, F.collect_list(x).over(frame(keys, order, -(width - 1), 0)).alias("xs"))
+    names = [*keys, *order, "vs"]
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xs = batch.column("xs")
+            flat = xs.flatten().to_numpy().reshape(-1, width)
+            vs = pa.FixedSizeListArray.from_arrays(pa.array((flat @ weights).ravel()), len(orders)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vs], names=names)
+
+    full = known.where(F.size("xs") == width)
+    schema = T.StructType([*full.schema.fields[:-1], T.StructField("vs", T.ArrayType(T.DoubleType()))])
+    each = full.mapInArrow(apply, schema).select(*keys, *order, F.posexplode("vs").alias("i", "v"))
+    return each.select(*keys, *order, F.element_at(F.array(*map(F.lit, orders)), F.col("i") + 1).alias("d"), "v")
+
+
+def order_sweep(df: DataFrame, x: str, keys: list[str], order: list[str], **how) -> DataFrame:
+    """keys, d, n, t and p: the unit-root test of each fractional order with 30 values or more."""
+    tested = dickey_fuller(differenced(df, x, keys, order, **how), "v", [*keys, "d"], order).where("n >= 28")
+    return tested.select(*keys, "d", (F.col("n") + 2).alias("n"), "t", unit_root_p(F.col("t")).alias("p"))
+
+
+def least_order(df: DataFrame, x: str, keys: list[str], order: list[str], level: float = 0.05, **how) -> DataFrame:
+    """keys and d: the least order whose differences have no unit root at ``level``; 0.5 where none is."""
+    swept = order_sweep(df, x, keys, order, **how).groupBy(*keys).agg(F.min(F.when(F.col("p") < level, F.col("d"))).alias("found"))
+    every = df.select(*(F.col(k).alias(f"fo_{k}") for k in keys)).distinct()
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"fo_{k}"))
+    return every.join(swept, on, "left").select(*(F.col(f"fo_{k}").alias(k) for k in keys), F.coalesce("found", F.lit(0.5)).alias("d"))
+
+
 def anderson_darling(a: DataFrame, b: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Two-sample statistic by key: one rank window over both samples."""
     from pyspark.sql import Window

@@ -1,11 +1,11 @@
-"""Registered queries of recursions that run as scans by composition."""
+"""Registered queries of recursions that run as scans by composition, and of fractional orders."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.columns import frame, month_number, snap
-from causeway.operators import rolling, signals
+from causeway.operators import rolling, signals, stacking
 from causeway.plans.market import DAY, rows
 from causeway.plans.registry import register
 from causeway.sources import views
@@ -39,3 +39,30 @@ def known_noise_filter(spark: SparkSession, sf: str) -> DataFrame:
     d = views.daily(spark, sf).select("symbol", "day", "close", r.alias("r"), F.lit(0.5).alias("q"))
     got = signals.kalman_known(d, "close", "q", "r", KEYS, DAY, month_number("day"))
     return got.select("symbol", "day", snap(F.col("filtered"), 4).alias("filtered"), snap(F.col("gain")).alias("gain"))
+
+
+WEIGHTS = ", ".join(
+    f"({d}::double, [{', '.join(f'{w!r}::double' for w in reversed((rolling.fractional_weights(d) + [0.0] * 63)[:63]))}])" for d in stacking.ORDERS
+)
+SWEEP = with_views("daily") + f""", w(d, weights) as (values {WEIGHTS}),
+x as (select symbol, day, list(ln(close)) over (partition by symbol order by day rows 62 preceding) as xs from daily),
+v as (select symbol, day, d, list_inner_product(xs, weights) as v from x cross join w where len(xs) = 63),
+a as (select symbol, d, day, v - lag(v) over o as dx, lag(v) over o as x1 from v window o as (partition by symbol, d order by day)),
+b as (select *, lag(dx) over (partition by symbol, d order by day) as x2 from a),
+m as (select symbol, d, count(*) as n, var_pop(dx) as syy, var_pop(x1) as s11, var_pop(x2) as s22, covar_pop(x1, x2) as s12, covar_pop(x1, dx) as s1y, covar_pop(x2, dx) as s2y from b where dx is not null and x2 is not null group by 1, 2),
+c as (select *, s11 * s22 - s12 * s12 as det, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) as b2 from m),
+t as (select symbol, d, n + 2 as n, b1 / sqrt((syy - b1 * s1y - b2 * s2y) / (n - 3) * s22 / det) as t from c where det > 1e-18 and n >= 28),
+p as (select *, case when t <= -3.43 then 0.005::double when t <= -2.86 then 0.01 + (t + 3.43) / 0.57 * 0.04 when t <= -2.57 then 0.05 + (t + 2.86) / 0.29 * 0.05 else least(0.1 + abs(t + 2.57) * (0.9::double / 1.57), 1.0::double) end as p from t)"""
+
+
+@register("fractional_order_sweep", SWEEP + f" select symbol, d, n, {s('t', 4)} as t, {s('p', 4)} as p from p")
+def fractional_order_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """The unit-root test of log closes differenced by each of 19 orders."""
+    x = views.daily(spark, sf).withColumn("x", F.log("close"))
+    return stacking.order_sweep(x, "x", KEYS, DAY).select("symbol", "d", "n", snap(F.col("t"), 4).alias("t"), snap(F.col("p"), 4).alias("p"))
+
+
+@register("least_fractional_order", SWEEP + """ select s.symbol, coalesce(min(p.d) filter (where p.p < 0.05), 0.5::double) as d from (select distinct symbol from daily) s left join p on s.symbol = p.symbol group by 1""")
+def least_fractional_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The least order by symbol whose differences have no unit root."""
+    return stacking.least_order(views.daily(spark, sf).withColumn("x", F.log("close")), "x", KEYS, DAY)

@@ -6,7 +6,7 @@ from itertools import product
 import numpy as np
 import pytest
 
-from causeway.operators import learning, signals
+from causeway.operators import learning, rolling, signals, stacking
 from causeway.plans import extra, learning as plans, registry
 
 SF = "/root/testdata/sf0.001"
@@ -187,3 +187,31 @@ def test_stream_positions(spark):
         p, _ = signals.hysteresis_steps(x, 1.0, 0.25, 2.0)
         for (seq, _), f, q in zip(rows, x, p):
             assert got[k, seq].filtered == pytest.approx(f) and got[k, seq].position == pytest.approx(q)
+
+
+def test_least_fractional_order(spark):
+    """A random walk needs differences, noise none; each test against a regression by least squares."""
+    rng = np.random.default_rng(4)
+    series = {"walk": 7 + rng.normal(0, 0.02, 600).cumsum(), "noise": rng.normal(0, 1, 300), "short": rng.normal(0, 1, 80)}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "symbol string, day long, x double").repartition(4)
+    got = {(r.symbol, r.d): r for r in stacking.order_sweep(df, "x", ["symbol"], ["day"]).collect()}
+    assert {k for k, _ in got} == {"walk", "noise"} and len(got) == 2 * 19
+    want = {"short": 0.5}
+    for k in ("walk", "noise"):
+        for d in stacking.ORDERS:
+            w = np.zeros(63)
+            own = rolling.fractional_weights(d)
+            w[: len(own)] = own
+            v = np.array([w @ series[k][t - 62 : t + 1][::-1] for t in range(62, len(series[k]))])
+            dy = np.diff(v)
+            x, y = np.column_stack([np.ones(len(dy) - 1), v[1:-1], dy[:-1]]), dy[1:]
+            coef = np.linalg.lstsq(x, y, rcond=None)[0]
+            spread = ((y - x @ coef) ** 2).sum() / (len(y) - 3) * np.linalg.inv(x.T @ x)[1, 1]
+            t = coef[1] / math.sqrt(spread)
+            p = 0.005 if t <= -3.43 else np.interp(t, [-3.43, -2.86, -2.57], [0.01, 0.05, 0.1]) if t <= -2.57 else min(0.1 + (t + 2.57) * 0.9 / 1.57, 1)
+            r = got[k, d]
+            assert (r.n, r.t, r.p) == (len(v), pytest.approx(t, rel=1e-6), pytest.approx(p, rel=1e-5))
+            if p < 0.05:
+                want.setdefault(k, d)
+    least = {r.symbol: r.d for r in stacking.least_order(df, "x", ["symbol"], ["day"]).collect()}
+    assert least == want and least["noise"] == 0.1 < least["walk"]
