@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from causeway.operators import learning, staged
 
@@ -172,8 +172,6 @@ def least_order(df: DataFrame, x: str, keys: list[str], order: list[str], level:
 
 def anderson_darling(a: DataFrame, b: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Two-sample statistic by key: one rank window over both samples."""
-    from pyspark.sql import Window
-
     both = a.select(*keys, F.col(value).alias("v"), F.lit(1).alias("own")).unionByName(b.select(*keys, F.col(value).alias("v"), F.lit(0).alias("own")))
     w = Window.partitionBy(*keys).orderBy("v")
     whole = Window.partitionBy(*keys)
@@ -184,6 +182,79 @@ def anderson_darling(a: DataFrame, b: DataFrame, value: str, keys: list[str]) ->
     return r.groupBy(*keys, "n", "n1").agg((F.sum(term) / (F.col("n1") * (F.col("n") - F.col("n1")) * F.col("n"))).alias("a2")).select(*keys, "n", "n1", "a2")
 
 
+def baseline(rates: DataFrame, keys: list[str], samples: int = 1000, seed: int = 42) -> DataFrame:
+    """keys and v: a synthetic sample of profits for each row of ``rates`` (win_rate, avg_win, avg_loss).
+
+    floor(samples x win_rate) winners are uniform up to twice the average win, the others down to twice the average loss.
+    """
+    from causeway.operators.resampling import uniform
+
+    each = rates.where("win_rate is not null and avg_win is not null and avg_loss is not null").withColumn("nth", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    u = uniform(F.lit(seed), *(F.col(k) for k in keys), F.col("nth"))
+    won = F.col("nth") < F.floor(samples * F.col("win_rate"))
+    return each.select(*keys, F.when(won, 2 * F.col("avg_win") * u).otherwise(-2 * F.col("avg_loss") * u).alias("v"))
+
+
+#: Significance levels of the k-sample test, and the published coefficients of their points.
+LEVELS = (0.25, 0.10, 0.05, 0.025, 0.01, 0.005, 0.001)
+POINTS = (
+    (0.675, 1.281, 1.645, 1.960, 2.326, 2.573, 3.085),
+    (-0.245, 0.250, 0.678, 1.149, 1.822, 2.364, 3.615),
+    (-0.105, -0.305, -0.362, -0.391, -0.396, -0.345, -0.154),
+)
+
+
+def two_sample_p(a2: float, n1: int, n2: int) -> tuple[float, float]:
+    """(standardised statistic, p within [0.001, 0.25]) of the two-sample Anderson-Darling statistic (Scholz and Stephens, 1987)."""
+    n, k = n1 + n2, 2
+    i = np.arange(1, n, dtype=float)
+    h, inverse = (1 / i).sum(), 1 / i
+    # g: sum over i < j of 1 / ((n - i) j), by sums of the tail
+    tail = np.append(np.cumsum(inverse[::-1])[::-1], 0.0)
+    g = (tail[1:-1] / (n - i[:-1])).sum()
+    big = 1 / n1 + 1 / n2
+    a = (4 * g - 6) * (k - 1) + (10 - 6 * g) * big
+    b = (2 * g - 4) * k**2 + 8 * h * k + (2 * g - 14 * h - 4) * big - 8 * h + 4 * g - 6
+    c = (6 * h + 2 * g - 2) * k**2 + (4 * h - 4 * g + 6) * k + (2 * h - 6) * big + 4 * h
+    d = (2 * h + 6) * k**2 - 4 * h * k
+    spread = math.sqrt((a * n**3 + b * n**2 + c * n + d) / ((n - 1.0) * (n - 2.0) * (n - 3.0)))
+    t = (a2 - (k - 1)) / spread
+    points = sum(np.array(p) / (k - 1) ** (j / 2) for j, p in enumerate(POINTS))
+    if t < points.min() or t > points.max():
+        return t, LEVELS[0] if t < points.min() else LEVELS[-1]
+    return t, float(np.exp(np.polyval(np.polyfit(points, np.log(LEVELS), 2), t)))
+
+
+def against_baseline(trades: DataFrame, rates: DataFrame, value: str, keys: list[str], samples: int = 1000, seed: int = 42, least: int = 5) -> DataFrame:
+    """keys, n, a2, statistic and p of trades against their baseline, for keys of ``least`` trades or more.
+
+    Equal values enter together at their middle rank. Values are counted first, so what is ordered by key are distinct
+    values and their counts.
+    """
+    own = trades.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), F.lit(1).alias("own"))
+    both = own.unionByName(baseline(rates, keys, samples, seed).select(*keys, "v", F.lit(0).alias("own")))
+    counted = both.groupBy(*keys, "v").agg(F.count("*").alias("l"), F.sum("own").alias("f"))
+    before, whole = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    ranked = counted.select(
+        *keys, "l", "f", (F.coalesce(F.sum("l").over(before), F.lit(0)) + F.col("l") / 2).alias("b"), (F.coalesce(F.sum("f").over(before), F.lit(0)) + F.col("f") / 2).alias("m"),
+        F.sum("l").over(whole).alias("n"), F.sum("f").over(whole).alias("n1"),
+    ).where(F.col("n1") >= least).where("n1 < n")
+    below = F.col("b") * (F.col("n") - F.col("b")) - F.col("n") * F.col("l") / 4
+    # the other sample's deviation is the same, with the other sign
+    term = F.col("l") / F.col("n") * F.pow(F.col("n") * F.col("m") - F.col("n1") * F.col("b"), 2) / below
+    n2 = F.col("n") - F.col("n1")
+    got = ranked.groupBy(*keys, "n", "n1").agg(F.sum(F.when(below > 0, term)).alias("s"))
+    got = got.select(*keys, "n", "n1", ((F.col("n") - 1) / F.col("n") * F.col("s") * (1 / F.col("n1") + 1 / n2)).alias("a2"))
+    schema = T.StructType([*(trades.schema[k] for k in keys), *T.StructType.fromDDL("n long, a2 double, statistic double, p double").fields])
+
+    def levels(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(*(r[k] for k in keys), int(r["n1"]), r["a2"], *two_sample_p(r["a2"], int(r["n1"]), int(r["n"] - r["n1"]))) for r in part.to_dict("records")]
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    return got.mapInPandas(levels, schema)
+
+
 def momentum_columns(df: DataFrame, price: str, keys: list[str], order: list[str], block: Column, slow: int = 60, fast: int = 20) -> DataFrame:
     """Adds ret, tsmom (the ``slow`` returns before), scaled (over their deviation of ``fast``) and ema_fast, ema_slow, cross of returns.
 

@@ -68,6 +68,18 @@ def anderson_darling(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("strategy", "n", "n1", snap(F.col("a2"), 4).alias("a2"))
 
 
+@register("baseline_distance")
+def baseline_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Each strategy's trades since 1996 against a synthetic sample by the win rate and averages of its trades before."""
+    t = views.trades(spark, sf)
+    early = F.col("exit_day") < "1996-01-01"
+    rates = t.where(early).groupBy("strategy").agg(
+        F.avg((F.col("pnl_pct") > 0).cast("double")).alias("win_rate"), F.avg(F.when(F.col("pnl_pct") > 0, F.col("pnl_pct"))).alias("avg_win"),
+        F.avg(F.when(F.col("pnl_pct") <= 0, -F.col("pnl_pct"))).alias("avg_loss"),
+    )
+    return stacking.against_baseline(t.where(~early), rates, "pnl_pct", ["strategy"])
+
+
 @register("momentum_gate", with_views("daily") + f""", a as (select symbol, day, coalesce(ln(close / lag(close, 60) over (partition by symbol order by day)), 0.0::double) as x, avg(close) over {rows(-19, 0)} / avg(close) over {rows(-59, 0)} - 1 as y, row_number() over (partition by symbol order by day) as n from daily),
 z as (select symbol, day, case when n <= 20 then 0.0::double else (x - avg(x) over {U}) / (stddev_pop(x) over {U} + 1e-8) end as z1, case when n <= 20 then 0.0::double else (y - avg(y) over {U}) / (stddev_pop(y) over {U} + 1e-8) end as z2 from a)
 select symbol, day, {s('1 / (1 + exp(-(z1 + z2) / 2))')} as gate from z""")

@@ -215,3 +215,48 @@ def test_least_fractional_order(spark):
                 want.setdefault(k, d)
     least = {r.symbol: r.d for r in stacking.least_order(df, "x", ["symbol"], ["day"]).collect()}
     assert least == want and least["noise"] == 0.1 < least["walk"]
+
+
+def two_sample(x, y):
+    """The statistic by midranks, straight from its definition."""
+    z, n = np.sort(np.concatenate([x, y])), len(x) + len(y)
+    total = 0.0
+    for own in (x, y):
+        part = 0.0
+        for v in np.unique(z):
+            l, f = (z == v).sum(), (own == v).sum()
+            b, m = (z < v).sum() + l / 2, (own < v).sum() + f / 2
+            part += l / n * (n * m - len(own) * b) ** 2 / (b * (n - b) - n * l / 4)
+        total += part / len(own)
+    return total * (n - 1) / n
+
+
+def test_trades_against_their_baseline(spark):
+    rng = np.random.default_rng(5)
+    like = np.where(rng.random(200) < 0.6, rng.uniform(0, 2, 200), rng.uniform(-1, 0, 200)).round(2)
+    rows = [("like", float(v)) for v in like] + [("worse", float(v)) for v in like - 0.4] + [("few", 1.0)] * 4 + [("tied", 0.5)] * 6
+    trades = spark.createDataFrame(rows, "strategy string, pnl double").repartition(3)
+    rates = spark.createDataFrame([(k, 0.6, 1.0, 0.5) for k in ("like", "worse", "few", "tied")] + [("none", None, 1.0, 1.0)], "strategy string, win_rate double, avg_win double, avg_loss double")
+    base = {}
+    for r in stacking.baseline(rates, ["strategy"]).collect():
+        base.setdefault(r.strategy, []).append(r.v)
+    assert set(base) == {"like", "worse", "few", "tied"} and all(sum(v > 0 for v in x) == 600 and len(x) == 1000 for x in base.values())
+    assert all(-1 <= min(x) < -0.9 and 1.9 < max(x) <= 2 for x in base.values())
+    got = {r.strategy: r for r in stacking.against_baseline(trades, rates, "pnl", ["strategy"]).collect()}
+    assert set(got) == {"like", "worse", "tied"}
+    for k, r in got.items():
+        own = np.array([v for s, v in rows if s == k])
+        assert (r.n, r.a2) == (len(own), pytest.approx(two_sample(own, np.array(base[k])), rel=1e-9))
+    assert got["like"].p == 0.25 and got["worse"].p == 0.001 and 0.01 < got["tied"].p < 0.25
+
+
+def test_levels_of_the_two_sample_test():
+    """Under the null, statistics beyond a level's point come about as often as the level says."""
+    rng = np.random.default_rng(6)
+    p = np.array([stacking.two_sample_p(two_sample(rng.normal(size=25), rng.normal(size=40)), 25, 40)[1] for _ in range(400)])
+    assert abs((p < 0.25).mean() - 0.25) < 0.06 and abs((p <= 0.05).mean() - 0.05) < 0.03
+
+
+def test_baseline_query(spark):
+    got = run(spark, "baseline_distance")
+    assert len(got) == 5 and all(0.001 <= r.p <= 0.25 and r.n > 5 for r in got)
