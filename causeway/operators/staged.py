@@ -398,8 +398,9 @@ def huber(seen: DataFrame, columns: list[str], target: str, keys: list[str], rou
     """Weights that minimise n s + sum of s H((y - c - z w) / s) + penalty |w|^2, z being standardised by the train.
 
     H is a square up to HUBER_BOUND and a line beyond; w, c and the scale s are found together. Each round sums the rows of all
-    keys and parts once, weighting those beyond the bound down, and solves for w and c, then s. It ends once no key's
-    figures move by more than ``tolerance`` of its scale.
+    keys and parts once, those within the bound and those beyond it apart. If the same rows stayed within, their sums give the
+    least value at once; that step is taken while such steps shrink, else rows beyond the bound are weighted down (which always
+    lowers the value). It ends once no key's figures move by more than ``tolerance`` of its scale.
     """
     size = len(columns)
     first = F.greatest(F.floor(F.col("s2_nth") / F.col("s2_size")) + 1, F.lit(1)).cast("int")
@@ -408,40 +409,63 @@ def huber(seen: DataFrame, columns: list[str], target: str, keys: list[str], rou
     at = [*keys, "s2_part"]
     begun = [F.array(*(F.avg(c) for c in columns)).alias("mean"), F.array(*(F.stddev_pop(c) for c in columns)).alias("sd"), F.avg(target).alias("c"), F.stddev_pop(target).alias("s")]
     state = each.groupBy(*at).agg(*begun).withColumn("sd", F.transform("sd", lambda x: F.when(x > 0, x).otherwise(1.0)))
-    state = state.withColumn("w", F.array_repeat(F.lit(0.0), size)).withColumn("moved", F.lit(1.0)).withColumn("s", F.greatest("s", F.lit(1e-12)))
+    state = state.withColumn("w", F.array_repeat(F.lit(0.0), size)).withColumn("moved", F.lit(1e9)).withColumn("s", F.greatest("s", F.lit(1e-12)))
     state = written(state, "huber")
     kept = [state.schema[k] for k in at]
     fields = T.StructType([*kept, *T.StructType.fromDDL("mean array<double>, sd array<double>, c double, s double, w array<double>, moved double").fields])
 
+    bend = np.diag([0.0] + [HUBER_PENALTY] * size)
+
+    def scale_of(inner: float, n: int, n_out: int) -> float:
+        return max(math.sqrt(max(inner, 0.0) / max(n - n_out * HUBER_BOUND**2, 1e-9)), 1e-12)
+
+    def weighed_down(near: np.ndarray, far: np.ndarray, r: dict) -> tuple[np.ndarray, float]:
+        m = near + far
+        return np.linalg.lstsq(m[:-1, :-1] + r["s"] * bend, m[:-1, -1], rcond=None)[0], scale_of(r["inner"], r["n"], r["n_out"])
+
+    def at_once(near: np.ndarray, signs: np.ndarray, r: dict) -> tuple[np.ndarray, float]:
+        """The least value if the rows within the bound stay the same."""
+        v, s = np.array([r["c"], *r["w"]]), r["s"]
+        for _ in range(200):
+            new = np.linalg.lstsq(near[:-1, :-1] + s * bend, near[:-1, -1] + HUBER_BOUND * s * signs, rcond=None)[0]
+            gap = np.append(-new, 1.0)
+            t = scale_of(gap @ near @ gap, r["n"], r["n_out"])
+            done = max(np.abs(new - v).max(), abs(t - s)) < 1e-13 * s
+            v, s = new, t
+            if done:
+                break
+        return v, s
+
     def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             out = []
             for r in part.to_dict("records"):
-                m = square(np.array(r["sums"]), size + 2)
-                a = m[:-1, :-1] + np.diag([0.0] + [HUBER_PENALTY * r["s"]] * size)
-                c, *w = np.linalg.lstsq(a, m[:-1, -1], rcond=None)[0]
-                free = max(r["n"] - r["n_out"] * HUBER_BOUND**2, 1e-9)
-                s = max(math.sqrt(r["inner"] / free), 1e-12)
-                moved = max(abs(c - r["c"]), abs(s - r["s"]), *np.abs(np.array(w) - r["w"])) / s
-                out.append(tuple(r[k] for k in at) + (list(r["mean"]), list(r["sd"]), float(c), s, [float(x) for x in w], float(moved)))
+                near, far = (square(np.array(r[c]), size + 2) for c in ("near", "far"))
+                before = np.array([r["c"], *r["w"]])
+                move = lambda v, s: float(max(np.abs(v - before).max(), abs(s - r["s"])) / s)
+                v, s = at_once(near, np.array(r["signs"]), r)
+                if not move(v, s) < 0.5 * r["moved"]:
+                    v, s = weighed_down(near, far, r)
+                out.append(tuple(r[k] for k in at) + (list(r["mean"]), list(r["sd"]), float(v[0]), float(s), [float(x) for x in v[1:]], move(v, s)))
             yield pd.DataFrame(out, columns=[f.name for f in fields])
 
     for _ in range(rounds):
-        own = state.select(*(F.col(k).alias(f"hu_{k}") for k in at), "mean", "sd", "c", "s", "w")
+        own = state.select(*(F.col(k).alias(f"hu_{k}") for k in at), "mean", "sd", "c", "s", "w", "moved")
         on = F.lit(True)
         for k in at:
             on = on & F.col(k).eqNullSafe(F.col(f"hu_{k}"))
         z = [(F.col(x) - F.col("mean")[i]) / F.col("sd")[i] for i, x in enumerate(columns)]
         gap = F.col(target) - F.col("c") - sum((F.col("w")[i] * z[i] for i in range(size)), F.lit(0.0))
-        rows = each.join(own, on).select(*at, *(v.alias(f"z{i}") for i, v in enumerate(z)), F.col(target).alias("hy"), gap.alias("gap"), "mean", "sd", "c", "s", "w")
+        kept_state = ("mean", "sd", "c", "s", "w", "moved")
+        rows = each.join(own, on).select(*at, *(v.alias(f"z{i}") for i, v in enumerate(z)), F.col(target).alias("hy"), gap.alias("gap"), *kept_state)
         bound = HUBER_BOUND * F.col("s")
         far = F.abs("gap") > bound
-        weight = F.when(far, bound / F.abs("gap")).otherwise(1.0)
         one = [F.lit(1.0), *(F.col(f"z{i}") for i in range(size)), F.col("hy")]
-        pairs = [F.sum(weight * one[i] * one[j]) for i in range(len(one)) for j in range(i, len(one))]
+        pairs = [one[i] * one[j] for i in range(len(one)) for j in range(i, len(one))]
         got = rows.groupBy(*at).agg(
-            F.array(*pairs).alias("sums"), F.count("*").alias("n"), F.count_if(far).alias("n_out"), F.sum(F.when(far, 0.0).otherwise(F.col("gap") * F.col("gap"))).alias("inner"),
-            *(F.first(c).alias(c) for c in ("mean", "sd", "c", "s", "w")),
+            F.array(*(F.sum(F.when(far, 0.0).otherwise(p)) for p in pairs)).alias("near"), F.array(*(F.sum(F.when(far, bound / F.abs("gap") * p).otherwise(0.0)) for p in pairs)).alias("far"),
+            F.array(*(F.sum(F.when(far, F.signum("gap") * x).otherwise(0.0)) for x in one[:-1])).alias("signs"), F.count("*").alias("n"), F.count_if(far).alias("n_out"),
+            F.sum(F.when(far, 0.0).otherwise(F.col("gap") * F.col("gap"))).alias("inner"), *(F.first(c).alias(c) for c in kept_state),
         )
         state = written(got.mapInPandas(solve, fields), "huber")
         moved = state.agg(F.max("moved")).first()[0]
