@@ -30,3 +30,16 @@ def date_features(days: DataFrame, day: str = "day") -> DataFrame:
         F.exp(-F.abs(to_expiry) / 3.0).alias("near_expiry"), (F.weekday(day) == 0).cast("double").alias("monday"), (F.weekday(day) == 4).cast("double").alias("friday"),
         (F.dayofmonth(day) <= 3).cast("double").alias("month_start"), (F.col(day) == F.trunc(day, "quarter")).cast("double").alias("quarter_start"),
     )
+
+
+def date_encoding(days: DataFrame, day: str = "day") -> DataFrame:
+    """Eleven smooth encodings of a date."""
+    dow, dom = F.weekday(day), F.dayofmonth(day)
+    cycles = {"dow": (dow, 5.0), "dom": (dom, 30.5), "moy": (F.month(day), 12.0)}
+    waves = [c.alias(f"{n}_{f}") for n, (x, p) in cycles.items() for f, c in zip(("sin", "cos"), cyclic(x, p))]
+    to_expiry = F.datediff(third_friday(F.col(day)), day)
+    return days.select(
+        day, *waves, F.least(F.greatest((dom - 1) / 29.0, F.lit(0.0)), F.lit(1.0)).alias("month_position"),
+        F.least(F.datediff(day, F.trunc(day, "quarter")) / 91.0, F.lit(1.0)).alias("quarter_position"), F.exp(-F.abs(to_expiry) / 3.0).alias("near_expiry"),
+        F.exp(-dow / 2.0).alias("near_monday"), F.exp(-(4 - dow) / 2.0).alias("near_friday"),
+    )

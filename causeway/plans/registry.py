@@ -27,7 +27,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from causeway.plans import extra, final, learning, market, more, portfolio, recursions, rules  # noqa: F401
+    from causeway.plans import extra, features, final, learning, market, more, portfolio, recursions, rules  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -21,6 +21,24 @@ def scan(spark: SparkSession, path: str, columns: list[str] | None = None, time:
     return df.select(*columns) if columns else df
 
 
+def inventory(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
+    """source, present, n_files, n_bytes and n_rows of each Parquet source of a folder; one that is missing is a row as well.
+
+    Files and their sizes come from the metadata that Spark's scan gives with each row, of no column's contents.
+    """
+    hadoop, out = spark._jsparkSession.sessionState().newHadoopConf(), None
+    for name in names:
+        path = f"{folder}/{name}.parquet"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        row = spark.range(1).select(F.lit(name).alias("source"), F.lit(False).alias("present"), *(F.lit(0).cast("long").alias(c) for c in ("n_files", "n_bytes", "n_rows")))
+        if where.getFileSystem(hadoop).exists(where):
+            files = spark.read.parquet(path).select("_metadata.file_path", "_metadata.file_size").groupBy("file_path").agg(F.first("file_size").alias("size"), F.count("*").alias("n"))
+            total = [F.count("*").alias("n_files"), *(F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in (("size", "n_bytes"), ("n", "n_rows")))]
+            row = files.agg(*total).select(F.lit(name).alias("source"), F.lit(True).alias("present"), "n_files", "n_bytes", "n_rows")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

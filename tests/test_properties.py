@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 from statistics import NormalDist
 
 import numpy as np
@@ -283,3 +284,11 @@ def test_exits_of_all_kinds_whatever_the_days_between_prices(spark):
     got = portfolio.exits(spark.createDataFrame(trades, "signal_id long, symbol string, entry_day date"), path, 0.1, 0.05, 14)
     assert {r.signal_id: (r.why, r.exit_day) for r in got.collect()} == {
         1: ("tp", day(14)), 2: ("sl", day(14)), 3: ("time_stop", day(7 * 15)), 4: ("end_of_data", day(7)), 5: ("no_data", None), 6: ("no_data", None)}
+
+
+def test_inventory(spark):
+    got = {r.source: r for r in store.inventory(spark, "/root/testdata/sf0.001", ["orders", "nation", "quotes"]).collect()}
+    for name in ("orders", "nation"):
+        path = f"/root/testdata/sf0.001/{name}.parquet"
+        assert (got[name].present, got[name].n_files, got[name].n_bytes, got[name].n_rows) == (True, 1, os.path.getsize(path), spark.read.parquet(path).count())
+    assert tuple(got["quotes"])[1:] == (False, 0, 0, 0)
