@@ -17,12 +17,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 class FourierMap:
-    """Random Fourier features of a Matern kernel: sqrt(2 / D) cos(x W + b), W multivariate t with 2 nu degrees."""
+    """Random Fourier features of a Matern kernel: sqrt(2 / D) cos(x W + b).
 
-    def __init__(self, dim: int, features: int = 128, nu: float = 1.5, length: float = 1.0, seed: int = 0):
+    ``sampler`` says how frequencies are drawn: "multivariate" t with 2 nu degrees (that of the kernel), "independent" t in each
+    dimension, or "unscaled", a normal over the root of a gamma draw, without the factor sqrt(2 nu).
+    """
+
+    def __init__(self, dim: int, features: int = 128, nu: float = 1.5, length: float = 1.0, seed: int = 0, sampler: str = "multivariate"):
         rng = np.random.default_rng(seed)
         z = rng.standard_normal((dim, features))
-        self.w = z / np.sqrt(rng.chisquare(2 * nu, features) / (2 * nu)) / length
+        shape = {"multivariate": features, "independent": (dim, features), "unscaled": features}[sampler]
+        spread = np.sqrt(rng.chisquare(2 * nu, shape) / (1.0 if sampler == "unscaled" else 2 * nu))
+        self.w = z / spread / length
         self.b = rng.uniform(0, 2 * np.pi, features)
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
@@ -47,6 +53,22 @@ class TensorSketch:
         return np.fft.irfft(out[0] * out[1], self.n, axis=1)
 
 
+class TwoLevel:
+    """Fast features beside their product with slow ones: [fast, sqrt(beta) sketch(fast, sqrt(gate) slow)], times an event gate.
+
+    Its input holds ``n_fast`` fast columns, then the slow ones, the gate of the slow level and the gate of the row. A fast map of
+    D features and a sketch of M give D + M.
+    """
+
+    def __init__(self, n_fast: int, fast: Callable, slow: Callable, sketch: TensorSketch, beta: float = 1.0):
+        self.n_fast, self.fast, self.slow, self.sketch, self.beta = n_fast, fast, slow, sketch, beta
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        fast = self.fast(x[:, : self.n_fast])
+        slow = self.slow(x[:, self.n_fast : -2]) * np.sqrt(x[:, [-2]])
+        return np.column_stack([fast, math.sqrt(max(self.beta, 0.0)) * self.sketch(fast, slow)]) * x[:, [-1]]
+
+
 def matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in columns])
 

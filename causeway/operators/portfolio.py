@@ -141,7 +141,7 @@ def stress(trades: DataFrame, scenarios=SCENARIOS, risk: float = 0.01, ruin: flo
     A draw is a winner with the strategy's win rate less the scenario's cut, 5 % at least. Winners are divided by the
     volatility multiplier and losers multiplied, within [-1, 5]; the stake is ``risk`` of equity by the regime's scale.
     Draws come from digests of (scenario, strategy, draw), so each run draws the same. ``recovery`` counts trades from the
-    deepest point until equity is whole again, -1 where it never is.
+    deepest point until equity is whole again, -1 where it never is. ``sharpe`` and ``worst_day`` are those of the path's returns.
     """
     table = trades.sparkSession.createDataFrame(scenarios, "scenario string, vol double, cut double, shock double, n_trades int, regime string")
     rate = trades.groupBy("strategy").agg(F.avg((F.col("pnl_pct") > 0).cast("double")).alias("rate"), F.count_if(F.col("pnl_pct") > 0).alias("wins"), F.count_if(F.col("pnl_pct") <= 0).alias("losses"))
@@ -163,12 +163,16 @@ def stress(trades: DataFrame, scenarios=SCENARIOS, risk: float = 0.01, ruin: flo
     first = rate.crossJoin(F.broadcast(table)).select("scenario", "strategy", F.lit(0).alias("step"), "n_trades", F.lit(None).cast("double").alias("pnl"), snap(1 + F.col("shock"), 9).alias("equity"))
     peak = F.greatest(F.lit(1.0), F.max("equity").over(frame(["scenario", "strategy"], ["step"], None, 0)))
     path = steps.unionByName(first).withColumn("depth", snap(F.col("equity") / peak - 1, 9))
+    # the first return is the shock itself
+    before = F.coalesce(F.lag("equity").over(ordered(["scenario", "strategy"], ["step"])), F.lit(1.0))
+    path = path.withColumn("ret", F.col("equity") / before - 1)
     deepest = F.min(F.struct("depth", "step")).over(frame(["scenario", "strategy"], ["step"], None, None))
     path = path.withColumn("low", deepest)
     back = F.min(F.when((F.col("step") >= F.col("low.step")) & (F.col("equity") >= 1), F.col("step") - F.col("low.step")))
     return path.groupBy("scenario", "strategy").agg(
         F.max("n_trades").alias("n_trades"), (F.max_by("equity", "step") - 1).alias("total"), F.min("depth").alias("max_drawdown"),
         (F.min("depth") > ruin).alias("survived"), F.min("pnl").alias("worst"), F.coalesce(back, F.lit(-1)).cast("int").alias("recovery"),
+        F.min("ret").alias("worst_day"), F.when(F.stddev_pop("ret") > 1e-12, F.avg("ret") / F.stddev_pop("ret") * F.sqrt(F.lit(252.0))).otherwise(0.0).alias("sharpe"),
     )
 
 

@@ -168,6 +168,25 @@ def combiner_weights(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
+#: The kernel of two levels: two fast columns, a slow one, its gate and the row's.
+LEVELS = learning.TwoLevel(2, learning.FourierMap(2, 24), learning.FourierMap(1, 12, nu=0.5, seed=1, sampler="independent"), learning.TensorSketch(24, 12, 48), 0.5)
+TWO_LEVEL = staged.Kernel("levels", ("z", "mom5", "vol", "gate", "open"), LEVELS)
+
+
+def gated(spark: SparkSession, sf: str) -> DataFrame:
+    """Features with the gate of momentum, and rows within a day of the first and the fifteenth of a month shut."""
+    gate = 1 / (1 + F.exp(-rolling.causal_z("mom5", KEYS, DAY)))
+    shut = (F.dayofmonth("day") <= 2) | F.dayofmonth("day").between(14, 16)
+    return features(spark, sf).withColumn("gate", gate).withColumn("open", F.when(shut, 0.0).otherwise(1.0))
+
+
+@register("two_level_walk_forward")
+def two_level_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-sample predictions of one kernel over fast features and their gated product with slow ones, by symbol."""
+    pred, _ = staged.stage_one(gated(spark, sf), [TWO_LEVEL], "y", KEYS, DAY, penalty=0.1, half_life=500.0, mean_one=True)
+    return pred.select("symbol", "day", "split", "y", "open", F.col("pred_levels").alias("pred"))
+
+
 @register("nested_validation")
 def nested_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-sample predictions whose length scale and penalty inner folds chose in each split, and these choices."""

@@ -264,20 +264,22 @@ g as (select scenario, p.strategy, step, n_trades, shock, case regime when 'high
 e as (select scenario, strategy, step, n_trades, pnl, {s('(1 + shock) * exp(sum(ln(1 + stake * pnl)) over (partition by scenario, strategy order by step))', 9)} as equity from g
   union all select scenario, strategy, 0, n_trades, null, {s('1 + shock', 9)} from r cross join z),
 h as (select *, {s('equity / greatest(1.0::double, max(equity) over (partition by scenario, strategy order by step)) - 1', 9)} as depth from e),
-l as (select *, arg_min(step, (depth, step)) over (partition by scenario, strategy) as low from h)
+l as (select *, arg_min(step, (depth, step)) over (partition by scenario, strategy) as low, equity / coalesce(lag(equity) over (partition by scenario, strategy order by step), 1.0::double) - 1 as ret from h)
 select scenario, strategy, max(n_trades) as n_trades, {s('max_by(equity, step) - 1')} as total, {s('min(depth)')} as max_drawdown, min(depth) > -0.5 as survived, {s('min(pnl)')} as worst,
-  cast(coalesce(min(step - low) filter (where step >= low and equity >= 1), -1) as integer) as recovery from l group by 1, 2"""
+  cast(coalesce(min(step - low) filter (where step >= low and equity >= 1), -1) as integer) as recovery,
+  {s('min(ret)')} as worst_day, {s('case when stddev_pop(ret) > 1e-12 then avg(ret) / stddev_pop(ret) * sqrt(252.0::double) else 0.0::double end', 4)} as sharpe from l group by 1, 2"""
 
 
 @register("stress", stress_sql(portfolio.SCENARIOS))
 def stress(spark: SparkSession, sf: str) -> DataFrame:
-    return snapped(portfolio.stress(views.trades(spark, sf)), "scenario", "strategy", "n_trades", "survived", "recovery", total="total", max_drawdown="max_drawdown", worst="worst")
+    x = portfolio.stress(views.trades(spark, sf)).withColumn("sharpe", snap(F.col("sharpe"), 4))
+    return snapped(x, "scenario", "strategy", "n_trades", "survived", "recovery", "sharpe", total="total", max_drawdown="max_drawdown", worst="worst", worst_day="worst_day")
 
 
 @register("stress_before_release", stress_sql(portfolio.RELEASE_SCENARIOS))
 def stress_before_release(spark: SparkSession, sf: str) -> DataFrame:
-    x = portfolio.stress(views.trades(spark, sf), portfolio.RELEASE_SCENARIOS)
-    return snapped(x, "scenario", "strategy", "n_trades", "survived", "recovery", total="total", max_drawdown="max_drawdown", worst="worst")
+    x = portfolio.stress(views.trades(spark, sf), portfolio.RELEASE_SCENARIOS).withColumn("sharpe", snap(F.col("sharpe"), 4))
+    return snapped(x, "scenario", "strategy", "n_trades", "survived", "recovery", "sharpe", total="total", max_drawdown="max_drawdown", worst="worst", worst_day="worst_day")
 
 
 @register("alpha_beta", EXT + f""", g as (select symbol, cast(date_trunc('week', day) as date) as week, max_by(close, day) as c, max_by(index_close, day) filter (where index_close is not null) as i from j group by 1, 2),

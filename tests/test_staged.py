@@ -333,3 +333,37 @@ def test_gate_is_that_of_the_past(spark):
             assert got[m[t].day] == pytest.approx(1 / (1 + math.exp(-phi[t] @ coef)), abs=1e-6)
             count += 1
     assert count == len(got)
+
+
+def test_two_levels(spark):
+    """The features spelled out, and the query's predictions from rows refitted by split."""
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=(40, 3)), rng.random(40), rng.integers(0, 2, 40)])
+    fast, slow, sketch = plans.LEVELS.fast(x[:, :2]), plans.LEVELS.slow(x[:, 2:3]), plans.LEVELS.sketch
+    product = np.zeros((40, 48))
+    for i in range(24):
+        for j in range(12):
+            product[:, (sketch.place[0][i] + sketch.place[1][j]) % 48] += sketch.sign[0][i] * sketch.sign[1][j] * fast[:, i] * slow[:, j]
+    want = np.column_stack([fast, math.sqrt(0.5) * np.sqrt(x[:, [3]]) * product]) * x[:, [4]]
+    assert np.allclose(plans.LEVELS(x), want)
+    rows = {}
+    for r in plans.gated(spark, SF).orderBy("symbol", "day").collect():
+        rows.setdefault(r.symbol, []).append(r)
+    got = {(r.symbol, r.day): r.pred for r in registry.queries()["two_level_walk_forward"](spark, SF).collect()}
+    want = {(k, d): p for k, own in rows.items() for d, p in refitted(own, plans.TWO_LEVEL, 0.1, 500.0, True).items()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-7) for k in got)
+    assert any(r.open == 0 for r in rows["S1"]) and all(got[k, r.day] == 0 for k, own in rows.items() for r in own if r.open == 0 and (k, r.day) in got)
+
+
+def test_samplers():
+    """Frequencies of each kind have the spread that they should."""
+    n, nu = 200_000, 4.0
+    multivariate, independent, unscaled = (staged.FourierMap(2, n, nu, 2.0, 0, s).w for s in ("multivariate", "independent", "unscaled"))
+    t = 2 * nu / (2 * nu - 2)  # the variance of t with 2 nu degrees
+    assert multivariate.var(1) == pytest.approx([t / 4] * 2, rel=0.03) and independent.var(1) == pytest.approx([t / 4] * 2, rel=0.03)
+    assert unscaled.var(1) == pytest.approx([t / 4 / (2 * nu)] * 2, rel=0.03)
+    # one draw of the spread for all dimensions ties their sizes; independent ones are not tied
+    tied = lambda w: np.corrcoef(w[0] ** 2, w[1] ** 2)[0, 1]
+    assert tied(multivariate) > 0.1 and abs(tied(independent)) < 0.05
+    with pytest.raises(KeyError):
+        staged.FourierMap(2, 4, sampler="other")
