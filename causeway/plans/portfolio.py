@@ -344,15 +344,20 @@ def bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return resampling.bootstrap(views.trades(spark, sf), ["strategy"], ["exit_day", "signal_id"], "pnl_pct", 1000)
 
 
-KALMAN = RETURNS.replace("with ", "with recursive ", 1) + f""",
-q as materialized (select symbol, day, close, coalesce(ret, 0.0::double) as x, row_number() over (partition by symbol order by day) as n,
-  greatest(0.1 * var_pop(coalesce(ret, 0.0::double)) over (partition by symbol order by day rows unbounded preceding), 1e-12) as q from r),
+def kalman_sql(source: str, x: str) -> str:
+    """q, k and z: the adaptive filter f of ``x`` over ``source`` (symbol, day), and its score against the 100 rows before."""
+    return f"""
+q as materialized (select symbol, day, {x} as x, row_number() over (partition by symbol order by day) as n,
+  greatest(0.1 * var_pop({x}) over (partition by symbol order by day rows unbounded preceding), 1e-12) as q from {source}),
 k as (select symbol, n, x as f, cast((1.0 - (1.0 + q) / (1.0 + q + 1e-12)) * (1.0 + q) as double) as p, [0.0::double] as seen from q where n = 1 union all
   select symbol, n, f + gain * (x - f), (1 - gain) * p, seen from (
     select symbol, n, x, f, p, seen, p / (p + list_aggregate(seen, 'var_pop') + 1e-12) as gain from (
       select q.symbol, q.n, q.x, k.f, k.p + q.q as p, list_append(case when len(k.seen) = 50 then k.seen[2:] else k.seen end, q.x - k.f) as seen from k join q on q.symbol = k.symbol and q.n = k.n + 1))),
-z as materialized (select k.symbol, q.day, k.n, close, x, k.f, {s(f"case when count(k.f) over w = 100 then case when stddev_pop(k.f) over w > 1e-12 then (k.f - avg(k.f) over w) / stddev_pop(k.f) over w else 0.0::double end end")} as score
+z as materialized (select k.symbol, q.day, k.n, x, k.f, {s(f"case when count(k.f) over w = 100 then case when stddev_pop(k.f) over w > 1e-12 then (k.f - avg(k.f) over w) / stddev_pop(k.f) over w else 0.0::double end end")} as score
   from k join q on k.symbol = q.symbol and k.n = q.n window w as (partition by k.symbol order by k.n rows between 100 preceding and 1 preceding))"""
+
+
+KALMAN = RETURNS.replace("with ", "with recursive ", 1) + "," + kalman_sql("r", "coalesce(ret, 0.0::double)")
 HELD = "case when score is null then was when was <> 0 and abs(score) < 0.5 then 0.0::double when was = 0 or {w} * was < 0 then {w} else was end".format(
     w="(case when abs(score) > 2 then -sign(score) * least(abs(score) / 2, 1.0::double) else 0.0::double end)"
 )

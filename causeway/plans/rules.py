@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from causeway.functions.columns import frame, month_number, ordered, signed, snap
 from causeway.operators import bars, rolling, signals
 from causeway.plans.market import BAR_C, DAY, RESET, RESET_BARS, RETURNS, returns, rows, snapped
+from causeway.plans.portfolio import kalman_sql
 from causeway.plans.registry import register
 from causeway.sources import views
 from causeway.sources.views import KEYS, sql_snap as s, with_views
@@ -60,6 +61,33 @@ def regime_positions(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("symbol", "day", "score", "position", signals.flat_at_first("at_size", KEYS, "day", WARM_UP).alias("sized"))
 
 
+VOLATILITY = RETURNS.replace("with ", "with recursive ", 1) + f""",
+v as (select symbol, day, case when count(ret) over {rows(-19, 0)} = 20 then ln(stddev_pop(ret) over {rows(-19, 0)} + 1e-8) end as x from r), w as (select * from v where x is not null),""" + kalman_sql("w", "x") + f""",
+d as materialized (select *, coalesce(f - lag(f) over (partition by symbol order by n), 0.0::double) as step from z),
+e as (select symbol, n, step as slope from d where n = 1 union all select d.symbol, d.n, e.slope + 2.0::double / 11 * (d.step - e.slope) from e join d on d.symbol = e.symbol and d.n = e.n + 1),
+y as materialized (select d.symbol, day, d.n, coalesce(score, 0.0::double) as score, cast(-sign({s('slope', 10)}) as double) as dir,
+  least(2.0::double, greatest(0.25::double, quantile_cont(exp(f), 0.5) over (partition by d.symbol order by d.n rows between 251 preceding and current row) / (exp(f) + 1e-8))) as scale from d join e on d.symbol = e.symbol and d.n = e.n),
+p as (select symbol, n, cast({CALM_STEP} as double) as pos, cast({CALM_STEP} as double) <> 0 as held from (select *, 0.0::double as was, false as held from y where n = 1)
+  union all select symbol, n, cast({CALM_STEP} as double), cast({CALM_STEP} as double) <> 0 from (select y.*, p.pos as was, p.held as held from p join y on y.symbol = p.symbol and y.n = p.n + 1))"""
+
+
+@register("volatility_positions", VOLATILITY + f""" select y.symbol, day, score, dir, pos as position, {s('pos * scale')} as sized from y join p on y.symbol = p.symbol and y.n = p.n""")
+def volatility_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Long while filtered volatility falls and short while it rises, as long as it is low; sized by its median over it.
+
+    The volatility of 20 days is filtered in logs; its steps are smoothed over ten rows. The median is that of the last year.
+    """
+    f = frame(KEYS, DAY, -19, 0)
+    v = returns(spark, sf).withColumn("x", F.when(F.count("ret").over(f) == 20, F.log(F.stddev_pop("ret").over(f) + 1e-8)))
+    k = signals.kalman(v.where("x is not null").select("symbol", "day", "x"), "x", KEYS, DAY)
+    k = k.withColumn("score", F.coalesce(snap(signals.score_of("filtered", KEYS, DAY, 100)), F.lit(0.0))).withColumn("step", rolling.diff("filtered", KEYS, DAY))
+    level = F.exp("filtered")
+    scale = F.least(F.lit(2.0), F.greatest(F.lit(0.25), F.percentile(level, 0.5).over(frame(KEYS, DAY, -251, 0)) / (level + 1e-8)))
+    k = rolling.ema(k.withColumn("scale", scale), "step", KEYS, DAY, 10, "slope", F.year("day")).withColumn("dir", F.lit(0.0) - F.signum(snap(F.col("slope"), 10)))
+    p = signals.regime_positions(k, "score", "dir", KEYS, DAY, block=F.year("day"))
+    return p.select("symbol", "day", "score", "dir", "position", snap(F.col("position") * F.col("scale")).alias("sized"))
+
+
 @register("end_of_day_positions", "with " + RESET_BARS + f""", b as (select symbol, bar_id, close_seq, cast(sign(bar_return) as double) as pos from bar),
 d as (select b.symbol, t.day, max_by(pos, bar_id) as position, count(*) as n_bars from b join tape t on t.symbol = b.symbol and t.seq = b.close_seq group by 1, 2)
 select symbol, day, position, n_bars from d""")
