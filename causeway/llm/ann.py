@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by a robust-pruned directed graph for each shard of vectors.
 
-Vectors are normalised, equal ones share one node, and nodes are dealt to shards of bounded size by a hash. In each
-shard, batches of growing size are inserted: a greedy beam search from the medoid proposes neighbours, and pruning
+Equal vectors are one row, and rows are dealt to shards of bounded size by a hash. In each shard, rows of one direction
+share a node, and batches of growing size are inserted: a greedy beam search from the medoid proposes neighbours, and pruning
 keeps a candidate only if no kept one is closer to it by the relaxed factor ``alpha``, so that edges stay diverse.
 Queries visit every shard by beam search; the scores of what they find are taken again on the original vectors in
-double precision, and each query's best are kept over all shards.
+double precision, and each query's best are kept over all shards. A node that no path leads to is found with the nearest
+node that has one.
 
 Every vector is indexed. ``beam`` bounds the candidates held in a search, the method's own accuracy parameter; recall
 against brute force is measured in the tests.
@@ -88,6 +89,21 @@ class Graph:
         order = np.argsort(dist, 1, kind="stable")
         return np.take_along_axis(nodes, order, 1), np.take_along_axis(dist, order, 1)
 
+    def homes(self) -> np.ndarray:
+        """The node by which each node is found: itself, or the nearest one met where no path leads to it."""
+        met = np.zeros(len(self.x), bool)
+        front = np.array([self.start])
+        while len(front):
+            met[front] = True
+            near = np.unique(self.edges[front])
+            front = near[near >= 0]
+            front = front[~met[front]]
+        home, lost = np.arange(len(self.x)), np.flatnonzero(~met)
+        for lo in range(0, len(lost), 512):
+            part = lost[lo : lo + 512]
+            home[part] = self.search(self.x[part], self.beam)[0][:, 0]
+        return home
+
     def _prune(self, points: np.ndarray, pool: np.ndarray) -> np.ndarray:
         """The kept neighbours of each point out of its row of ``pool`` (-1: none), nearest first."""
         pool = np.sort(pool, 1)
@@ -174,6 +190,12 @@ def unit(m: np.ndarray) -> np.ndarray:
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
+def cosine(m: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The cosine of each row with ``q``, rounded once from extended precision, so that colinear vectors tie."""
+    m, q = m.astype(np.longdouble), q.astype(np.longdouble)
+    return ((m * q).sum(1) / (np.sqrt((m * m).sum(1)) * np.sqrt((q * q).sum()))).astype(np.float64)
+
+
 def pack_arrays(**arrays: np.ndarray) -> bytes:
     out = io.BytesIO()
     np.savez(out, **arrays)
@@ -190,9 +212,11 @@ def build_index(
     alpha: float = 1.2,
     shard_nodes: int = SHARD_NODES,
 ) -> DataFrame:
-    """One row for each shard and vector length: shard int, most_ids int, graph binary (unit vectors, ids, edges, start).
+    """One row for each shard and vector length: shard int, most_ids int, graph binary (vectors, ids, nodes, edges, start).
 
-    A node keeps the ``most_ids`` smallest ids of its equal vectors: as many as a search for one less can return.
+    Vectors of one direction, in single precision, share a node, which a search expands to all of them: edges between
+    equal points would leave some without a path. A row keeps the ``most_ids`` smallest ids of its equal vectors: as many
+    as a search for one less can return.
     """
     usable_rows = usable(vectors, id_col, vector_col)
     shards = max(1, -(-usable_rows.count() // shard_nodes))
@@ -200,12 +224,17 @@ def build_index(
     def build(frame: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for _, part in frame.groupby(frame["vector"].map(len)):
-            x = unit(np.stack(part["vector"].to_numpy()))
-            ids = np.full((len(x), most_ids), -1, np.int64)
+            vectors = np.stack(part["vector"].to_numpy())
+            ids = np.full((len(vectors), most_ids), -1, np.int64)
             for i, own in enumerate(part["ids"]):
                 ids[i, : len(own)] = own
-            graph = Graph(x.astype(np.float32), degree, beam, alpha)
-            rows.append((int(part["shard"].iat[0]), most_ids, pack_arrays(x=x, ids=ids, edges=graph.edges, start=np.array(graph.start))))
+            nodes, node = np.unique(unit(vectors).astype(np.float32), axis=0, return_inverse=True)
+            graph = Graph(nodes, degree, beam, alpha)
+            home = graph.homes()[node.ravel()]
+            order = np.argsort(home, kind="stable")
+            first = np.searchsorted(home[order], np.arange(len(nodes) + 1))
+            arrays = dict(vectors=vectors[order], ids=ids[order], nodes=nodes, first=first, edges=graph.edges, start=np.array(graph.start))
+            rows.append((int(part["shard"].iat[0]), most_ids, pack_arrays(**arrays)))
         return pd.DataFrame(rows, columns=["shard", "most_ids", "graph"])
 
     shard = F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int").alias("shard")
@@ -243,17 +272,20 @@ def nearest(
         found = []
         for blob in graphs["graph"]:
             held = np.load(io.BytesIO(blob))
-            x, ids = held["x"], held["ids"]
-            q = asks[asks["vector"].map(len) == x.shape[1]]
+            vectors, ids, first = held["vectors"], held["ids"], held["first"]
+            q = asks[asks["vector"].map(len) == vectors.shape[1]]
             if not len(q):
                 continue
-            graph = Graph.of(x.astype(np.float32), held["edges"], int(held["start"]))
-            y, own = unit(np.stack(q["vector"].to_numpy())), q["vec_id"].to_numpy()
+            graph = Graph.of(held["nodes"], held["edges"], int(held["start"]))
+            asked_for, own = np.stack(q["vector"].to_numpy()), q["vec_id"].to_numpy()
+            y = unit(asked_for).astype(np.float32)
             for lo in range(0, len(y), 512):
-                met, _ = graph.search(y[lo : lo + 512].astype(np.float32), max(beam, k + 1))
+                met, _ = graph.search(y[lo : lo + 512], max(beam, k + 1))
                 for j, row in enumerate(met, lo):
                     row = row[row >= 0]
-                    score = np.repeat(x[row] @ y[j], ids.shape[1])
+                    count = first[row + 1] - first[row]
+                    row = np.repeat(first[row] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    score = np.repeat(cosine(vectors[row], asked_for[j]), ids.shape[1])
                     near = ids[row].ravel()
                     keep = (near >= 0) & (near != own[j])
                     score, near = score[keep], near[keep]

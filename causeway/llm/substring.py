@@ -378,18 +378,31 @@ def repeats(docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_
     return found.withColumn("place", F.rank().over(place)).where("known or place > 1").select("doc_id", "start", "n")
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    held = {c.lower() for c in taken}
+    while name in held:
+        name += "_"
+    return name
+
+
 def substring_dedup(
     docs: DataFrame, k: int = 20, gram: int = 8, most_cells: int = MOST_CELLS
 ) -> DataFrame:
-    """``docs`` without repeated passages: ``text`` less the words dropped; adds n_words and n_removed."""
+    """``docs`` without repeated passages: ``text`` less the words dropped; adds n_words and n_removed.
+
+    Other columns are kept, whatever their names; columns named n_words or n_removed are replaced.
+    """
     lean_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c not in ("n_words", "n_removed", "sd_id", "sd_runs")]
-    runs = repeats(docs, k, gram, most_cells).groupBy(F.col("doc_id").alias("sd_id")).agg(
-        F.collect_list(F.struct("start", "n")).alias("sd_runs")
+    rest = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed")]
+    id_name, runs_name = free_name("sd_id", rest), free_name("sd_runs", rest)
+    runs = repeats(docs, k, gram, most_cells).groupBy(F.col("doc_id").alias(id_name)).agg(
+        F.collect_list(F.struct("start", "n")).alias(runs_name)
     )
-    joined = docs.select(*rest).join(runs, F.col("doc_id").cast("long") == F.col("sd_id"), "left").drop("sd_id")
+    kept = docs.select(*("`" + c.replace("`", "``") + "`" for c in rest))
+    joined = kept.join(runs, F.col("doc_id").cast("long") == F.col(id_name), "left").drop(id_name)
     text_at, runs_at = rest.index("text"), len(rest)
-    schema = joined.drop("sd_runs").schema.add("n_words", "long").add("n_removed", "long")
+    schema = joined.drop(runs_name).schema.add("n_words", "long").add("n_removed", "long")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,4 +1,5 @@
 import math
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -66,3 +67,22 @@ def test_an_index_with_too_few_ids_is_an_error(spark):
         ann.nearest(ann.build_index(vectors), vectors, k=6)
     got = ann.nearest(ann.build_index(vectors, most_ids=8), vectors.where("vec_id = 3"), k=7).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 4, 5, 6, 7]
+
+
+def test_colinear_vectors_tie_and_scale_does_not_matter(spark):
+    base = [1.0, 2.0, 3.0]
+    rows = [(50, [2.0, 1.0, 5.0])] + [(i, [i * c for c in base]) for i in (3, 7, 11, 13, 49)]
+    rows += [(100, [3e200, 6e200, 9e200]), (101, [3e-200, 6e-200, 9e-200])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(ann.build_index(vectors), vectors.where("vec_id = 50"), k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [3, 7, 11, 13, 49]
+    assert {r.score for r in got} == {float(Decimal(19) / Decimal(14 * 30).sqrt())}
+    far = ann.nearest(ann.build_index(vectors), vectors.where("vec_id = 100"), k=5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in far] == [(i, 1.0) for i in (3, 7, 11, 13, 49)]
+
+
+def test_clashing_columns(spark):
+    rows = [(i, [1.0, float(i)], "x", 1) for i in range(4)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string, rank int")
+    got = ann.nearest(ann.build_index(vectors), vectors.where("vec_id = 0"), k=2).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2)]

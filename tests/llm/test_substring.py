@@ -122,3 +122,15 @@ def test_long_words_of_one_pattern_are_told_apart(spark):
     rows = [(1, f"{head} {word}"), (2, f"{head} {word.translate(str.maketrans('ab', 'ba'))}")]
     got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.n_removed for r in got] == [0, 0]
+
+
+def test_clashing_columns_are_kept(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, words, "a", 1.5, "x", 7, "t"), (2, words, "b", 2.5, "y", 8, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sd_id string, `a.b` double, sd_runs string, n_words int, of string")
+    for cells in (substring.MOST_CELLS, 1 << 10):
+        got = substring.substring_dedup(docs, k=20, most_cells=cells)
+        assert got.columns == ["doc_id", "text", "sd_id", "a.b", "sd_runs", "of", "n_words", "n_removed"]
+        assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [
+            (1, words, "a", 1.5, "x", "t", 30, 0), (2, "", "b", 2.5, "y", "u", 30, 30)
+        ]
