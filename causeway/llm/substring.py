@@ -444,4 +444,5 @@ def substring_dedup(
             arrays += [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*rest, "n_words", "n_removed"])
 
-    return joined.mapInArrow(drop, schema)
+    # by place: the names may hold dots
+    return joined.toDF(*(f"c{i}" for i in range(len(joined.columns)))).mapInArrow(drop, schema)
