@@ -25,6 +25,17 @@ def reaches(daily: DataFrame, bars: DataFrame, day: str, most_days: int = 5) ->
     return ends.select("*", (F.datediff("bar_end", "daily_end") <= most_days).alias("reaches"))
 
 
+def degenerate(df: DataFrame, target: str, keys: list[str], subset: Column | None = None, least_sd: float = 1e-10, most_zeros: float = 0.9) -> DataFrame:
+    """By key n, sd and zeros (share) of a target over the rows of ``subset``, and the reason why it cannot be learnt, null if it can.
+
+    Nulls are no values. A key without values is ``empty``; ``enforce`` on rows with a reason makes an error of them.
+    """
+    y = F.col(target) if subset is None else F.when(subset, F.col(target))
+    found = df.groupBy(*keys).agg(F.count(y).alias("n"), F.stddev_pop(y).alias("sd"), F.avg(F.when(y.isNotNull(), (F.abs(y) < 1e-12).cast("double"))).alias("zeros"))
+    reason = F.when(F.col("n") == 0, "empty").when(F.col("sd") < least_sd, "constant").when(F.col("zeros") > most_zeros, "zeros")
+    return found.withColumn("reason", reason)
+
+
 def enforce(report: DataFrame, bad: Column, message: str) -> None:
     row = report.where(bad).head()
     if row is not None:

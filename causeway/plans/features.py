@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from causeway.functions.columns import frame, month_number, ordered, snap
-from causeway.operators import bars, book, events, rolling
-from causeway.plans.market import BAR_C, BVC, RESET_BARS, bar_rows
+from causeway.operators import bars, book, contracts, events, rolling
+from causeway.plans.market import BAR_C, BVC, DAY, RESET_BARS, RETURNS, bar_rows, returns, rows, with_index
 from causeway.plans.registry import register
 from causeway.sources import store, views
 from causeway.sources.views import KEYS, sql_snap as s, with_views
@@ -84,6 +84,38 @@ def toxicity_vector(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("symbol", "bar_id", *(snap(F.col(c)).alias(n) for c, n in (("vpin", "vpin"), ("d_vpin", "d_vpin"), ("intra_vol", "bar_volatility"), ("relative_volume", "relative_volume"))))
 
 
+@register("degenerate_folds", RETURNS + f""", y as (select symbol, cast(year(day) as integer) as fold, case when abs(ret) > 0.01 then ret else ret * 0 end as y from r where month(day) > 1)
+select symbol, fold, count(y) as n, {s('stddev_pop(y)')} as sd, {s('avg(case when abs(y) < 1e-12 then 1.0::double when y is not null then 0.0::double end)')} as zeros,
+  case when count(y) = 0 then 'empty' when stddev_pop(y) < 1e-10 then 'constant' when avg(case when abs(y) < 1e-12 then 1.0::double when y is not null then 0.0::double end) > 0.9 then 'zeros' end as reason from y group by 1, 2""")
+def degenerate_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether large moves, all others counting as 0, can be learnt in each year of each symbol, its first month left out."""
+    r = returns(spark, sf).where(F.month("day") > 1).withColumn("fold", F.year("day")).withColumn("y", F.when(F.abs("ret") > 0.01, F.col("ret")).otherwise(F.col("ret") * 0))
+    got = contracts.degenerate(r, "y", ["symbol", "fold"])
+    return got.select("symbol", "fold", "n", snap(F.col("sd")).alias("sd"), snap(F.col("zeros")).alias("zeros"), "reason")
+
+
+PREMIUM = "premium term doy_sin doy_cos dow_sin dow_cos mom5 mom21 ln_iv ln_pcr".split()
+PAST = "(partition by symbol order by day rows unbounded preceding)"
+DAY_Z = lambda x: s(f"case when row_number() over {PAST} <= 20 then 0.0::double else ({x} - avg({x}) over {PAST}) / (stddev_pop({x}) over {PAST} + 1e-8) end", 4)
+
+
+@register("premium_vector", with_views("daily", "ext_daily", "chain") + f""", oi as (select symbol, day, sum(case lower(trim(type)) when 'call' then 0.0::double else open_interest end) / (sum(case lower(trim(type)) when 'call' then open_interest else 0.0::double end) + 1e-8) as pcr from chain group by 1, 2),
+j as (select d.*, e.vix, case when pcr > 0 then pcr end as pcr from daily d left join ext_daily e on d.day = e.day left join oi on d.symbol = oi.symbol and d.day = oi.day),
+r as (select *, ln(close / lag(close) over (partition by symbol order by day)) as ret from j),
+v as (select *, stddev_pop(ret) over {rows(-30, -1)} * sqrt(252.0::double) as rv30, row_number() over (partition by symbol order by day) as n,
+  close / lag(close, 5) over (partition by symbol order by day) - 1 as mom5, close / lag(close, 21) over (partition by symbol order by day) - 1 as mom21 from r),
+f as (select symbol, day, coalesce(vix, rv30 * 100) / 100 - rv30 as premium, 0.0::double as term, sin(dayofyear(day) * (2 * pi() / 252)) as doy_sin, cos(dayofyear(day) * (2 * pi() / 252)) as doy_cos,
+  sin((isodow(day) - 1) * (2 * pi() / 5)) as dow_sin, cos((isodow(day) - 1) * (2 * pi() / 5)) as dow_cos, mom5, mom21, ln(coalesce(vix, rv30 * 100)) as ln_iv, ln(coalesce(pcr, 0.8::double)) as ln_pcr from v where n > 30)
+select symbol, day, {', '.join(f'{DAY_Z(c)} as {c}' for c in PREMIUM)} from f""")
+def premium_vector(spark: SparkSession, sf: str) -> DataFrame:
+    """All ten features of the variance premium against their own past; puts to calls of the chain, 0.8 on days without."""
+    call = F.lower(F.trim("type")) == "call"
+    oi = views.chain(spark, sf).groupBy("symbol", "day").agg((F.sum(F.when(call, 0.0).otherwise(F.col("open_interest"))) / (F.sum(F.when(call, F.col("open_interest")).otherwise(0.0)) + 1e-8)).alias("pcr"))
+    daily = with_index(spark, sf).join(oi, ["symbol", "day"], "left").withColumn("pcr", F.when(F.col("pcr") > 0, F.col("pcr")))
+    got = rolling.variance_premium(daily, KEYS).withColumn("term", F.lit(0.0))
+    return got.select("symbol", "day", *(snap(rolling.causal_z(c, KEYS, DAY), 4).alias(c) for c in PREMIUM))
+
+
 SOURCES = "customer supplier part orders lineitem events documents embeddings pages conversations quotes".split()
 
 

@@ -292,3 +292,18 @@ def test_inventory(spark):
         path = f"/root/testdata/sf0.001/{name}.parquet"
         assert (got[name].present, got[name].n_files, got[name].n_bytes, got[name].n_rows) == (True, 1, os.path.getsize(path), spark.read.parquet(path).count())
     assert tuple(got["quotes"])[1:] == (False, 0, 0, 0)
+
+
+def test_targets_that_cannot_be_learnt(spark):
+    from causeway.operators import contracts
+
+    rows = [("a", i, float(i)) for i in range(5)] + [("b", i, 2.0) for i in range(5)] + [("c", i, 1.0 if i == 0 else 0.0) for i in range(20)]
+    rows += [("d", 0, None), ("e", 0, 1.0), ("e", 9, 3.0)]
+    df = spark.createDataFrame(rows, "k string, i int, y double")
+    got = {r.k: (r.n, r.reason) for r in contracts.degenerate(df, "y", ["k"]).collect()}
+    assert got == {"a": (5, None), "b": (5, "constant"), "c": (20, "zeros"), "d": (0, "empty"), "e": (2, None)}
+    part = {r.k: (r.n, r.reason) for r in contracts.degenerate(df, "y", ["k"], F.col("i") > 0).collect()}
+    assert part == {"a": (4, None), "b": (4, "constant"), "c": (19, "constant"), "d": (0, "empty"), "e": (1, "constant")}
+    with pytest.raises(ValueError, match="zeros"):
+        contracts.enforce(contracts.degenerate(df.where("k = 'c'"), "y", ["k"]), F.col("reason").isNotNull(), "target")
+    contracts.enforce(contracts.degenerate(df.where("k = 'a'"), "y", ["k"]), F.col("reason").isNotNull(), "target")
