@@ -86,3 +86,20 @@ def test_clashing_columns(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, vector string, rank int")
     got = ann.nearest(ann.build_index(vectors), vectors.where("vec_id = 0"), k=2).orderBy("rank").collect()
     assert [(r.query_id, r.rank, r.vec_id) for r in got] == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_every_node_has_a_home_that_a_path_leads_to():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(4, 16))
+    x = np.repeat(centres, 150, axis=0) + rng.normal(size=(600, 16)) * 1e-7
+    nodes = np.unique(ann.unit(x).astype(np.float32), axis=0)
+    graph = ann.Graph(nodes, degree=8, beam=16)
+    home = graph.homes()
+    met, front = {graph.start}, [graph.start]
+    while front:
+        near = [int(n) for n in graph.edges[front.pop()] if n >= 0 and int(n) not in met]
+        met.update(near)
+        front += near
+    assert set(home.tolist()) <= met
+    assert all(home[i] == i for i in met)
+    assert (np.abs(nodes - nodes[home]).max(1) < 1e-5).mean() > 0.9
