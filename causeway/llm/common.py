@@ -40,10 +40,13 @@ def lean_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``dropped`` deletes it."""
+    """``df`` as a table in the shared folder: cuts lineage and survives lost executors. ``dropped`` deletes it.
+
+    It gets no file that marks its end, as it is read only once it is whole.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

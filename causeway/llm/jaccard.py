@@ -20,8 +20,10 @@ den * |intersection| >= num * |union|; the result names for each text the smalle
    forests each time. So no link that could join two components is left out, and pairs grow linearly with a group of copies.
 
 Equal sets are one node from the start, so groups of copies cost one row a task. A signature that very many sets share
-is dealt to pieces by its estimate. Minima over a component are summed within tasks first and written, so that joins on a
-hot key have plain shuffles on both sides, which Spark splits at run time. Nothing but sketches, of bounded size, is broadcast.
+is dealt to pieces by its estimate. Minima over a component are summed within tasks first, by the key and its hash, so that
+joins on a hot key have plain shuffles on both sides, which Spark splits at run time. Helper tables are few, and their files
+too: where the shared folder is a local one, Hadoop starts a process for every file and folder that it makes. Nothing but
+sketches, of bounded size, is broadcast.
 
 Cases: a null text, or one without words, has no shingles and is a component of its own; repeated rows and ties are
 equal sets, and link; a null id stands for no document: its row stays, is never smallest, and names its component if it
@@ -37,7 +39,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from causeway.llm.common import U, WordHasher, dropped, lean_batches, mix, sketch_tasks, slices, string_buffers, text_bytes, written
 
@@ -53,6 +55,8 @@ BLOCK_ROWS = 4096
 LAGS = tuple(1 << i for i in range(10))
 BLOCK_CELLS = 1 << 20
 MOST_CELLS = 1 << 25
+#: Rows of a table of edges that go to one file, once there are more than one file a core.
+FILE_ROWS = 1 << 20
 BLOOM_BITS = 1 << 27
 #: Names of sets that a counting task remembers, so that equal sets count once in it.
 REMEMBERED = 1 << 18
@@ -478,34 +482,39 @@ def forest(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(join, "u long, v long")
 
 
+def by_key(rows: DataFrame, key: str, *sums: Column) -> DataFrame:
+    """``rows`` summed by ``key``, to be joined by it: dealt by its hash as well, so that the join deals the sums anew.
+
+    Sums that lie where the join wants them would be no plain shuffle, and Spark would not split the other side's hot keys.
+    """
+    return rows.groupBy(key, F.xxhash64(key).alias("dealt_by")).agg(*sums).drop("dealt_by")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (its component's least node) for all nodes with links (a, b), but for the roots themselves.
 
     Alternates two steps until nothing changes: every node hands its larger neighbours, then its smaller ones, to the
-    least among them. The least of a node's neighbours is summed within tasks first and written before it is joined back:
-    both sides of the join are then plain shuffles, which Spark splits where a node has very many neighbours.
+    least among them. Both sides of the joins with that least are plain shuffles, which Spark splits where a node has very
+    many neighbours.
     """
-    spent: list[DataFrame] = []
-
-    def held(df: DataFrame, name: str) -> DataFrame:
-        spent.append(written(df, name))
-        return spent[-1]
+    cores = links.sparkSession.sparkContext.defaultParallelism
 
     def with_least(rows: DataFrame) -> DataFrame:
-        return rows.join(held(rows.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
+        return rows.join(by_key(rows, "u", F.min("v").alias("m")), "u")
 
     edges, before = written(forest(links.select("a", "b")), "edges"), None
     while True:
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, files = now, max(cores, now[0] // FILE_ROWS)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = held(with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "large")
+        large = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        large = written(large.coalesce(files), "large")
         ends = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
-        after = written(with_least(large).select(ends).select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        dropped(edges, *spent)
-        spent.clear()
+        after = with_least(large).select(ends).select("e.u", "e.v").where("u <> v").distinct()
+        after = written(after.coalesce(files), "edges")
+        dropped(edges, large)
         edges = after
 
 
@@ -637,9 +646,9 @@ def all_linked(members: DataFrame, links: DataFrame, info: DataFrame, texts: Dat
     # what a signature of very many sets is joined to is written first, so that Spark can split it
     mixed = written(mixed, "mixed")
     left = members.join(mixed, "sig", "left_semi")
-    blocks = written(left.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
+    blocks = by_key(left, "sig", F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = written(dealt_members(left, blocks), "dealt")
-    dropped(mixed, blocks)
+    dropped(mixed)
     while True:
         met = written(crossing(dealt, roots, info, failed, rule, forests), "crossing")
         if met.isEmpty():
@@ -685,14 +694,13 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule(), lower: bool = True)
     roots = all_linked(members, links, info, texts, rule, lower)
     dropped(texts, info, nodes, near)
 
-    # the least id of each set, then of each component; both are summed within tasks first
-    # what a hot key is joined to is written first, so that Spark can split it
+    # the least id of each set, then of each component; both are summed within tasks first, and so that Spark can split
+    # what a hot key is joined to
     first = written(owners.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id")), "first")
-    linked = written(first.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node"), "linked")
-    least = written(linked.groupBy("root").agg(F.min("first_id").alias("least_id")), "least")
-    named = linked.join(least, "root").select("node", "least_id")
+    linked = first.join(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "node")
+    named = linked.join(by_key(linked, "root", F.min("first_id").alias("least_id")), "root").select("node", "least_id")
     own = written(first.join(named, "node", "left").select("node", F.coalesce("least_id", "first_id").alias("component")), "own")
-    dropped(first, linked, least)
+    dropped(first)
     return owners.join(own, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
     )

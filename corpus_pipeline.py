@@ -39,8 +39,9 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     linked = jaccard.jaccard_components(docs, jaccard.Rule(n=5, num=80, den=100))
     copies = linked.where("doc_id <> component_id").select(F.col("doc_id").alias("copy_id")).distinct()
     kept = docs.join(copies, F.col("doc_id") == F.col("copy_id"), "left_anti")
-    again = written(docs.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1 and again_id is not null").select("again_id"), "again")
+    again = docs.groupBy(F.col("doc_id").alias("again_id")).count().where("count > 1 and again_id is not null").select("again_id")
     if not again.isEmpty():
+        again = written(again, "again")
         twice = F.col("doc_id") == F.col("again_id")
         kept = kept.join(again, twice, "left_anti").unionByName(kept.join(again, twice, "left_semi").dropDuplicates(["doc_id", "text"]))
     return documents(kept)

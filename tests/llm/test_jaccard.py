@@ -215,3 +215,29 @@ def test_hot_keys_of_components_are_split(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_helper_tables_are_few_and_in_few_files(spark, monkeypatch):
+    """Where many partitions stay as they are, a round of components makes two tables, each of a file a core at most."""
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in many}
+    files, write = [], jaccard.written
+
+    def counted(df, name):
+        out = write(df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        monkeypatch.setattr(jaccard, "written", counted)
+        chains = [(i, i + 1) for i in range(4000) if i % 20]
+        links = spark.createDataFrame(chains, "a long, b long").repartition(8)
+        roots = {r.node: r.root for r in jaccard.components(links).collect()}
+        assert all(roots[b] == (b - 1) // 20 * 20 + 1 for _, b in chains)
+        assert {name for name, _ in files} == {"edges", "large"}
+        assert max(n for _, n in files) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
