@@ -103,3 +103,39 @@ def test_every_node_has_a_home_that_a_path_leads_to():
     assert set(home.tolist()) <= met
     assert all(home[i] == i for i in met)
     assert (np.abs(nodes - nodes[home]).max(1) < 1e-5).mean() > 0.9
+
+
+def test_shards_grow_with_the_root_of_the_vectors_within_memory():
+    size = [ann.shard_size(n, 64) for n in (2000, 51282, 615000, 22_000_000)]
+    assert size[0] == size[1] == ann.SHARD_NODES and size[3] == ann.MOST_NODES
+    assert 19_000 < size[2] < 22_000 and ann.shard_size(22_000_000, 4096) == 2048
+
+
+def test_a_graph_of_many_vectors_is_made_by_products_and_found_again():
+    rng = np.random.default_rng(3)
+    x = ann.unit(rng.normal(size=(6000, 32))).astype(np.float32)
+    prune = ann.Graph._prune
+    rows = []
+
+    def counted(self, points, pool, degree):
+        rows.append(len(points))
+        return prune(self, points, pool, degree)
+
+    ann.Graph._prune = counted
+    try:
+        graph = ann.Graph(x)
+    finally:
+        ann.Graph._prune = prune
+    assert sum(rows) == 2 * 6000  # near and opposite edges of each node, without a search
+    met, dist = graph.search(x[:300], 64)
+    want = np.argsort(-(x[:300] @ x.T), 1)[:, :6]
+    assert np.mean([len(set(a) & set(b[:6])) / 6 for a, b in zip(want.tolist(), met.tolist())]) >= 0.95
+    assert (met[:, 0] == np.arange(300)).all() and (np.diff(dist, axis=1) >= 0).all()
+    assert all(len(set(m)) == 64 for m in met.tolist())
+
+
+def test_an_id_of_many_vectors_does_not_hide_others(spark):
+    rows = [(50, [1.0, i / 1000]) for i in range(20)] + [(i, [1.0, float(i)]) for i in range(1, 7)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(ann.build_index(vectors), vectors.where("vec_id = 50 and embedding[1] = 0"), k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
