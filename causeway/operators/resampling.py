@@ -1,25 +1,34 @@
-"""Resampled paths of a key's profits, as Spark jobs: blocks are drawn as rows and meet pieces of the series by join.
+"""Resampled paths of a key's profits, as Spark jobs: arrays of bounded size, or blocks as rows that meet pieces of the series by join.
 
-A key's profits are numbered and cut into chunks of CHUNK, arrays. A simulation is a row of blocks (start, length); a block meets
+A key of up to HELD profits is sent, in chunks, to SLOTS tasks. Each holds it as arrays and goes through its share of the paths,
+some PLACES places at a time. What is
+shuffled is the series, SLOTS times; paths are never written.
+
+A longer key's profits are cut into chunks of CHUNK. A simulation is a row of blocks (start, length); a block meets
 the chunks that it covers, one piece each, so that rows grow with the number of blocks and not with that of profits. What a piece
 does to a path is four numbers: its sum, its highest and lowest level, and its deepest drop. Pieces of a simulation are put
-together in order by windows. No task holds a whole series, and a series of any length is dealt by chunk and by simulation.
+together in order by windows. There no task holds a whole series, and a series of any length is dealt by chunk and by simulation.
 
-Draws are hashes of (seed, key, simulation, number), so that a task that is run again draws the same.
+Draws are those of a generator seeded by (seed, key, simulation), the same in both forms, so that a task that is run again draws the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from causeway.functions.tables import written
+
 CHUNK = 256
-#: Positions that one row spreads into at a time.
-SPREAD = 1024
+#: Profits of a row of the written series, of a key that one task holds at most, and tasks over which a key's paths go.
+LONG, HELD, SLOTS = 1024, 1 << 22, 24
+#: Places of a path in numpy at a time, and blocks drawn at a time.
+PLACES, DRAWN = 1 << 15, 4096
 
 
 def uniform(*parts: Column) -> Column:
@@ -34,11 +43,42 @@ def numbered(trades: DataFrame, keys: list[str], order: list[str], pnl: str) ->
     return known.select(*keys, place.cast("long").alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n"), F.col(pnl).cast("double").alias("x"))
 
 
-def spread(df: DataFrame, n: Column, name: str) -> DataFrame:
-    """A row for each of 0 .. n - 1."""
-    wide = df.withColumn("rs_far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / SPREAD))))
-    last = F.least(F.col("rs_far") * SPREAD + SPREAD, n) - 1
-    return wide.withColumn(name, F.explode(F.sequence(F.col("rs_far") * SPREAD, last))).drop("rs_far")
+def written_series(series: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n, chunk and xs, the profits of a chunk in order, as a table in the shared folder."""
+    chunk = F.floor(F.col("place") / LONG).cast("long").alias("chunk")
+    xs = F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda r: r.x).alias("xs")
+    return written(series.groupBy(*keys, chunk).agg(F.first("n").alias("n"), xs).select(*keys, "n", "chunk", "xs"), "series")
+
+
+def by_slot(table: DataFrame, keys: list[str], seed: int, run: Callable[[int, int, np.ndarray], Iterator[dict]], columns: str) -> DataFrame:
+    """keys and what ``run`` (path hash, slot, series) yields, in each of SLOTS tasks, one key's series at a time."""
+    schema = T.StructType([*(table.schema[c] for c in keys), *T.StructType.fromDDL(columns).fields])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, xs, head = None, [], None
+
+        def found() -> Iterator[pa.RecordBatch]:
+            slot, path = (head.column(c)[0].as_py() for c in ("rs_slot", "rs_path"))
+            for got in run(path, slot, np.concatenate(xs)):
+                own = pa.array(np.zeros(len(next(iter(got.values()))), np.int64))
+                arrays = [*(head.column(c).take(own) for c in keys), *(pa.array(got[c]) for c in schema.names[len(keys) :])]
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+        for batch in batches:
+            column = batch.column("xs")
+            offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+            for i, now in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rs_slot", *keys)))):
+                if now != key:
+                    if xs:
+                        yield from found()
+                    key, xs, head = now, [], batch.slice(i, 1)
+                xs.append(values[offsets[i] : offsets[i + 1]])
+        if xs:
+            yield from found()
+
+    slots = F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))).alias("rs_slot")
+    dealt = table.select(*keys, path_hash(keys, seed), "chunk", "xs", slots).repartitionById(SLOTS, "rs_slot")
+    return dealt.sortWithinPartitions("rs_slot", *keys, "chunk").mapInArrow(each, schema)
 
 
 def simulations(series: DataFrame, keys: list[str], n_sims: int) -> DataFrame:
@@ -47,24 +87,70 @@ def simulations(series: DataFrame, keys: list[str], n_sims: int) -> DataFrame:
     return sizes.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(n_sims)))).repartition(*keys, "sim")
 
 
+def drawn(path: int, sim: int) -> np.random.Generator:
+    """The draws of one path; ``path`` is the hash of seed and keys."""
+    return np.random.Generator(np.random.SFC64([path % (1 << 64), sim]))
+
+
+def stationary_draws(path: int, sim: int, n: int, mean_block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Where blocks begin in the path and in the series, and their sizes, some PLACES places at a time."""
+    draw, at, many = drawn(path, sim), 0, max(16, PLACES // mean_block)
+    mean = -1 / math.log1p(-1 / mean_block) if mean_block > 1 else 0.0
+    while at < n:
+        size = np.minimum(draw.standard_exponential(many) * mean, n - 1).astype(np.int64) + 1
+        start = (draw.random(many) * n).astype(np.int64)
+        end = at + size.cumsum()
+        k = int(np.searchsorted(end, n)) + 1
+        size, start, end = size[:k], start[:k], end[:k]
+        if end[-1] > n:
+            size[-1] -= end[-1] - n
+            end[-1] = n
+        yield end - size, start, size
+        at = int(end[-1])
+
+
+def fixed_draws(path: int, sim: int, n: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As ``stationary_draws``, for blocks of ``block`` that end with the series."""
+    draw, at = drawn(path, sim), 0
+    while at < n:
+        start = (draw.random(DRAWN) * n).astype(np.int64)
+        size = np.minimum(block, n - start)
+        end = at + size.cumsum()
+        k = int(np.searchsorted(end, n)) + 1
+        size, start, end = size[:k], start[:k], end[:k]
+        if end[-1] > n:
+            size[-1] -= end[-1] - n
+            end[-1] = n
+        yield end - size, start, size
+        at = int(end[-1])
+
+
+def path_hash(keys: list[str], seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), *keys).alias("rs_path")
+
+
+def blocks_of(sims: DataFrame, keys: list[str], seed: int, draws: Callable[[int, int, int], Iterator]) -> DataFrame:
+    """keys, n, sim, at, start, size: the blocks of each path."""
+    schema = T.StructType([*(sims.schema[c] for c in (*keys, "n", "sim")), *T.StructType.fromDDL("at long, start long, size long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (path, n, sim) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("rs_path", "n", "sim")))):
+                for found in draws(path, sim, n):
+                    own = pa.array(np.full(len(found[0]), i))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in (*keys, "n", "sim")), *map(pa.array, found)], schema.names)
+
+    return sims.select(*keys, "n", "sim", path_hash(keys, seed)).mapInArrow(run, schema)
+
+
 def stationary_blocks(sims: DataFrame, keys: list[str], mean_block: int, seed: int) -> DataFrame:
     """keys, n, sim, at, start, size: at each place of a path a new block begins with chance 1 / mean_block, anywhere; blocks wrap."""
-    of = [F.lit(seed), *(F.col(k) for k in keys), F.col("sim"), F.col("at")]
-    at = spread(sims, F.col("n"), "at").where((F.col("at") == 0) | (uniform(F.lit("jump"), *of) * mean_block < 1))
-    following = F.coalesce(F.lead("at").over(Window.partitionBy(*keys, "sim").orderBy("at")), F.col("n"))
-    start = F.floor(uniform(F.lit("start"), *of) * F.col("n")).cast("long")
-    return at.select(*keys, "n", "sim", "at", start.alias("start"), (following - F.col("at")).alias("size"))
+    return blocks_of(sims, keys, seed, lambda path, sim, n: stationary_draws(path, sim, n, mean_block))
 
 
 def fixed_blocks(sims: DataFrame, keys: list[str], block: int, seed: int) -> DataFrame:
     """As ``stationary_blocks``, but blocks of ``block`` that end with the series, one after the other until the path is full."""
-    of = [F.lit(seed), *(F.col(k) for k in keys), F.col("sim"), F.col("nth")]
-    drawn = spread(sims, F.col("n"), "nth")  # each has a profit at least, so n are enough
-    drawn = drawn.withColumn("start", F.floor(uniform(F.lit("start"), *of) * F.col("n")).cast("long"))
-    drawn = drawn.withColumn("size", F.least(F.lit(block), F.col("n") - F.col("start")).cast("long"))
-    before = Window.partitionBy(*keys, "sim").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
-    drawn = drawn.withColumn("at", F.coalesce(F.sum("size").over(before), F.lit(0).cast("long"))).where("at < n")
-    return drawn.select(*keys, "n", "sim", "at", "start", F.least(F.col("size"), F.col("n") - F.col("at")).alias("size"))
+    return blocks_of(sims, keys, seed, lambda path, sim, n: fixed_draws(path, sim, n, block))
 
 
 def pieces(blocks: DataFrame, series: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,14 +218,63 @@ def path_figures(path: DataFrame, keys: list[str], risk: float, ruin: float) ->
     got = folded(path, keys, risk).withColumn("level", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
     got = got.withColumn("peak", F.greatest(F.lit(0.0), F.coalesce(F.max(F.col("level") + F.col("high")).over(before), F.lit(0.0))))
     drop = F.least(F.col("level") + F.col("low") - F.col("peak"), F.col("drop"))
-    n, mean = F.sum("n_x"), F.sum("x") / F.sum("n_x")
-    var = F.sum("xx") / n - mean * mean
-    out = got.groupBy(*by).agg(
-        (F.exp(F.sum("s")) - 1).alias("total"), F.least(F.exp(F.min(drop)) - 1, F.lit(0.0)).alias("max_drawdown"), (F.sum("wins") / n).alias("win_rate"),
-        (F.sum("won") / F.when(F.sum("lost") > 0, F.sum("lost")).otherwise(1e-9)).alias("profit_factor"), mean.alias("expectancy"),
+    sums = got.groupBy(*by).agg(F.min(drop).alias("drop"), *(F.sum(c).alias(c) for c in SUMS))
+    return figures(sums, by, ruin)
+
+
+SUMS = ("n_x", "s", "won", "lost", "wins", "x", "xx")
+
+
+def figures(sums: DataFrame, by: list[str], ruin: float) -> DataFrame:
+    """``by`` and the eight figures of a path, from its sums and deepest fall of log equity."""
+    n, mean = F.col("n_x"), F.col("x") / F.col("n_x")
+    var = F.col("xx") / n - mean * mean
+    depth = F.least(F.exp("drop") - 1, F.lit(0.0))
+    return sums.select(
+        *by, (F.exp("s") - 1).alias("total"), depth.alias("max_drawdown"), (F.col("wins") / n).alias("win_rate"),
+        (F.col("won") / F.when(F.col("lost") > 0, F.col("lost")).otherwise(1e-9)).alias("profit_factor"), mean.alias("expectancy"),
         F.when(var > 1e-18, mean / F.sqrt(F.greatest(var, F.lit(1e-18)))).otherwise(0.0).alias("sharpe"), n.alias("n_trades"),
+        (depth <= ruin).cast("double").alias("ruin"),
     )
-    return out.withColumn("ruin", (F.col("max_drawdown") <= ruin).cast("double"))
+
+
+def held_paths(table: DataFrame, keys: list[str], n_sims: int, mean_block: int, seed: int, risk: float) -> DataFrame:
+    """keys, sim, drop and the sums of each path: a task holds a key's series and its running sums, and goes through some of its paths."""
+
+    def run(path: int, slot: int, x: np.ndarray) -> Iterator[dict]:
+        n = len(x)
+        step = np.log(np.maximum(1 + risk * x, 1e-12))
+        each = np.stack([np.maximum(x, 0), -np.minimum(x, 0), x > 0, x, x * x], 1)
+        before = np.concatenate([np.zeros((1, each.shape[1])), each.cumsum(0)])
+        del each
+        own = np.arange(slot, n_sims + 1, SLOTS)
+        out = {c: np.zeros(len(own)) for c in ("drop", "s", "won", "lost", "wins", "x", "xx")}
+        for i, sim in enumerate(own.tolist()):
+            level = peak = drop = 0.0
+            sums = np.zeros(5)
+            cuts = np.arange(0, n, PLACES)
+            seen = ((cuts[k : k + 1], cuts[k : k + 1], np.minimum(PLACES, n - cuts[k : k + 1])) for k in range(len(cuts)))
+            for at, start, size in stationary_draws(path, sim, n, mean_block) if sim else seen:
+                rows = np.repeat(start - (at - at[0]), size)
+                rows += np.arange(len(rows))
+                walk = step.take(rows, mode="wrap").cumsum()
+                walk += level
+                level = walk[-1]
+                top = np.maximum.accumulate(walk, out=rows.view(np.float64))
+                np.maximum(top, peak, out=top)
+                peak = top[-1]
+                drop = min(drop, np.subtract(walk, top, out=walk).min())
+                end = start + size
+                over = end > n
+                gain = before[np.where(over, end - n, end)] - before[start]
+                gain[over] += before[n]  # one by one, so that what never falls adds exactly 0
+                sums += gain.sum(0)
+            out["drop"][i], out["s"][i] = drop, level
+            for c, v in zip(("won", "lost", "wins", "x", "xx"), sums):
+                out[c][i] = v
+        yield out | {"sim": own.astype(np.int32), "n_x": np.full(len(own), n), "wins": np.rint(out["wins"]).astype(np.int64)}
+
+    return by_slot(table, keys, seed, run, "sim int, n_x long, s double, drop double, won double, lost double, wins long, x double, xx double")
 
 
 FIGURES = ["total", "max_drawdown", "win_rate", "profit_factor", "expectancy", "sharpe", "ruin", "n_trades"]
@@ -148,12 +283,20 @@ FIGURES = ["total", "max_drawdown", "win_rate", "profit_factor", "expectancy", "
 def bootstrap(
     trades: DataFrame, keys: list[str], order: list[str], pnl: str, n_sims: int = 10_000, mean_block: int = 10, seed: int = 7, risk: float = 0.01, ruin: float = -0.5
 ) -> DataFrame:
-    """The figures of each simulated path of each key by stationary blocks (``mean_block`` 1: one by one); sim 0 is what was observed."""
+    """The figures of each simulated path of each key by stationary blocks (``mean_block`` 1: one by one); sim 0 is what was observed.
+
+    Keys of up to HELD profits are gone through as arrays, longer ones as rows of pieces, from the same draws.
+    """
     series = numbered(trades, keys, order, pnl)
+    table = written_series(series, keys)
+    got = figures(held_paths(table.where(F.col("n") <= HELD), keys, n_sims, mean_block, seed, risk), [*keys, "sim"], ruin)
+    if (table.agg(F.max("n")).first()[0] or 0) <= HELD:
+        return got
+    series = series.where(F.col("n") > HELD)
     blocks = stationary_blocks(simulations(series, keys, n_sims), keys, mean_block, seed)
     zero = F.lit(0).cast("long")
     seen = series.groupBy(*keys).agg(F.first("n").alias("n")).select(*keys, "n", F.lit(0).alias("sim"), zero.alias("at"), zero.alias("start"), F.col("n").alias("size"))
-    return path_figures(pieces(blocks.unionByName(seen), series, keys), keys, risk, ruin)
+    return got.unionByName(path_figures(pieces(blocks.unionByName(seen), series, keys), keys, risk, ruin))
 
 
 def intervals(sims: DataFrame, keys: list[str]) -> DataFrame:

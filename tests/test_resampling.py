@@ -112,3 +112,27 @@ def test_no_task_holds_a_series(trades):
     path = resampling.pieces(resampling.stationary_blocks(resampling.simulations(series, KEYS, 20), KEYS, 10, 7), series, KEYS)
     assert path.agg(F.max(F.size("xs"))).first()[0] <= resampling.CHUNK
     assert path.count() < 20 * 800 / 10 * 1.5
+
+
+def rows_of(df, by):
+    return {tuple(r[c] for c in by): [v for c, v in r.asDict().items() if c not in by] for r in df.collect()}
+
+
+@pytest.mark.parametrize("mean_block", [1, 10, 1000])
+def test_arrays_and_rows_give_the_same_paths(trades, monkeypatch, mean_block):
+    """Keys of up to HELD profits as arrays, in parts of a path, and all others by joins."""
+    monkeypatch.setattr(resampling, "PLACES", 64)
+    run = lambda: rows_of(resampling.bootstrap(trades, KEYS, ["day"], "pnl", 30, mean_block, 7, 0.05), ["strategy", "sim"])
+    held = run()
+    monkeypatch.setattr(resampling, "HELD", 100)  # "a" is longer, the others are not
+    mixed = run()
+    assert held.keys() == mixed.keys() and len(held) == 31 * 3
+    for k, v in held.items():
+        assert mixed[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
+
+
+def test_paths_are_not_shuffled(trades):
+    """What a path is made of stays in its task: the plan of a key that fits one has no join, and no window but that which numbers trades."""
+    for df in (resampling.bootstrap(trades, KEYS, ["day"], "pnl", 40),):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan
