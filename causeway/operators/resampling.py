@@ -266,7 +266,8 @@ def held_paths(table: DataFrame, keys: list[str], n_sims: int, mean_block: int,
                 drop = min(drop, np.subtract(walk, top, out=walk).min())
                 end = start + size
                 over = end > n
-                gain = before[np.where(over, end - n, end)] - before[start]
+                gain = before.take(np.where(over, end - n, end), axis=0, mode="clip")
+                gain -= before.take(start, axis=0, mode="clip")
                 gain[over] += before[n]  # one by one, so that what never falls adds exactly 0
                 sums += gain.sum(0)
             out["drop"][i], out["s"][i] = drop, level
