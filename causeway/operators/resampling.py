@@ -1,7 +1,7 @@
 """Resampled paths of a key's profits, as Spark jobs: arrays of bounded size, or blocks as rows that meet pieces of the series by join.
 
 A key of up to HELD profits is sent, in chunks, to SLOTS tasks. Each holds it as arrays and goes through its share of the paths,
-some PLACES places at a time. What is
+some PLACES places at a time, or, for percentiles by step, through its share of the steps with all paths side by side. What is
 shuffled is the series, SLOTS times; paths are never written.
 
 A longer key's profits are cut into chunks of CHUNK. A simulation is a row of blocks (start, length); a block meets
@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from causeway.functions.tables import written
 
 CHUNK = 256
-#: Profits of a row of the written series, of a key that one task holds at most, and tasks over which a key's paths go.
+#: Profits of a row of the written series, of a key that one task holds at most, and tasks over which a key's paths or steps go.
 LONG, HELD, SLOTS = 1024, 1 << 22, 24
-#: Places of a path in numpy at a time, and blocks drawn at a time.
-PLACES, DRAWN = 1 << 15, 4096
+#: Places of a path in numpy at a time, blocks drawn at a time, and levels that a task sorts at a time.
+PLACES, DRAWN, LEVELS = 1 << 15, 4096, 1 << 22
 
 
 def uniform(*parts: Column) -> Column:
@@ -313,9 +313,76 @@ def intervals(sims: DataFrame, keys: list[str]) -> DataFrame:
 PERCENTS = (5, 10, 25, 50, 75, 90, 95)
 
 
+def held_fan(table: DataFrame, keys: list[str], n_sims: int, block: int, seed: int) -> DataFrame:
+    """keys, step and percentiles: a task holds a key's series and goes with all its paths through some of the steps."""
+
+    def run(path: int, slot: int, x: np.ndarray) -> Iterator[dict]:
+        n = len(x)
+        lo, hi = n * slot // SLOTS, n * (slot + 1) // SLOTS
+        if lo == hi:
+            return
+        wide = max(1, min(LEVELS // n_sims, hi - lo))
+        whole = np.convolve(x, np.ones(block))[block - 1 :]  # what a block from each place on adds
+        walks = [steps_from(drawn(path, sim), x, whole, block, lo, wide) for sim in range(1, n_sims + 1)]
+        at = [(n_sims - 1) * p / 100 for p in PERCENTS]
+        for first in range(lo, hi, wide):
+            many = min(wide, hi - first)
+            levels = np.empty((n_sims, many))
+            for i, walk in enumerate(walks):
+                levels[i] = next(walk)[:many]
+            levels = np.ascontiguousarray(levels.T)
+            levels.sort(axis=1)
+            out = {"step": np.arange(first + 1, first + many + 1)}
+            for p, place in zip(PERCENTS, at):
+                below, above = levels[:, math.floor(place)], levels[:, math.ceil(place)]
+                out[f"p{p}"] = np.where(below == above, below, (math.ceil(place) - place) * below + (place - math.floor(place)) * above)
+            yield out
+
+    return by_slot(table, keys, seed, run, "step long, " + ", ".join(f"p{p} double" for p in PERCENTS))
+
+
+def steps_from(draw: np.random.Generator, x: np.ndarray, whole: np.ndarray, block: int, lo: int, wide: int) -> Iterator[np.ndarray]:
+    """The levels of a path at the places from ``lo`` on, ``wide`` at a time; ``whole`` is what a block from each place on adds."""
+    n, level, skip = len(x), 0.0, lo
+    many = max(16, min(DRAWN, wide))  # what each of the paths side by side keeps
+    while True:
+        start = (draw.random(many) * n).astype(np.int64)
+        end = np.minimum(block, n - start).cumsum()
+        k = int(np.searchsorted(end, skip, side="right"))  # blocks that end before
+        level += whole[start[:k]].sum()
+        skip -= int(end[k - 1]) if k else 0
+        if k < many:
+            break
+    start = start[k:]
+    level += x[start[0] : start[0] + skip].sum()
+    while True:
+        size = np.minimum(block, n - start)
+        while size.sum() < skip + wide:
+            start = np.append(start, (draw.random(max(16, -(-2 * wide // block))) * n).astype(np.int64))
+            size = np.minimum(block, n - start)
+        end = size.cumsum()
+        k = int(np.searchsorted(end, skip + wide)) + 1
+        rows = np.repeat(start[:k] - (end - size)[:k], size[:k])[skip : skip + wide]
+        rows += np.arange(skip, skip + wide)
+        out = x[rows].cumsum()
+        out += level
+        yield out
+        level = out[-1]
+        skip = skip + wide - int(end[k - 1] - size[k - 1])
+        start = start[k - 1 :]
+
+
 def fan(trades: DataFrame, keys: list[str], order: list[str], pnl: str, n_sims: int = 1000, block: int = 20, seed: int = 7) -> DataFrame:
-    """keys, step (from 1) and p5 .. p95: percentiles over the simulated running sums at every step of the path."""
+    """keys, step (from 1) and p5 .. p95: percentiles over the simulated running sums at every step of the path.
+
+    Keys of up to HELD profits are gone through as arrays, longer ones as rows of pieces, from the same draws.
+    """
     series = numbered(trades, keys, order, pnl)
+    table = written_series(series, keys)
+    held = held_fan(table.where(F.col("n") <= HELD), keys, n_sims, block, seed)
+    if (table.agg(F.max("n")).first()[0] or 0) <= HELD:
+        return held
+    series = series.where(F.col("n") > HELD)
     path = pieces(fixed_blocks(simulations(series, keys, n_sims), keys, block, seed), series, keys)
     total = F.aggregate("xs", F.lit(0.0), lambda a, x: a + x)
     before = Window.partitionBy(*keys, "sim").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
@@ -324,7 +391,7 @@ def fan(trades: DataFrame, keys: list[str], order: list[str], pnl: str, n_sims:
     steps = path.select(*keys, "at", "level", F.posexplode(run).alias("i", "v"))
     steps = steps.select(*keys, (F.col("at") + F.col("i") + 1).alias("step"), (F.col("level") + F.col("v")).alias("v"))
     got = steps.groupBy(*keys, "step").agg(F.percentile("v", [p / 100 for p in PERCENTS]).alias("q"))
-    return got.select(*keys, "step", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS)))
+    return held.unionByName(got.select(*keys, "step", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS))))
 
 
 def sharpe_interval(days: DataFrame, keys: list[str], order: list[str], ret: str, n_sims: int = 10_000, seed: int = 7) -> DataFrame:

@@ -131,8 +131,20 @@ def test_arrays_and_rows_give_the_same_paths(trades, monkeypatch, mean_block):
         assert mixed[k] == pytest.approx(v, rel=1e-9, abs=1e-12)
 
 
+def test_arrays_and_rows_give_the_same_fan(trades, monkeypatch):
+    run = lambda: rows_of(resampling.fan(trades, KEYS, ["day"], "pnl", 50), ["strategy", "step"])
+    monkeypatch.setattr(resampling, "LEVELS", 500)  # ten steps at a time
+    monkeypatch.setattr(resampling, "DRAWN", 7)
+    held = run()
+    monkeypatch.setattr(resampling, "HELD", 100)
+    mixed = run()
+    assert held.keys() == mixed.keys() and len(held) == 699 + 30 + 1
+    for k, v in held.items():
+        assert mixed[k] == pytest.approx(v, rel=1e-9, abs=1e-9)
+
+
 def test_paths_are_not_shuffled(trades):
     """What a path is made of stays in its task: the plan of a key that fits one has no join, and no window but that which numbers trades."""
-    for df in (resampling.bootstrap(trades, KEYS, ["day"], "pnl", 40),):
+    for df in (resampling.bootstrap(trades, KEYS, ["day"], "pnl", 40), resampling.fan(trades, KEYS, ["day"], "pnl", 40)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan
