@@ -11,6 +11,13 @@ def snap(x: Column, digits: int = 6) -> Column:
     return F.floor(x * scale + F.lit(0.5)).cast("double") / scale
 
 
+def wide_snap(name: str, digits: int = 6) -> Column:
+    """``snap`` of a column that can be beyond what a bigint holds on the grid; from 2^53 on, doubles are whole."""
+    scale = F.lit(10.0**digits)
+    x = F.col(name) * scale + F.lit(0.5)
+    return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x) / scale
+
+
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(*order)
 

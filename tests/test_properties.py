@@ -5,6 +5,7 @@ import math
 import os
 from statistics import NormalDist
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -307,3 +308,30 @@ def test_targets_that_cannot_be_learnt(spark):
     with pytest.raises(ValueError, match="zeros"):
         contracts.enforce(contracts.degenerate(df.where("k = 'c'"), "y", ["k"]), F.col("reason").isNotNull(), "target")
     contracts.enforce(contracts.degenerate(df.where("k = 'a'"), "y", ["k"]), F.col("reason").isNotNull(), "target")
+
+
+def test_running_sum_by_groups_of_sixteen(spark):
+    """Whatever the batches: as from a tree whose nodes hold sixteen, and close to the exact sum."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(1e-4, 3e-4, 70_000)
+    whole, parts = rolling.RunningSum().add(x), rolling.RunningSum()
+    cuts = [0, 1, 2, 17, 300, 301, 5000, 69_999, 70_000]
+    assert np.array_equal(np.concatenate([parts.add(x[a:b]) for a, b in zip(cuts, cuts[1:])]), whole)
+    exact = np.cumsum(x.astype(np.longdouble))
+    assert np.abs(whole - exact).max() < 0.2 * np.abs(np.cumsum(x) - exact).max()
+    rows = [("b", 1, None), ("b", 2, 2.0), ("b", 3, None), ("b", 4, 0.5), (None, 1, 1.0), ("a", 2, 5.0), ("a", 1, None)]
+    got = rolling.running_sum(spark.createDataFrame(rows, "k string, i long, x double"), ["k"], ["i"], "x", "s")
+    assert {(r.k, r.i): r.s for r in got.collect()} == {("b", 1): None, ("b", 2): 2.0, ("b", 3): 2.0, ("b", 4): 2.5, (None, 1): 1.0, ("a", 1): None, ("a", 2): 5.0}
+
+
+def test_equity_beyond_whole_numbers_is_as_in_sql(spark, tmp_path):
+    """Trades enough for levels beyond 2^63 on the grid, where a cast to bigint stops."""
+    con = duckdb.connect()
+    con.execute("create table orders as select i as o_orderkey, '1' as o_orderpriority, timestamp '2020-01-01' + to_days(cast(i // 10 as integer)) as o_orderdate, 'F' as o_orderstatus, 1.0::double as o_totalprice from range(8000) t(i)")
+    con.execute("create table lineitem as select i as l_orderkey, (60 + i % 40)::double as l_discount, 0.0::double as l_tax from range(8000) t(i)")
+    for t in ("orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want = dict(con.execute(f"select signal_id, equity from ({registry.oracle_sql()['equity_curve']})").fetchall())
+    got = {r.signal_id: r.equity for r in registry.queries()["equity_curve"](spark, str(tmp_path)).collect()}
+    assert len(got) == 8000 and max(want.values()) > 1e30
+    assert got == want
