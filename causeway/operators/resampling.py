@@ -26,7 +26,7 @@ from causeway.functions.tables import written
 
 CHUNK = 256
 #: Profits of a row of the written series, of a key that one task holds at most, and tasks over which a key's paths or steps go.
-LONG, HELD, SLOTS = 1024, 1 << 22, 24
+LONG, HELD, SLOTS = 256, 1 << 22, 24
 #: Places of a path in numpy at a time, blocks drawn at a time, and levels that a task sorts at a time.
 PLACES, DRAWN, LEVELS = 1 << 15, 4096, 1 << 22
 
@@ -244,9 +244,10 @@ def held_paths(table: DataFrame, keys: list[str], n_sims: int, mean_block: int,
     def run(path: int, slot: int, x: np.ndarray) -> Iterator[dict]:
         n = len(x)
         step = np.log(np.maximum(1 + risk * x, 1e-12))
-        each = np.stack([np.maximum(x, 0), -np.minimum(x, 0), x > 0, x, x * x], 1)
-        before = np.concatenate([np.zeros((1, each.shape[1])), each.cumsum(0)])
-        del each
+        before = np.zeros((n + 1, 5))
+        for i, each in enumerate((np.maximum, np.minimum, np.greater, np.add, np.multiply)):
+            np.cumsum(each(x, x if each is np.multiply else 0), out=before[1:, i])
+        before[:, 1] *= -1
         own = np.arange(slot, n_sims + 1, SLOTS)
         out = {c: np.zeros(len(own)) for c in ("drop", "s", "won", "lost", "wins", "x", "xx")}
         for i, sim in enumerate(own.tolist()):
@@ -366,10 +367,11 @@ def steps_from(draw: np.random.Generator, x: np.ndarray, whole: np.ndarray, bloc
         rows += np.arange(skip, skip + wide)
         out = x[rows].cumsum()
         out += level
-        yield out
         level = out[-1]
         skip = skip + wide - int(end[k - 1] - size[k - 1])
-        start = start[k - 1 :]
+        start = start[k - 1 :].copy()
+        del rows, size, end  # many paths wait here
+        yield out
 
 
 def fan(trades: DataFrame, keys: list[str], order: list[str], pnl: str, n_sims: int = 1000, block: int = 20, seed: int = 7) -> DataFrame:
