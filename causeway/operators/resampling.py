@@ -37,8 +37,8 @@ def uniform(*parts: Column) -> Column:
 
 
 def numbered(trades: DataFrame, keys: list[str], order: list[str], pnl: str) -> DataFrame:
-    """keys, place from 0, n and x: the profits that are there, in order."""
-    known = trades.where(F.col(pnl).isNotNull())
+    """keys, place from 0, n and x: the profits that are there and finite, in order."""
+    known = trades.where(F.abs(F.col(pnl).cast("double")) < float("inf"))  # a NaN is above it
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
     return known.select(*keys, place.cast("long").alias("place"), F.count("*").over(Window.partitionBy(*keys)).alias("n"), F.col(pnl).cast("double").alias("x"))
 

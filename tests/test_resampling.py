@@ -148,3 +148,9 @@ def test_paths_are_not_shuffled(trades):
     for df in (resampling.bootstrap(trades, KEYS, ["day"], "pnl", 40), resampling.fan(trades, KEYS, ["day"], "pnl", 40)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "Join" not in plan and "Window" not in plan
+
+
+def test_what_is_not_finite_is_no_profit(spark, trades):
+    odd = spark.createDataFrame([("b", 5, float("nan")), ("b", 7, float("inf")), ("a", 9, float("-inf"))], "strategy string, day long, pnl double")
+    run = lambda df: rows_of(resampling.bootstrap(df, KEYS, ["day"], "pnl", 5), ["strategy", "sim"])
+    assert run(trades.unionByName(odd)) == run(trades)
